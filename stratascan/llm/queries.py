@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from stratascan.llm import secrets
+from stratascan.llm import exact_dedup, secrets
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_secret_scan": secrets.op3_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+}
