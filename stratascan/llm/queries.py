@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from stratascan.llm import exact_dedup, secrets
+from stratascan.llm import exact_dedup, mixing, secrets
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op8_source_mix": mixing.op8_source_mix,
     "op3_secret_scan": secrets.op3_secret_scan,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op8_source_mix": mixing.OP8_SQL,
 }
