@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from stratascan.llm import exact_dedup, mixing, secrets
+from stratascan.llm import exact_dedup, mixing, secrets, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op7_arc_to_warc": warc.op7_arc_to_warc,
     "op8_source_mix": mixing.op8_source_mix,
     "op3_secret_scan": secrets.op3_secret_scan,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op7_arc_to_warc": warc.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }
