@@ -25,6 +25,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # an open store keeps megabytes of local files per partition, however few keys it has
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 #: Rows of one digest in one task, at most about.
