@@ -92,14 +92,14 @@ def current_state(spark: SparkSession, updates_dir: str) -> DataFrame:
     return updates.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
 
 
-def _with_state(rows: DataFrame, repeated: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+def _with_state(rows: DataFrame, repeated: DataFrame, hot: DataFrame, how: str, hint: str | None = None) -> DataFrame:
     """Join rows to the repeated digests; hot ones are dealt out over several tasks."""
     salts = F.ceil(F.col("hot_n") / ROWS_PER_SALT).cast("int")
     rows = rows.join(F.broadcast(hot), "digest", "left")
     rows = rows.withColumn("_salt", F.when(F.col("hot_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("file", "row"), salts))).drop("hot_n")
     dealt = repeated.join(F.broadcast(hot), "digest", "left")
     dealt = dealt.withColumn("_salt", F.explode(F.when(F.col("hot_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), salts - 1)))).drop("hot_n")
-    return rows.join(dealt, ["digest", "_salt"], how).drop("_salt")
+    return rows.join(dealt.hint(hint) if hint else dealt, ["digest", "_salt"], how).drop("_salt")
 
 
 def resolve(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -108,7 +108,8 @@ def resolve(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     hot = repeated.where(F.col("n") > max(ROWS_PER_SALT, total // HOT_KEYS)).select("digest", F.col("n").alias("hot_n"))
 
-    hits = _with_state(located(docs, digest, with_text=True), repeated.select("digest"), hot, "inner")
+    # by hint the same plan at every size: whole texts are dealt by digest once, and only those hit again go on
+    hits = _with_state(located(docs, digest, with_text=True), repeated.select("digest"), hot, "inner", "merge")
     texts = hits.groupBy("digest", "content").agg(_first().alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(texts.withColumn("content", F.sha2(F.concat(F.lit("text:"), "content"), 256)), "dedup-classes")
     split = materialize(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-split")
