@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_INTERMEDIATE: list[str] = []
 
 #: Rows in one Arrow batch handed to Python; small, because a document may hold megabytes.
 BATCH_ROWS = 500
@@ -31,6 +32,19 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table; :func:`release` deletes it."""
+    path = lasting_path(spark, name)
+    _INTERMEDIATE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables so far. Only for callers that have written out all that was made from them."""
+    while _INTERMEDIATE:
+        drop_path(spark, _INTERMEDIATE.pop())
+
+
+def lasting_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; a temporary folder of our own only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
