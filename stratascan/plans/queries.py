@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratascan.functions import encoding, peptides, scalars
 from stratascan.operators import models, slices, spectra, tensors, windows
 from stratascan.plans import views
+from stratascan.plans.boundary import boundary
 from stratascan.plans.views import LAST_CYCLE_SEC, MIN_POINTS, NI, NJ, NK, PPM, RANK, SCAN_SQL, WINDOW_SEC, scan_map
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,7 +85,7 @@ def q01_adjust_windows(spark, sf_dir):
 _OVERLAPPING = "SELECT DISTINCT w_start AS s, w_end AS e FROM scan"
 
 
-@query(with_(SCAN_SQL, ADJ) + "SELECT spectrum_index, file, lower AS swath_lower_adjusted FROM scan JOIN adj ON prec_mz >= lower AND prec_mz < upper")
+@query(with_(SCAN_SQL, ADJ) + "SELECT spectrum_index, scan.file, lower AS swath_lower_adjusted FROM scan JOIN adj ON prec_mz >= lower AND prec_mz < upper")
 def q02_interval_join(spark, sf_dir):
     scan = scan_map(spark, sf_dir)
     adjusted = windows.adjust_windows(windows.distinct_windows(scan)).select(F.col("swath_lower_adjusted").alias("start"), F.col("swath_upper_adjusted").alias("end"))
@@ -169,7 +170,7 @@ _T = slices.TAPS
     f"""im AS (SELECT swath, rt_window, i, j, k, coalesce(v, coalesce(lag(v, 2) OVER l, 0) * {_T[0]!r}::DOUBLE + coalesce(lag(v) OVER l, 0) * {_T[1]!r}::DOUBLE + coalesce(lead(v) OVER l, 0) * {_T[3]!r}::DOUBLE + coalesce(lead(v, 2) OVER l, 0) * {_T[4]!r}::DOUBLE) AS v
     FROM g WINDOW l AS (PARTITION BY swath, rt_window, i, k ORDER BY j))""") + "SELECT swath, rt_window, i, j, k, round(greatest(v, 0), 5) AS v FROM im")
 def q13_impute_gaussian(spark, sf_dir):
-    return slices.impute(tensor(spark, sf_dir)).select("swath", "rt_window", "i", "j", "k", F.round("v", 5).alias("v"))
+    return slices.impute(boundary(tensor(spark, sf_dir), "coo")).select("swath", "rt_window", "i", "j", "k", F.round("v", 5).alias("v"))
 
 
 @query(with_(*TO_COO) + "SELECT swath, rt_window, i, j, k, round(v / sqrt(avg(v * v) OVER (PARTITION BY swath, rt_window, k)), 6) AS v FROM coo")
@@ -318,11 +319,11 @@ def q28_tolerance_semi(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").where(scalars.is_close_to_any(F.col("l_discount"), [0.05, 0.07])).select("l_orderkey", "l_linenumber")
 
 
-@query("WITH p AS (SELECT DISTINCT p_retailprice AS b FROM part), m AS (SELECT s_suppkey, b, row_number() OVER (PARTITION BY s_suppkey ORDER BY b) AS nth FROM supplier JOIN p ON abs(abs(s_acctbal) - b) <= 0.5 + 1e-5 * abs(b)) SELECT s_suppkey, b FROM m WHERE nth = 1")
+@query("WITH p AS (SELECT DISTINCT p_retailprice AS b FROM part), m AS (SELECT c_custkey, b, row_number() OVER (PARTITION BY c_custkey ORDER BY b) AS nth FROM customer JOIN p ON abs(abs(c_acctbal) - b) <= 0.5 + 1e-5 * abs(b)) SELECT c_custkey, b FROM m WHERE nth = 1")
 def q29_isclose_join(spark, sf_dir):
-    left = read(spark, sf_dir, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("a"))
+    left = read(spark, sf_dir, "customer").select("c_custkey", F.abs("c_acctbal").alias("a"))
     right = read(spark, sf_dir, "part").select(F.col("p_retailprice").alias("b")).distinct()
-    return windows.tolerance_join(left, right, "a", "b", atol=0.5, width=10.0).select("s_suppkey", "b")
+    return windows.tolerance_join(left, right, "a", "b", atol=0.5, width=10.0).select("c_custkey", "b")
 
 
 @query("SELECT o_orderkey AS idx FROM orders ORDER BY abs(o_totalprice - 100000), o_orderkey LIMIT 1")
@@ -446,8 +447,8 @@ def q45_fasta_lines(spark, sf_dir):
 
 
 def _dense(spark, sf_dir):
-    coo = slices.worth_decomposing(tensor(spark, sf_dir))
-    return slices.impute(coo)
+    coo = boundary(tensor(spark, sf_dir), "coo")
+    return boundary(slices.impute(slices.worth_decomposing(coo)), "dense")
 
 
 @query()
