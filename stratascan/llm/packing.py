@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratascan.llm import tokenize
 from stratascan.llm.common import table, tune
-from stratascan.llm.tokenize import PieceEncoder
 
 LENGTH = 2048
 END_ID = 1
@@ -96,12 +96,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length
     groups = max(1, -(-docs.count() // group_docs))
 
     def of_group(key: tuple, rows: pa.Table) -> pa.Table:
-        from stratascan.llm import packing  # the module's own encoders, not a copy sent along
-
-        encoder = packing.ENCODERS.get(tokenizer, byte_level)
+        encode = tokenize.encoder(tokenizer, byte_level).encode
         doc_ids, ids = rows.column("doc_id").to_pylist(), []
         for b in rows.select(["text"]).to_batches(max_chunksize=200):
-            ids += [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode([t or "" for t in b.column(0).to_pylist()])]
+            ids += [np.append(x, np.uint32(end_id)).astype("<u4") for x in encode([t or "" for t in b.column(0).to_pylist()])]
         first = key[0].as_py() << 40  # a group has fewer sequences than tokens
         out = pack([len(x) for x in ids], length)
         columns = [
@@ -117,19 +115,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length
     return rows.groupBy("pack_group").applyInArrow(of_group, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-class _Encoders(dict):
-    """One encoder per Python worker and vocabulary, kept between groups."""
-
-    def get(self, tokenizer: str, byte_level: bool) -> PieceEncoder:
-        key = (tokenizer, byte_level)
-        if key not in self:
-            self[key] = PieceEncoder(tokenizer, byte_level)
-        return self[key]
-
-
-ENCODERS = _Encoders()
-
-
 def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
     import public_tokenizers

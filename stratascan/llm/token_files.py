@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratascan.llm import tokenize
 from stratascan.llm.common import materialize, read_blobs, shared_path, shuffle_partitions, table, tune, write_blobs
-from stratascan.llm.tokenize import PieceEncoder
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -83,13 +83,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = PieceEncoder(tokenizer, byte_level), zstandard.ZstdCompressor(level=1)
+        encode, packer = tokenize.encoder(tokenizer, byte_level).encode, zstandard.ZstdCompressor(level=1)
         part, serial = TaskContext.get().partitionId(), 0
         doc_ids, frames, entries, lengths, size = [], [], [], [], 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array([encode_file(part, serial, doc_ids, frames, entries, lengths)], pa.binary())], ["content"])
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(texts), strict=True):
                 raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                 frame = packer.compress(raw)
                 doc_ids.append(doc_id)

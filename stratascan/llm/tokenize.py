@@ -13,7 +13,9 @@ import re
 
 import numpy as np
 
-_UNSURE = re.compile(r"\s\s|[\x1c-\x1f\x85᠎​-‍⁠﻿]")
+_UNSURE = re.compile(r"\s\s|[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
+_BLANK = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
+_NONE = np.empty(0, np.uint32)
 
 
 class _Numbered(dict):
@@ -29,9 +31,9 @@ class _Numbered(dict):
 
 
 class PieceEncoder:
-    """Encodes texts; remembers up to about ``limit`` pieces, then starts anew."""
+    """Encodes texts; remembers about ``limit`` pieces, those met again longest."""
 
-    def __init__(self, path: str, byte_level: bool, limit: int = 300_000) -> None:
+    def __init__(self, path: str, byte_level: bool, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
@@ -42,7 +44,21 @@ class PieceEncoder:
 
     def _reset(self) -> None:
         self.index = _Numbered()
-        self.start, self.length, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.start, self.length, self.pool, self.met = np.empty(0, np.int64), np.empty(0, np.int64), _NONE, np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces met more than once, if they are few enough."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > self.limit // 2:
+            return self._reset()
+        keys, start, length, pool = list(self.index), self.start[keep], self.length[keep], self.pool
+        self._reset()
+        for n in keep.tolist():
+            self.index[keys[n]]
+        self.index.new = []
+        ends = np.cumsum(length)
+        self.pool = pool[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        self.start, self.length, self.met = ends - length, length, np.zeros(len(keep), np.int64)
 
     def _pieces(self, text: str) -> list[str]:
         """Keys of the pieces; a key's first character says what stands for it, see ``_text_of``."""
@@ -62,10 +78,45 @@ class PieceEncoder:
             return key[1:]
         return key if key[:1] == "\n" else " " + key
 
+    def _ids_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length) of pieces. Many go to the library in one text, with a mark between that is always a token of its own."""
+        mark = "\n" if self.byte_level else "0"
+        sep = mark if self.byte_level else f" {mark} "
+        (mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        at, texts, lead, rest = [], [], [], []
+        for n, key in enumerate(keys):
+            text = self._text_of(key)
+            core = text[1:] if self.byte_level and text[:1] in "\n " else text
+            if core and not _BLANK.search(core) and (self.byte_level or mark not in core):
+                line = self.byte_level and text[:1] == "\n"
+                at.append(n)
+                texts.append(core if line else text)
+                lead.append(line)  # the line end before the piece is the mark itself
+            else:
+                rest.append(n)
+        pool, lengths = [], []
+        parts = [slice(i, i + 400) for i in range(0, len(texts), 400)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([sep.join(texts[p]) for p in parts], add_special_tokens=False), strict=True):
+            ids, leads = np.array([mark_id, *e.ids], np.uint32), np.array(lead[part])
+            marks = np.flatnonzero(ids == mark_id)
+            if len(marks) != len(leads):
+                raise ValueError("the mark between pieces is no token of its own")
+            lengths.append(np.diff(np.append(marks, len(ids))) - ~leads)
+            keep = np.ones(len(ids), bool)
+            keep[marks] = leads
+            pool.append(ids[keep])
+        for e in self.tokenizer.encode_batch_fast([self._text_of(keys[n]) for n in rest], add_special_tokens=False):
+            pool.append(np.array(e.ids, np.uint32))
+            lengths.append([len(e.ids)])
+        length, start, order = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), np.array(at + rest, np.int64)
+        inner = np.concatenate(lengths).astype(np.int64)
+        length[order], start[order] = inner, np.cumsum(inner) - inner
+        return np.concatenate(pool), start, length
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         if len(self.index) > self.limit:
-            self._reset()
+            self._forget()
         numbers, sizes = [], []
         get = self.index.__getitem__
         for text in texts:
@@ -75,15 +126,29 @@ class PieceEncoder:
             numbers.append(np.fromiter(map(get, keys), np.int64, len(keys)))
             sizes.append(len(keys))
         if new := self.index.new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([self._text_of(k) for k in new], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+            ids, start, length = self._ids_of(new)
+            self.start = np.concatenate([self.start, len(self.pool) + start])
+            self.length = np.concatenate([self.length, length])
+            self.pool = np.concatenate([self.pool, ids])
             self.index.new = []
         every = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+        self.met = np.bincount(every, minlength=len(self.index)) + np.pad(self.met, (0, len(self.index) - len(self.met)))
         lengths = self.length[every]
         ends = np.cumsum(lengths)
         flat = self.pool[np.repeat(self.start[every] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         edges = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
         return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+class _Encoders(dict):
+    def __missing__(self, key: tuple[str, bool]) -> PieceEncoder:
+        value = self[key] = PieceEncoder(*key)
+        return value
+
+
+_ENCODERS = _Encoders()
+
+
+def encoder(path: str, byte_level: bool) -> PieceEncoder:
+    """One per Python worker and vocabulary; what it remembers serves the worker's later tasks too."""
+    return _ENCODERS[path, byte_level]
