@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def peaks_to_base64(mz: pd.Series, intensity: pd.Series) -> pd.Series:
     """Of two arrays of the same length per row."""
 
@@ -22,7 +23,7 @@ def peaks_to_base64(mz: pd.Series, intensity: pd.Series) -> pd.Series:
     return pd.Series([one(m, i) for m, i in zip(mz, intensity, strict=True)])
 
 
-@F.pandas_udf("array<struct<mz:double,intensity:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())])))
 def base64_to_peaks(text: pd.Series) -> pd.Series:
     def one(t):
         if t is None:
@@ -33,7 +34,7 @@ def base64_to_peaks(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def decode_binary(text: pd.Series, bits: pd.Series, compressed: pd.Series) -> pd.Series:
     """Little-endian floats of 32 or 64 bits, in zlib if so marked."""
 

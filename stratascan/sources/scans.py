@@ -132,9 +132,9 @@ def mgf_text(spectra: DataFrame) -> DataFrame:
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     """(title, pepmass, charge, scans, rtinseconds, seq, peaks): headers in any order, a missing SEQ is empty, spectra without peaks are left out."""
     rows = spark.read.option("lineSep", "END IONS").text(path).where(F.col("value").contains("BEGIN IONS"))
-    lines = F.filter(F.transform(F.split(F.split_part("value", F.lit("BEGIN IONS"), F.lit(2)), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.split_part("value", F.lit("BEGIN IONS"), F.lit(2)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(lines.alias("lines"))
-    headers = F.map_from_entries(F.transform(F.filter("lines", lambda x: x.contains("=")), lambda x: F.struct(F.upper(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), F.regexp_extract(x, "^[^=]*=(.*)$", 1).alias("v"))))
+    headers = F.map_from_entries(F.transform(F.filter("lines", lambda x: x.contains("=")), lambda x: F.struct(F.upper(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), F.substr(x, F.locate("=", x) + 1).alias("v"))))
     numbers = F.transform(F.filter("lines", lambda x: x.rlike("^[0-9]")), lambda x: F.split(x, r"\s+"))
     peaks = F.transform(numbers, lambda x: F.struct(x[0].cast("double").alias("mz"), x[1].cast("double").alias("intensity")))
     rows = rows.select(headers.alias("h"), peaks.alias("peaks")).where(F.size("peaks") > 0)
