@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
-A document's features are the hashes of its distinct words, of shapes of words with the share they have, and of a few
+A document's features are the hashes of its distinct words and their beginnings, of shapes of words with the share they have, and of a few
 traits of the whole text. One weight per hash is shared by all grades; ordered thresholds turn the score into the
 probabilities P(grade > g) = sigmoid(score - threshold_g). Documents stay if the probability of the top grade
 is at least one half; the expected grade orders them.
@@ -30,7 +30,9 @@ SAMPLE = 8000
 #: A feature counts if this many of them have it.
 LEAST_DOCS = 4
 GRADES = 3
-PENALTY = 1.0
+PENALTY = 8.0
+#: Shapes and traits are few beside words; several hashes each make the penalty weigh less on them.
+TRAIT_HASHES = 4
 STEPS = 150
 SEED = 3
 
@@ -52,19 +54,19 @@ def shape(word: bytes) -> bytes:
 
 
 class _Known(dict):
-    """Word -> (feature, number of its shape), up to a bound."""
+    """Word -> (feature, features of its first four and five letters, number of its shape), up to a bound."""
 
     LIMIT = 300_000
 
     def __init__(self) -> None:
         self.shapes: dict[bytes, int] = {}
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
         if len(self) >= self.LIMIT:
             self.clear()
-        core = word.strip(_PUNCTUATION).lower()
+        core = word.strip(_PUNCTUATION).decode("utf-8", "replace").lower()
         number = self.shapes.setdefault(shape(word), len(self.shapes))
-        value = self[word] = (_hash(b"w:" + core), number)
+        value = self[word] = (*(_hash(f"{kind}:{part}".encode()) for kind, part in (("w", core), ("4", core[:4]), ("5", core[:5]))), number)
         return value
 
 
@@ -83,15 +85,15 @@ class Features:
         n = len(words)
         if len(self.known.shapes) > 5000:
             self.known = _Known()
-        pairs = np.array([self.known[w] for w in words], np.int64).reshape(n, 2)
-        found, times = np.unique(pairs[:, 0], return_counts=True)
+        rows = np.array([self.known[w] for w in words], np.int64).reshape(n, 4)
+        found, times = np.unique(rows[:, 0], return_counts=True)
         extra = [b"all"]
         if n:
             names = list(self.known.shapes)
-            for i, c in zip(*np.unique(pairs[:, 1], return_counts=True), strict=True):
+            for i, c in zip(*np.unique(rows[:, 3], return_counts=True), strict=True):
                 extra.append(b"s:%s:%d" % (names[i], _level(c / n)))
             extra += [b"distinct:%d" % int(10 * len(found) / n), b"top:%d" % int(10 * times.max() / n), b"length:%d" % int(math.log2(n)), b"mean:%d" % min(20, len(text) // n)]
-        return np.unique(np.concatenate([found, np.fromiter(map(_hash, extra), np.int64, len(extra))]))
+        return np.unique(np.concatenate([found, np.unique(rows[:, 1:3]), np.array([_hash(b"%d:" % i + x) for x in extra for i in range(TRAIT_HASHES)], np.int64)]))
 
 
 @dataclass
