@@ -91,7 +91,7 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...], classes: dict = CLAS
         s = m.group()
         if s.isalpha() or any(p.fullmatch(s) for p in allow):
             continue
-        if "://" in text[max(0, m.start() - 40) : m.start()].rpartition(" ")[2] or text[max(0, m.start() - 3) : m.start()] == "://":
+        if "://" in re.split(r"\s", text[max(0, m.start() - 40) : m.start() + 2])[-1]:
             continue  # inside an address
         found = []
         for members, window, least in classes.values():
