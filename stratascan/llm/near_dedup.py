@@ -5,10 +5,10 @@ whole sequence if it has fewer; without words the set is empty and linked with n
 100 * |intersection| >= 85 * |union|; components are what links reach.
 
 Documents with equal sets are one class, and only its smallest doc_id goes on. A class falls into 36 bands of
-seven MinHash samples each (a pair at 0.85 shares none with probability below 1e-6). In each
-bucket of a band, members are paired with the bucket's hub, its smallest member, unless they are connected already; so a
-bucket emits no more pairs than it has members. Only buckets that still hold more than one component after that are
-paired in full, each component with each other, so that no link is lost. A pair goes on if its odd
+seven MinHash samples each (a pair at 0.85 shares none with probability below 1e-6). First
+each class is paired with one hub, the smallest class that it shares a bucket with, which connects most groups with no more
+pairs than classes. Only in buckets that still hold several components is each component compared with each other, in
+chunks, inside the tasks: of the links found there those that connect components are emitted, so none that matters is lost. A pair goes on if its odd
 sketches (the samples folded into a bitmap of parities) allow a similarity of 0.85, and is confirmed on full sets.
 
 A null text has no words. A null doc_id can't be named: its row is returned with a null component, kept. Rows with the
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratascan.llm.common import WordHash, join_repeated, lower_words, materialize, mix64, salted_join, table, tune, window_hash
+from stratascan.llm.common import WordHash, join_repeated, lower_words, materialize, mix64, salted_join, shuffle_partitions, table, tune, window_hash
 
 NGRAM = 5
 #: Least similarity, in hundredths.
@@ -35,6 +35,8 @@ BANDS, ROWS = 36, 7
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SEED = 5
+#: Members of a bucket in one chunk.
+CHUNK = 500
 
 
 def shingles(text: bytes | None, words: WordHash) -> np.ndarray:
@@ -181,6 +183,97 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, name: str
     return materialize(linked(salted_join(close.join(of("a", sets, "shingles", "sa"), "a"), full, "b", "n", 100, F.col("a"))), f"{name}-links")
 
 
+def _by_bucket(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Apply ``run`` (key, table) to the rows of each bucket. A bucket of many members is cut into chunks by a hash of the member, and
+    each pair of chunks is a group, so that every two members meet in one and no group is large; ``chunk`` is a member's own."""
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.withColumn("lo", F.least("chunk", "_other")).withColumn("hi", F.greatest("chunk", "_other")).drop("_other")
+    key = ["bucket", "lo", "hi"]
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if held and keys[i] != last:
+                    yield run(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(i, j - i))
+                last = keys[i]
+        if held:
+            yield run(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(grouped, schema)
+
+
+def _crossing(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, own chunks, members to compare with all others): the most common label's members need not be compared with each other."""
+    label, chunk = group.column("label").to_numpy(), group.column("chunk").to_numpy()
+    names, counts = np.unique(label, return_counts=True)
+    return label, chunk, np.flatnonzero(label != names[counts.argmax()])
+
+
+def _others(i: int, label: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Which members to compare with the i-th: of another label, and of the other chunk where two chunks meet."""
+    other = label != label[i]
+    return other & (chunk != chunk[i]) if chunk.min() != chunk.max() else other
+
+
+def _links_within(live: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between members (bucket, rep, label, n) of a bucket that have different labels. Pairs are formed inside tasks only: those
+    whose odd sketches are close tell which members' sets are fetched, and of the links those that connect labels are returned."""
+    most = most_odd_bits()
+
+    def close(group: pa.Table) -> pa.RecordBatch:
+        label, chunk, some = _crossing(group)
+        bits = np.unpackbits(group.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(label), -1).view(np.uint8), axis=1)
+        keep = np.zeros(len(label), bool)
+        for i in some:
+            near = _others(i, label, chunk) & ((bits != bits[i]).sum(axis=1) <= most)
+            if near.any():
+                keep |= near
+                keep[i] = True
+        return group.select(["bucket", "rep", "label", "n"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else _nothing(group.select(["bucket", "rep", "label", "n"]).schema)
+
+    def link(group: pa.Table) -> pa.RecordBatch:
+        label, chunk, some = _crossing(group)
+        rep, own = group.column("rep").to_numpy(), [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in own])
+        flat, member = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, member = flat[order], member[order]  # members by shingle
+        joined, a, b = {}, [], []
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for i in some:
+            lo, hi = np.searchsorted(flat, own[i], "left"), np.searchsorted(flat, own[i], "right")
+            n = hi - lo
+            both = np.bincount(member[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(own))
+            for j in np.flatnonzero(_others(i, label, chunk) & (100 * both >= THRESHOLD * (size + size[i] - both))):
+                p, q = root(int(label[i])), root(int(label[j]))
+                if p != q:
+                    joined[max(p, q)] = min(p, q)
+                    a.append(int(rep[i])), b.append(int(rep[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    flagged = _by_bucket(live.join(sketches, "rep").select("bucket", "rep", "label", "n", "sketch"), close, "bucket long, rep long, label long, n long")
+    flagged = materialize(flagged.dropDuplicates(["bucket", "rep"]), "near-flagged")
+    full = flagged.join(sets, "rep").select("bucket", "rep", "label", "n", "shingles")
+    return materialize(_by_bucket(full, link, "a long, b long").distinct(), "near-within")
+
+
+def _nothing(schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     tune(docs.sparkSession)
@@ -203,25 +296,14 @@ def components(docs: DataFrame) -> DataFrame:
     links = _confirmed(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sketches, sets, "near-0")
     labels = smallest_reachable(links, "near-0")
 
-    # then, in buckets that still hold several components, with the hub of each bucket, and at last each with each
-    for turn in (1, 2):
-        live = members.join(labels, members.rep == labels.v, "left").select("bucket", "rep", "hub", F.coalesce("label", "rep").alias("label"))
-        several = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        several = materialize(several.select("bucket", "n"), f"near-open-{turn}")
-        live = materialize(join_repeated(live, several, "bucket", ["rep"], "inner"), f"near-live-{turn}")
-        if turn == 1:
-            of_hub = materialize(live.where("rep = hub").select("bucket", F.col("label").alias("hub_label"), "n"), "near-hub-labels")
-            pairs = join_repeated(live.drop("n"), of_hub, "bucket", ["rep"], "inner").where("rep > hub AND label <> hub_label").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-        else:
-            at = live.where("rep <> hub").join(sketches, "rep").select("bucket", "rep", "label", "sketch")
-            differing = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
-            close = F.expr(f"x.bucket = y.bucket AND x.rep > y.rep AND x.label <> y.label AND {differing} <= {most_odd_bits()}")
-            pairs = at.alias("x").join(at.alias("y"), close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        fresh = _confirmed(pairs.distinct(), sketches, sets, f"near-{turn}")
-        if fresh.isEmpty():
-            continue
-        links = materialize(links.unionByName(fresh), f"near-links-{turn}")
-        labels = smallest_reachable(links, f"near-{turn}")
+    # then, in buckets that still hold several components, each component with each other
+    live = members.join(labels, members.rep == labels.v, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    several = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    several = materialize(several.select("bucket", "n"), "near-several")
+    live = materialize(join_repeated(live, several, "bucket", ["rep"], "inner"), "near-live")
+    fresh = _links_within(live, sketches, sets)
+    if not fresh.isEmpty():
+        labels = smallest_reachable(materialize(links.unionByName(fresh), "near-links"), "near-1")
 
     labelled = classes.join(labels, classes.rep == labels.v, "left").select("set_hash", F.coalesce("label", "rep").alias("component_id"), "n")
     labelled = materialize(labelled, "near-labelled")
