@@ -158,9 +158,16 @@ def pack_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "file string, block long, docs binary")
 
 
-def log_score(grams: list[np.ndarray], keys: np.ndarray, counts: np.ndarray, total: int) -> float:
-    """Sum of log S over the words of a document."""
-    c1, c2, c3 = (counts[np.searchsorted(keys, g)].astype(np.float64) for g in grams)
+def look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Counts of n-grams in any order; looked up in ascending order, so that the table is read from one end to the other."""
+    order = np.argsort(asked)
+    found = np.empty(len(asked), np.float64)
+    found[order] = counts[np.searchsorted(keys, asked[order])]
+    return found
+
+
+def log_score(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int) -> float:
+    """Sum of log S over the words of a document, from the counts of its runs of one, two and three words."""
     s = c1 / total
     if len(s) > 1:
         s[1:] = np.where(c2 >= LEAST, c2 / c1[:-1], BACKOFF * s[1:])
@@ -189,7 +196,12 @@ def score_corpus(docs: DataFrame) -> DataFrame:
             keys, _ = distinct_counts([*(g for h in hashed for g in ngrams(h) if len(g)), np.full(1, TOTAL)])
             counts = np.concatenate([unpack_counts(c) for _, c in sorted(got)])
             total = int(counts[0])
-            out += [(d, len(h), log_score(ngrams(h), keys, counts, total) if len(h) else 0.0) for d, h in zip(some.column("doc_id").to_pylist(), hashed, strict=True)]
+            found, sizes = [], np.array([len(h) for h in hashed])
+            for n in range(1, ORDER + 1):
+                flat = look_up(keys, counts, np.concatenate([window_hash(h, n) for h in hashed]))
+                found.append(np.split(flat, np.cumsum(np.maximum(sizes - n + 1, 0))[:-1]))
+            scores = [log_score(*c, total) for c in zip(*found, strict=True)]
+            out += zip(some.column("doc_id").to_pylist(), sizes.tolist(), scores, strict=True)
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "n_words", "log_score"])
 
