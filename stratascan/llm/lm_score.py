@@ -69,12 +69,20 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def distinct_counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all parts, ascending, and how often each occurs."""
-    keys = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+def distinct_counts(hashed: list[np.ndarray], counted: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Distinct n-grams of all orders of documents given as word hashes, ascending, and how often each occurs; the key of the total is
+    the first and occurs once. One array is filled, sorted in place and cut down, as a block has millions of them."""
+    keys = np.empty(1 + sum(max(0, len(h) - n) for h in hashed for n in range(ORDER)), np.uint64)
+    keys[0], at = TOTAL, 1
+    for h in hashed:
+        for g in ngrams(h):
+            keys[at : at + len(g)] = g
+            at += len(g)
     keys.sort()
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    keys = keys[new]
+    return keys, np.diff(np.flatnonzero(new), append=len(new)) if counted else None
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -89,9 +97,9 @@ def located(docs: DataFrame) -> DataFrame:
 def requests(rows: DataFrame, bits: int) -> DataFrame:
     """(part, file, block, lo, hi, keys, counts): the distinct n-grams of rows lo to hi of a block, by the top bits of their hash."""
 
-    def cut(file: str, block: int, lo: int, hi: int, parts: list[np.ndarray], total: int) -> pa.RecordBatch:
-        keys, counts = distinct_counts([*parts, np.full(1, TOTAL)])
-        counts[0] = total  # the smallest key but for 0, which no n-gram has in practice
+    def cut(file: str, block: int, lo: int, hi: int, hashed: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = distinct_counts(hashed)
+        counts[0] = sum(map(len, hashed))  # the smallest key but for 0, which no n-gram has in practice
         edges = np.concatenate([[0], np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(keys)]]) if bits else np.array([0, len(keys)])
         own = [p for p in range(1 << bits) if edges[p] < edges[p + 1]]
         sent = [pack_sorted(keys[edges[p] : edges[p + 1]], p << (64 - bits) if bits else 0) for p in own]
@@ -100,19 +108,17 @@ def requests(rows: DataFrame, bits: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["part", "file", "block", "lo", "hi", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, lo, hi, parts, total = WordHash(), None, 0, 0, [], 0
+        words, at, lo, hi, hashed = WordHash(), None, 0, 0, []
         for b in batches:
             for file, block, row, text in zip(*(b.column(c).to_pylist() for c in ("file", "block", "row", "text")), strict=True):
                 if at != (file, block) or row != hi + 1:
                     if at:
-                        yield cut(*at, lo, hi, parts, total)
-                    at, lo, parts, total = (file, block), row, [], 0
+                        yield cut(*at, lo, hi, hashed)
+                    at, lo, hashed = (file, block), row, []
                 hi = row
-                found = words.of(lower_words(text))
-                total += len(found)
-                parts += [g for g in ngrams(found) if len(g)]
+                hashed.append(words.of(lower_words(text)))
         if at:
-            yield cut(*at, lo, hi, parts, total)
+            yield cut(*at, lo, hi, hashed)
 
     return rows.mapInArrow(run, "part long, file string, block long, lo long, hi long, keys binary, counts binary")
 
@@ -193,7 +199,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
         for (lo, hi), got in by_range.items():
             some = own.take(np.flatnonzero((at >= lo) & (at <= hi)))
             hashed = [words.of(lower_words(t)) for t in some.column("text").to_pylist()]
-            keys, _ = distinct_counts([*(g for h in hashed for g in ngrams(h) if len(g)), np.full(1, TOTAL)])
+            keys, _ = distinct_counts(hashed, counted=False)
             counts = np.concatenate([unpack_counts(c) for _, c in sorted(got)])
             total = int(counts[0])
             found, sizes = [], np.array([len(h) for h in hashed])
