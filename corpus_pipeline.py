@@ -24,9 +24,9 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one stays."""
+    """Of each group of near duplicates, of a similarity of 0.8 or more, one stays."""
     common.release(spark)
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, near_dedup.STAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

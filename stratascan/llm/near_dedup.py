@@ -2,14 +2,14 @@
 
 Words lie between ASCII white space, A-Z lower-cased; a document's set holds its distinct runs of five words, or the
 whole sequence if it has fewer; without words the set is empty and linked with nothing. Two documents are linked if
-100 * |intersection| >= 85 * |union|; components are what links reach.
+100 * |intersection| >= threshold * |union|; components are what links reach. op5 takes 85, the pipeline's stage 80.
 
 Documents with equal sets are one class, and only its smallest doc_id goes on. A class falls into 36 bands of
-seven MinHash samples each (a pair at 0.85 shares none with probability below 1e-6). First
+seven MinHash samples each, at 80 into 46 of six (a pair at the threshold shares none with probability below 1e-6). First
 each class is paired with one hub, the smallest class that it shares a bucket with, which connects most groups with no more
 pairs than classes. Only in buckets that still hold several components is each component compared with each other, in
 chunks, inside the tasks: of the links found there those that connect components are emitted, so none that matters is lost. A pair goes on if its odd
-sketches (the samples folded into a bitmap of parities) allow a similarity of 0.85, and is confirmed on full sets.
+sketches (the samples folded into a bitmap of parities) allow the threshold, and is confirmed on full sets.
 
 A null text has no words. A null doc_id can't be named: its row is returned with a null component, kept. Rows with the
 same doc_id are one document if their sets are equal. An empty table gives an empty result. Only doc_id and text are
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,19 @@ SEED = 5
 CHUNK = 500
 
 
+class Links(NamedTuple):
+    """What links two documents: least similarity in hundredths, and the bands that find it."""
+
+    threshold: int = THRESHOLD
+    bands: int = BANDS
+    rows: int = ROWS
+
+
+OP5 = Links()
+#: The pipeline's stage takes a similarity of 0.8 or more; a pair at 0.8 shares no band with probability below 1e-6.
+STAGE = Links(80, 46, 6)
+
+
 def shingles(text: bytes | None, words: WordHash) -> np.ndarray:
     """Distinct hashes of the runs of five words, ascending."""
     found = words.of(lower_words(text))
@@ -50,23 +64,24 @@ def shingles(text: bytes | None, words: WordHash) -> np.ndarray:
 class Sketcher:
     """MinHash samples, their bands, and the odd sketch."""
 
-    def __init__(self, seed: int = SEED) -> None:
+    def __init__(self, seed: int = SEED, bands: int = BANDS, rows: int = ROWS) -> None:
         rng = np.random.default_rng(seed)
-        self.mul = rng.integers(0, 2**31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
-        self.add = rng.integers(0, 2**32, SAMPLES, np.uint32)
-        self.slot = rng.integers(0, 2**63, SAMPLES, np.uint64)
-        self.band = rng.integers(0, 2**63, BANDS, np.uint64)
+        self.shape, n = (bands, rows), bands * rows
+        self.mul = rng.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 2**32, n, np.uint32)
+        self.slot = rng.integers(0, 2**63, n, np.uint64)
+        self.band = rng.integers(0, 2**63, bands, np.uint64)
 
     def samples(self, found: np.ndarray) -> np.ndarray:
         small = (found >> np.uint64(32)).astype(np.uint32)
-        out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+        out = np.full(len(self.mul), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(small), 1024):
             np.minimum(out, (np.multiply.outer(self.mul, small[at : at + 1024]) + self.add[:, None]).min(axis=1), out=out)
         return out
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
-        h, rows = self.band.copy(), samples.reshape(BANDS, ROWS).astype(np.uint64)
-        for i in range(ROWS):
+        h, rows = self.band.copy(), samples.reshape(self.shape).astype(np.uint64)
+        for i in range(self.shape[1]):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
         return h.view(np.int64)
 
@@ -77,10 +92,10 @@ class Sketcher:
         return np.packbits(parity).view(np.int64)
 
 
-def most_odd_bits() -> int:
+def most_odd_bits(threshold: int = THRESHOLD, samples: int = SAMPLES) -> int:
     """Differing bits of two odd sketches that a pair at the threshold exceeds with a chance of about 1e-7 at most."""
-    p = 1 - THRESHOLD / 100
-    differing = SAMPLES * p + 5.2 * math.sqrt(SAMPLES * p * (1 - p))
+    p = 1 - threshold / 100
+    differing = samples * p + 5.2 * math.sqrt(samples * p * (1 - p))
     z = SKETCH_BITS / 2 * (1 - math.exp(-4 * differing / SKETCH_BITS))
     return math.ceil(z + 4 * math.sqrt(SKETCH_BITS) / 2 * 0.6)
 
@@ -88,13 +103,13 @@ def most_odd_bits() -> int:
 SIGNATURE = "doc_id long, n_shingles long, set_hash string, bands array<long>, sketch array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, links: Links = OP5) -> DataFrame:
     """One row per row of ``docs``: set size, a 128-bit hash of the set, bands and odd sketch (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words, sketcher = WordHash(), Sketcher()
+        words, sketcher = WordHash(), Sketcher(bands=links.bands, rows=links.rows)
         for b in batches:
             n, hashes, bands, sketches = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -126,7 +141,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
-def linked(pairs: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, threshold: int) -> DataFrame:
     """(a, b) of the pairs (a, b, sa, sb) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +149,10 @@ def linked(pairs: DataFrame) -> DataFrame:
             keep = []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(p), len(q)) < THRESHOLD * max(len(p), len(q)):
+                if 100 * min(len(p), len(q)) < threshold * max(len(p), len(q)):
                     continue
                 both = len(p) + len(q) - len(np.union1d(p, q))
-                if 100 * both >= THRESHOLD * (len(p) + len(q) - both):
+                if 100 * both >= threshold * (len(p) + len(q) - both):
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -164,7 +179,7 @@ def smallest_reachable(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int, most: int, name: str) -> DataFrame:
     """The pairs (a, b), b the hub, that sketches allow and full sets confirm; hubs of many are dealt to many tasks."""
     words = SKETCH_BITS // 64
     pairs = materialize(pairs, f"{name}-pairs")
@@ -178,9 +193,9 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, name: str
     hubs = of("b", sketches, "sketch", "kb").join(counts, "b")
     close = salted_join(pairs.join(of("a", sketches, "sketch", "ka"), "a"), hubs, "b", "n", 500, F.col("a"))
     differing = sum((F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(1, words)), F.bit_count(F.col("ka")[0].bitwiseXOR(F.col("kb")[0])))
-    close = materialize(close.where(differing <= most_odd_bits()).select("a", "b", "n"), f"{name}-close")
+    close = materialize(close.where(differing <= most).select("a", "b", "n"), f"{name}-close")
     full = of("b", sets, "shingles", "sb").join(close.groupBy("b").agg(F.first("n").alias("n")), "b")
-    return materialize(linked(salted_join(close.join(of("a", sets, "shingles", "sa"), "a"), full, "b", "n", 100, F.col("a"))), f"{name}-links")
+    return materialize(linked(salted_join(close.join(of("a", sets, "shingles", "sa"), "a"), full, "b", "n", 100, F.col("a")), threshold), f"{name}-links")
 
 
 def _by_bucket(rows: DataFrame, run, schema: str) -> DataFrame:
@@ -223,10 +238,9 @@ def _others(i: int, label: np.ndarray, chunk: np.ndarray) -> np.ndarray:
     return other & (chunk != chunk[i]) if chunk.min() != chunk.max() else other
 
 
-def _links_within(live: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_within(live: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int, most: int) -> DataFrame:
     """(a, b): links between members (bucket, rep, label, n) of a bucket that have different labels. Pairs are formed inside tasks only: those
     whose odd sketches are close tell which members' sets are fetched, and of the links those that connect labels are returned."""
-    most = most_odd_bits()
 
     def close(group: pa.Table) -> pa.RecordBatch:
         label, chunk, some = _crossing(group)
@@ -257,7 +271,7 @@ def _links_within(live: DataFrame, sketches: DataFrame, sets: DataFrame) -> Data
             lo, hi = np.searchsorted(flat, own[i], "left"), np.searchsorted(flat, own[i], "right")
             n = hi - lo
             both = np.bincount(member[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(own))
-            for j in np.flatnonzero(_others(i, label, chunk) & (100 * both >= THRESHOLD * (size + size[i] - both))):
+            for j in np.flatnonzero(_others(i, label, chunk) & (100 * both >= threshold * (size + size[i] - both))):
                 p, q = root(int(label[i])), root(int(label[j]))
                 if p != q:
                     joined[max(p, q)] = min(p, q)
@@ -274,10 +288,12 @@ def _nothing(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, links: Links = OP5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     tune(docs.sparkSession)
-    sig = materialize(signatures(docs), "near-signatures")
+    threshold = links.threshold
+    most = most_odd_bits() if links == OP5 else most_odd_bits(threshold, links.bands * links.rows)
+    sig = materialize(signatures(docs, links), "near-signatures")
     named = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "near-classes")
 
@@ -293,17 +309,17 @@ def components(docs: DataFrame) -> DataFrame:
 
     # first each document with one hub, the smallest of all its buckets': most groups are connected by that
     star = members.where("rep > hub").groupBy("rep").agg(F.min("hub").alias("hub"))
-    links = _confirmed(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sketches, sets, "near-0")
-    labels = smallest_reachable(links, "near-0")
+    found = _confirmed(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sketches, sets, threshold, most, "near-0")
+    labels = smallest_reachable(found, "near-0")
 
     # then, in buckets that still hold several components, each component with each other
     live = members.join(labels, members.rep == labels.v, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
     several = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     several = materialize(several.select("bucket", "n"), "near-several")
     live = materialize(join_repeated(live, several, "bucket", ["rep"], "inner"), "near-live")
-    fresh = _links_within(live, sketches, sets)
+    fresh = _links_within(live, sketches, sets, threshold, most)
     if not fresh.isEmpty():
-        labels = smallest_reachable(materialize(links.unionByName(fresh), "near-links"), "near-1")
+        labels = smallest_reachable(materialize(found.unionByName(fresh), "near-links"), "near-1")
 
     labelled = classes.join(labels, classes.rep == labels.v, "left").select("set_hash", F.coalesce("label", "rep").alias("component_id"), "n")
     labelled = materialize(labelled, "near-labelled")
@@ -313,9 +329,9 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, links: Links = OP5) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, with its columns; rows without id stay."""
-    drop = components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    drop = components(docs, links).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.select(F.struct("*").alias("_doc"), docs["doc_id"].cast("long").alias("_drop")).join(drop, "_drop", "left_anti").select("_doc.*")
 
 

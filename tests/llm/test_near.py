@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from stratascan.llm import near_dedup
 from stratascan.llm.common import WordHash
 from tests.llm.data import frame, prose, write
@@ -106,3 +107,27 @@ def test_odd_sketches_estimate_similarity():
         estimate = 1 + bits / (4 * near_dedup.SAMPLES) * np.log(max(1 - 2 * z / bits, 1e-3))
         assert least <= estimate <= most
         assert (z <= near_dedup.most_odd_bits()) == (n < 600)
+
+
+def test_the_stage_links_at_80_and_op5_at_85(spark):
+    """Pairs from 0.80 to just under 0.85: one copy of each goes in the pipeline's stage, none in op5."""
+    texts = []
+    for base in range(40):
+        text = prose(300, 3000 + base)
+        words = text.split()
+        for at in range(5, 5 + 14 * 5, 14):  # 5 words apart from each other: 25 to 33 of 296 runs change
+            words[at] = f"yy{at}"
+        words[200] = "yy200"
+        texts += [text, " ".join(words)]
+    pairs = [(shingle_set(a), shingle_set(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert all(80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) for a, b in pairs)
+    docs = frame(spark, texts)
+    assert corpus_pipeline.dedup_near(spark, docs, "").count() == 40
+    assert near_dedup.keep_one(docs).count() == 80
+
+
+def test_bands_and_sketches_miss_hardly_any_pair_at_the_threshold():
+    for links in (near_dedup.OP5, near_dedup.STAGE):
+        assert (1 - (links.threshold / 100) ** links.rows) ** links.bands < 1e-6
+    # differing bits at 0.80 lie within the stage's bound by far
+    assert near_dedup.most_odd_bits(80, near_dedup.STAGE.bands * near_dedup.STAGE.rows) > near_dedup.most_odd_bits()
