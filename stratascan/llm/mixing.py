@@ -8,7 +8,8 @@ Each source's documents stand in an order fixed by a digest of their ids; the so
 as needed, are cut into blocks of ``block_words``. The numbers of blocks are split exactly among output shards:
 a binary tree over the shards draws, at each node, how many blocks of every source go left, without
 replacement. A node's draw depends only on the seed and its place, so every task can walk from the root to its
-own shard. Shards then take disjoint runs of the permuted blocks and shuffle them locally.
+own shard. Shards then take disjoint runs of the permuted blocks and shuffle them locally. A document is in the block
+where its copy begins; only what is in a dealt block is taken, and documents are written shard by shard in shuffled order.
 
 A row is a document, also if it repeats; null ids and empty texts are rows of size 0 or more like any other. An
 empty table gives an empty result. Only doc_id, source and text are read. Reruns agree, whatever the partitions.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stratascan.llm.common import materialize, table
+from stratascan.llm.common import materialize, shuffle_partitions, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -116,6 +117,7 @@ def deal_blocks(sources: DataFrame, shards: int, block_words: int, seed: int) ->
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and copy taken: the document's columns in ``keep`` as a struct ``doc``, source_size, target, copy
     (from 0), words taken of it, and the shard, block and place where they go; untaken documents have one row without a copy.
+    Nothing is taken of a copy whose block no shard was dealt.
     """
     u = place_in_order(F.col("doc_id"), seed)
     rows = docs.select(
@@ -145,16 +147,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int =
     n_blocks = sources.agg(F.coalesce(F.sum(F.ceil(F.round("target") / block_words)), F.lit(0)).alias("n")).first()["n"]
     blocks = deal_blocks(sources, max(1, -(-int(n_blocks) // shard_blocks)), block_words, seed)
     rows = rows.join(blocks, ["source_no", "block"], "left")
-    local = F.xxhash64("shard", "doc_id", "run", "row_no", "copy", F.lit(seed))
-    return rows.withColumn("place", local).select(
+    rows = rows.withColumn("words", F.when(F.col("shard").isNotNull(), F.col("words")))
+    local = F.xxhash64("shard", "source_no", "doc_id", "run", "row_no", "copy", F.lit(seed))
+    return rows.withColumn("place", F.when(F.col("shard").isNotNull(), local)).select(
         "doc_id", *(["doc"] if keep else []), "source", "size", "source_no", "run", "row_no", "source_size", "target", "copy", "words", "block", "shard", "place"
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a document taken n times is there n times, one taken in part is cut
-    after the words taken."""
+    after the words taken. Rows are in order of shard and, in a shard, of place; a large shard may take several partitions."""
     rows = mix(docs, keep=tuple(docs.columns), **options).where("words > 0")
+    order = ["shard", "place", "source_no", "run", "row_no", "copy"]
+    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     whole = F.col("words") >= F.col("size")
     first_words = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("words").cast("int")), " ")
     cut = F.when(whole, F.col("doc.text")).otherwise(first_words)

@@ -136,3 +136,27 @@ def test_mixed_documents_repeat_drop_and_cut(spark):
     want = water_fill({"a": 3000, "b": 500, "c": 500})
     assert all(abs(words[s] - want[s]) <= 1 for s in words)
     assert all(texts[r.doc_id].startswith(r.text) for r in got)
+
+
+def test_the_draws_decide_what_is_taken_and_where_it_goes(spark, tmp_path, monkeypatch):
+    texts, sources = [prose(100, i) for i in range(40)], ["a"] * 30 + ["b"] * 5 + ["c"] * 5
+    docs = frame(spark, texts, sources)
+    options = {"block_words": 64, "shard_blocks": 4}
+    pieces = [r for r in mixing.mix(docs, **options).collect() if r.words]
+    blocks = {r.source_no: -(-round(r.target) // 64) for r in pieces}
+    shards = -(-sum(blocks.values()) // 4)
+    drawn = {}
+    for shard in range(shards):
+        first, n = mixing.shard_quotas(np.array([blocks[s] for s in sorted(blocks)]), shards, shard, mixing.SEED)
+        drawn |= {(s, b): shard for s, a, k in zip(sorted(blocks), first, n, strict=True) for b in range(a, a + k)}
+    assert all(r.shard == drawn[r.source_no, r.block] for r in pieces)
+    want = [r.doc_id for r in sorted(pieces, key=lambda r: (r.shard, r.place))]
+    assert [r.doc_id for r in mixing.mixed_documents(docs, **options).collect()] == want
+
+    deal = mixing.deal_blocks
+    sf_dir = write(spark, tmp_path, docs)
+    whole = sum(r.taken for r in mixing.op8_source_mix(spark, sf_dir).collect())
+    monkeypatch.setattr(mixing, "deal_blocks", lambda *a: deal(*a).where("source_no <> 0"))
+    assert {r.source for r in mixing.mixed_documents(docs, **options).collect()} == {"b", "c"}
+    got = mixing.op8_source_mix(spark, sf_dir).collect()
+    assert whole == 4000 and len(got) == 40 and all((r.taken == 0) == (r.doc_id < 30) for r in got if r.taken or r.doc_id < 30)
