@@ -22,7 +22,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_LENGTH = 20
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}")
 
 #: Character class -> (members, window, least bits in a window). Random strings of a class lie above, words below.
 CLASSES = {
@@ -30,7 +31,11 @@ CLASSES = {
     "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.6),
 }
 
-#: A candidate that one of these matches whole is no secret.
+#: The path of an address, up to a quote, comma, bracket, colon, query or anything else that is no plain path character.
+#: What comes before an at sign is user-info, not a path.
+ADDRESS_PATH = r"""://[^\s/?#"'`<>,;|\\()\[\]{}]*+(?P<path>/[\w.~%+/!$*-]*+)(?![^\s/?#"'`<>,;|\\()\[\]{}]*@)"""
+
+#: A candidate that one of these matches whole is no secret, nor is what lies in the group ``path`` of one that has it.
 ALLOW = (
     r"[A-Za-z]+",  # words
     r"[0-9]+",  # numbers
@@ -38,6 +43,7 @@ ALLOW = (
     r"[-_=+/]+",  # rules
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
     r"[0-9]{4}[-_/][0-9]{2}[-_/][0-9]{2}[-_/A-Za-z0-9]*",  # dates and what is filed under them
+    ADDRESS_PATH,
 )
 
 
@@ -84,15 +90,31 @@ def entropy_runs(text: str, members: frozenset, window: int, least: float) -> li
     return runs
 
 
+def candidates(text: str, allow: list[re.Pattern]) -> Iterator[tuple[int, str]]:
+    """(start, string) of the candidates, without what lies in a ``path`` of the allow list."""
+    paths = sorted(m.span("path") for p in allow for m in p.finditer(text)) if "://" in text else []
+    at = 0
+    for m in _CANDIDATE.finditer(text):
+        begin, end = m.span()
+        while at < len(paths) and paths[at][1] <= begin:
+            at += 1
+        i = at
+        while i < len(paths) and paths[i][0] < end:
+            if paths[i][0] - begin >= CANDIDATE_LENGTH:
+                yield begin, text[begin : paths[i][0]]
+            begin = max(begin, paths[i][1])
+            i += 1
+        if end - begin >= CANDIDATE_LENGTH:
+            yield begin, text[begin:end]
+
+
 def entropy_spans(text: str, allow: tuple[re.Pattern, ...], classes: dict = CLASSES) -> list[tuple[int, int, str]]:
     """Spans of candidate strings with a random look, not suppressed by the allow list."""
     spans = []
-    for m in _CANDIDATE.finditer(text):
-        s = m.group()
-        if s.isalpha() or any(p.fullmatch(s) for p in allow):
+    whole = [p for p in allow if "path" not in p.groupindex]
+    for start, s in candidates(text, [p for p in allow if "path" in p.groupindex]):
+        if s.isalpha() or any(p.fullmatch(s) for p in whole):
             continue
-        if "://" in re.split(r"\s", text[max(0, m.start() - 40) : m.start() + 2])[-1]:
-            continue  # inside an address
         found = []
         for members, window, least in classes.values():
             for a, b in entropy_runs(s, members, window, least):
@@ -102,9 +124,9 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...], classes: dict = CLAS
         end = -1
         for a, b in sorted(found):
             if a > end:
-                spans.append((m.start() + a, m.start() + b, "entropy"))
+                spans.append((start + a, start + b, "entropy"))
             elif b > end:
-                spans[-1] = (spans[-1][0], m.start() + b, "entropy")
+                spans[-1] = (spans[-1][0], start + b, "entropy")
             end = max(end, b)
     return spans
 

@@ -64,3 +64,18 @@ def test_incremental_entropy_equals_a_recount():
 def test_no_documents_and_clashing_columns(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
     assert secrets.find_secrets(frame(spark, [None, None], ids=[None, 1])).columns == ["doc_id", "spans"]
+
+
+def test_only_the_path_of_an_address_is_suppressed():
+    key = "Zq8Lw3Xc5Vb7Nm1Kj4Hg6Fd2Sa9"
+    allow = tuple(map(re.compile, secrets.ALLOW))
+    for text in (
+        f"postgres://app:{key}@db/x", f"postgres://app:ab/{key}@db", f"https://{key}@host", f"https://{key}@host/a/b", f"https://h.io/a?sig={key}", f"https://h.io/a?x=1&sig={key}", f"https://h.io/a#t={key}",
+        f'{{"url":"https://x.io","k":"{key}"}}', f'{{"url":"https://x.io/a/b","k":"{key}"}}', f"[https://x.io/a]{key}", f"(https://x.io/a){key}", f"https://x.io/a,{key}", f"https://x.io/a;s={key}", f"https://x.io/{'a' * 60}?k={key}",
+    ):
+        spans = secrets.entropy_spans(text, allow)
+        assert any(text[a:b].endswith(key) for a, b, _ in spans) and len(spans) == 1, (text, spans)
+    for text in (f"https://host/{key}", f"see https://host.io:8080/a/{key}/b.html, and", f'"https://host/{"a." * 40}/{key}"', f"ftp://u@host/{key}"):
+        assert secrets.entropy_spans(text, allow) == [], text
+        without = tuple(p for p in allow if p.pattern != secrets.ADDRESS_PATH)
+        assert len(secrets.entropy_spans(text, without)) == 1, text
