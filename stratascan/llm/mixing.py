@@ -156,12 +156,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a document taken n times is there n times, one taken in part is cut
-    after the words taken. Rows are in order of shard and, in a shard, of place; a large shard may take several partitions."""
+    after the words taken, its white space unchanged. Rows are in order of shard and, in a shard, of place; a large shard may take several partitions."""
     rows = mix(docs, keep=tuple(docs.columns), **options).where("words > 0")
     order = ["shard", "place", "source_no", "run", "row_no", "copy"]
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     whole = F.col("words") >= F.col("size")
-    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    n = F.col("words").cast("int")  # the text up to the end of its n-th word, as it stands
+    first_words = F.array_join(F.slice(F.split(F.col("doc.text").cast("string"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", n + 1), 1, n), "")
     cut = F.when(whole, F.col("doc.text")).otherwise(first_words)
     return rows.select(*[cut.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 

@@ -160,3 +160,10 @@ def test_the_draws_decide_what_is_taken_and_where_it_goes(spark, tmp_path, monke
     assert {r.source for r in mixing.mixed_documents(docs, **options).collect()} == {"b", "c"}
     got = mixing.op8_source_mix(spark, sf_dir).collect()
     assert whole == 4000 and len(got) == 40 and all((r.taken == 0) == (r.doc_id < 30) for r in got if r.taken or r.doc_id < 30)
+
+
+def test_the_cut_document_keeps_its_white_space(spark):
+    texts = ["\n " + prose(90 + i, i).replace(" ", " \t\n", 50) + "\n" for i in range(40)]
+    got = mixing.mixed_documents(frame(spark, texts, ["a"] * 30 + ["b"] * 5 + ["c"] * 5)).collect()
+    cut = [r for r in got if r.text != texts[r.doc_id]]
+    assert cut and all(texts[r.doc_id].startswith(r.text) and texts[r.doc_id][len(r.text)] in " \t\n" for r in cut)
