@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratascan.config import Config
 from stratascan.functions import encoding, peptides, scalars
 from stratascan.operators import models, slices, spectra, tensors, windows
 from stratascan.plans import views
@@ -454,7 +455,8 @@ def _dense(spark, sf_dir):
 @query()
 def q46_parafac(spark, sf_dir):
     """R2 and rounds of the models of every slice; the factors are random up to scale, so they are not compared."""
-    factors = tensors.decompose(_dense(spark, sf_dir), 1, 2, max_iter=60, tol=1e-5)
+    c = Config()
+    factors = tensors.decompose(_dense(spark, sf_dir), c.parafac_min_comp, c.parafac_max_comp, c.parafac_max_iter, c.parafac_tolerance, c.parafac_init, c.parafac_seed)
     return tensors.measures(factors).withColumn("rsq", F.round("rsq", 6))
 
 

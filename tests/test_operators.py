@@ -1,11 +1,14 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratascan.config import Config
 from stratascan.operators import models, slices, spectra, tensors, windows
+from stratascan.plans import queries
 
 POINT = "swath int, rt_window int, file string, spectrum_index int, level tinyint, rt double, mz double, intensity double"
 
@@ -224,3 +227,24 @@ def test_peaks_of_gaussians(centres):
 def test_charge_variants_in_order(spark):
     got = [(r.scans, r.charge, r.name) for r in spectra.charge_variants(spark.createDataFrame([("a",), ("b",)], "name string"), "name").orderBy("scans").collect()]
     assert got == [(1, 2, "a"), (2, 2, "b"), (3, 3, "a"), (4, 3, "b")]
+
+
+def test_registered_decomposition_has_the_production_values(spark, monkeypatch):
+    """q46 equals plain multiplicative updates with every number of components and as many rounds as Config allows."""
+    x, config = low_rank((3, 4, 5), 3, 4), Config()
+    dense = spark.createDataFrame([(7, 1, *map(int, at), float(v)) for at, v in np.ndenumerate(x)], "swath int, rt_window int, i int, j int, k int, v double")
+    monkeypatch.setattr(queries, "_dense", lambda *_: dense)
+    got = {r.ncomp: r for r in queries.q46_parafac(spark, "").collect()}
+    assert set(got) == set(range(config.parafac_min_comp, config.parafac_max_comp + 1)) == set(range(2, 21))
+    assert max(r.iterations for r in got.values()) > 60
+    for rank in (2, 3, 20):
+        rng = np.random.default_rng(zlib.crc32(f"7/1/{rank}/{config.parafac_seed}".encode()))
+        factors, errors = [rng.random((n, rank)) for n in x.shape], []
+        while len(errors) < config.parafac_max_iter and (len(errors) < 2 or abs(errors[-2] - errors[-1]) >= config.parafac_tolerance):
+            for mode in range(3):
+                a, b = (factors[m] for m in range(3) if m != mode)
+                khatri_rao = np.array([[a[p, r] * b[q, r] for r in range(rank)] for p in range(len(a)) for q in range(len(b))])
+                top = np.moveaxis(x, mode, 0).reshape(x.shape[mode], -1) @ khatri_rao
+                factors[mode] = factors[mode] * np.maximum(top, 1e-11) / np.maximum(factors[mode] @ (khatri_rao.T @ khatri_rao), 1e-11)
+            errors.append(np.linalg.norm(np.einsum("ir,jr,kr->ijk", *factors) - x) / np.linalg.norm(x))
+        assert abs(got[rank].rsq - (1 - errors[-1] ** 2)) < 1e-5, rank
