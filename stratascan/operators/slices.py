@@ -120,6 +120,12 @@ def pivot_slice(coo: DataFrame, columns: list[int]) -> DataFrame:
     return coo.groupBy(*SLICE, "i", "j").pivot("k", columns).agg(F.sum("v"))
 
 
+def wide_slice(coo: DataFrame) -> DataFrame:
+    """Wide form of whole slices: a row per sample and time, with all its m/z ordinals ``ks``, ascending, and their values ``vs``."""
+    cells = F.array_sort(F.collect_list(F.struct("k", "v")))
+    return coo.groupBy(*SLICE, "i", "j").agg(cells.alias("_cells")).select(*SLICE, "i", "j", F.col("_cells.k").alias("ks"), F.col("_cells.v").alias("vs"))
+
+
 def axes(coo: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three axis tables of all slices: (slice, i, file), (slice, j) and (slice, k, level, start)."""
     return coo.select(*SLICE, "i", "file").distinct(), coo.select(*SLICE, "j").distinct(), coo.select(*SLICE, "k", "level", "start").distinct()

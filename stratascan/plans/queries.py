@@ -163,6 +163,12 @@ def q12_tensor_pivot(spark, sf_dir):
     return out.select("swath", "rt_window", "i", "j", *[F.col(str(k)).alias(f"k{k}") for k in range(4)])
 
 
+@query(with_(*TO_COO) + "SELECT swath, rt_window, i, j, list(k ORDER BY k) AS ks, list(round(v, 5) ORDER BY k) AS vs FROM coo GROUP BY ALL")
+def q56_tensor_wide(spark, sf_dir):
+    """Every ordinal of a slice; q12 has the four that its SQL names."""
+    return slices.wide_slice(tensor(spark, sf_dir)).withColumn("vs", F.transform("vs", lambda v: F.round(v, 5)))
+
+
 _T = slices.TAPS
 
 

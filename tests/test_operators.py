@@ -248,3 +248,10 @@ def test_registered_decomposition_has_the_production_values(spark, monkeypatch):
                 factors[mode] = factors[mode] * np.maximum(top, 1e-11) / np.maximum(factors[mode] @ (khatri_rao.T @ khatri_rao), 1e-11)
             errors.append(np.linalg.norm(np.einsum("ir,jr,kr->ijk", *factors) - x) / np.linalg.norm(x))
         assert abs(got[rank].rsq - (1 - errors[-1] ** 2)) < 1e-5, rank
+
+
+def test_wide_slice_has_every_ordinal(spark):
+    cells = [(1, 0, i, j, k, float(100 * i + 10 * j + k)) for i in range(2) for j in range(2) for k in range(40) if (i + j + k) % 3]
+    got = slices.wide_slice(spark.createDataFrame(cells, "swath int, rt_window int, i int, j int, k int, v double")).collect()
+    assert len(got) == 4 and sorted((r.swath, r.rt_window, r.i, r.j, k, v) for r in got for k, v in zip(r.ks, r.vs, strict=True)) == cells
+    assert all(r.ks == sorted(r.ks) for r in got)
