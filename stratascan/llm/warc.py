@@ -13,7 +13,6 @@ page_id, url and html are read.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratascan.llm.common import drop_path, join_repeated, materialize, read_blobs, shared_path, table, tune, write_blobs
+from stratascan.llm.common import drop_path, join_repeated, materialize, read_blobs, shared_path, shuffle_partitions, table, tune, write_blobs
 
 # Fixed values of the two ARC versions: the header fields in order.
 FIELDS = {
@@ -38,6 +37,8 @@ EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x0
 
 #: Compressed bytes after which a file is closed, and records after which it is closed too.
 FILE_BYTES, FILE_RECORDS = 4 << 20, 5000
+#: Archives in a task that converts them.
+TASK_FILES = 12
 LEVEL = 1
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 
@@ -47,6 +48,23 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def gunzip(data: bytes, step: int = 8192) -> bytes:
+    """Content of all members of a gzip file. A member is read in steps, so what lies behind it is never copied as a whole."""
+    out, at = [], 0
+    while at < len(data):
+        z, size = zlib.decompressobj(31), step
+        while not z.eof:
+            part = data[at : at + size]
+            if not part:
+                raise EOFError("gzip member cut short")
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+            size = min(2 * size, 1 << 20)
+        while data[at : at + 1] == b"\0":  # padding between members
+            at += 1
+    return b"".join(out)
+
+
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -139,7 +157,7 @@ def arc_index(files: DataFrame) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = []
-                for i, r in enumerate(parse_arc(gzip.decompress(content))):
+                for i, r in enumerate(parse_arc(gunzip(content))):
                     fields, _, payload = http_parts(r["body"])
                     page_id = fields.get("x-page-id")
                     rows.append((path, i, None if page_id is None else int(page_id), r["URL"], r["Archive-date"], sha1_base32(payload), hashlib.sha256(payload).hexdigest(), len(payload)))
@@ -172,7 +190,7 @@ def warc_record(kind: str, ident: str, date: str, content_type: str, block: byte
 def convert(arc: bytes, revisits: dict[int, dict]) -> bytes:
     """One WARC file of one ARC file; ``revisits``: by position, the record that holds the same payload."""
     out = [member(warc_record("warcinfo", record_id(hashlib.sha1(arc).hexdigest(), "", None), warc_date("20200101"), "application/warc-fields", b"software: stratascan\r\nformat: WARC File Format 1.0\r\n", {}))]
-    for i, r in enumerate(parse_arc(gzip.decompress(arc))):
+    for i, r in enumerate(parse_arc(gunzip(arc))):
         url, date, block = r["URL"], r["Archive-date"], r["body"]
         is_http = block.startswith(b"HTTP/")
         fields, head, payload = http_parts(block) if is_http else ({}, b"", block)
@@ -221,7 +239,9 @@ def convert_archives(arc_files: DataFrame, out: str, min_bytes: int = 0) -> None
             for content, revisits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([convert(content, {r["nth"]: r for r in revisits or []})], pa.binary())], ["content"])
 
-    files = arc_files.join(per_file.withColumnRenamed("file", "path"), "path", "left").select("content", "revisits")
+    # the archives are dealt once, some tens of megabytes a task however many there are
+    n = max(shuffle_partitions(arc_files.sparkSession), -(-arc_files.select("path").count() // TASK_FILES))
+    files = arc_files.repartition(n, "path").join(per_file.withColumnRenamed("file", "path").repartition(n, "path"), "path", "left").select("content", "revisits")
     write_blobs(files.mapInArrow(run, "content binary"), "content", out, EMPTY_MEMBER)
 
 
@@ -235,7 +255,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0).to_pylist():
                 rows = []
-                for fields, block in parse_warc(gzip.decompress(content)):
+                for fields, block in parse_warc(gunzip(content)):
                     if fields["warc-type"] not in ("response", "revisit"):
                         continue
                     http, _, payload = http_parts(block)

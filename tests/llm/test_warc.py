@@ -51,6 +51,15 @@ def test_header_lines_and_declared_lengths(version):
     assert [f["warc-record-id"] for f, _ in again[1:]] == [f["warc-record-id"] for f, _ in records[1:]]
 
 
+def test_members_of_any_size_are_read():
+    parts = [b"", b"a", b"x" * 100_000, bytes(range(256)) * 4000, b"", b"end"]
+    data = b"".join(map(gzip.compress, parts))
+    assert warc.gunzip(data) == gzip.decompress(data) == b"".join(parts)
+    assert warc.gunzip(data, step=7) == b"".join(parts) and warc.gunzip(b"") == b"" and warc.gunzip(data + b"\0\0") == b"".join(parts)
+    with pytest.raises(EOFError):
+        warc.gunzip(data[:-3])
+
+
 def test_damage_is_noticed():
     record = warc.warc_record("response", "<x>", "2020-01-01T00:00:00Z", "text/plain", b"abc", {})
     assert [b for _, b in warc.parse_warc(record)] == [b"abc"]
