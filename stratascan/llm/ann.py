@@ -1,23 +1,29 @@
 """Approximate nearest neighbours by inner product: a hash-prefix forest.
 
 A vector x becomes (x / M, sqrt(1 - |x / M|^2)), M the largest norm, so that the largest inner product with a query is the
-smallest angle. Each of ``TREES`` trees gives a vector a string of 32 bits, the signs of random projections. The rows
-are cut into shards; a shard sorts its strings tree by tree. A query descends to the longest prefix it shares with a
-string of any tree, then ascends in all trees at once, one bit at a time, until it has met enough candidates: all rows that share
-a prefix of the level with it in some tree. Candidates are scored exactly, on the original vectors in double precision.
+smallest angle. Each of ``TREES`` trees gives a vector a string of 32 bits, the signs of random projections, and holds the rows in a
+sorted array of these strings. A query descends in every tree to the longest prefix that it shares with another row's string; its own row is
+left out. From the longest of these it ascends in all trees at once, one bit and within a bit one tree at a time, taking in the rows that share the
+shorter prefix, until it has met enough rows. So every query stops at a prefix of its own. The rows met, and those equal to the query,
+are scored exactly, on the original vectors in double precision.
 
-How far to ascend is measured, not guessed: for at most ``PROBES`` queries the true neighbours are found by brute force over all rows,
-and the level is the longest prefix that finds ``RECALL`` of them. Where neighbours are hardly nearer than other rows, as in random
-vectors, that is a short prefix and a large part of the rows; where they are near, a long one and few.
+How many rows are enough is measured, not guessed: for at most ``PROBES`` queries the true neighbours are found by brute force over all rows,
+and so is how many rows the ascent meets before each of them; the number kept is the one that reaches ``RECALL`` of them. Random vectors
+have neighbours that are hardly nearer than other rows, so that a large part of the rows is scored; where neighbours are near it is a few.
+
+The index is cut into shards of ``SHARD_ROWS`` rows with a forest each. A query asks every shard for its part of the number and the best of
+all shards are its result, so no task holds more than a shard and a block of ``QUERY_ROWS`` queries. A block of queries meets each shard once.
 
 Equal vectors are one row of the index, with their smallest ids, as many as a result can hold. Vectors that are null, zero or hold null or
 non-finite components take no part, nor do null ids or vectors of another length than the most common one. A repeated id with the same
-vector is one row. An empty table gives an empty result. Only vec_id and embedding are read.
+vector is one row; with different vectors each is a query, and results are the best of both. Equal scores go by vec_id. An empty table gives an
+empty result. Only vec_id and embedding are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,72 +33,113 @@ from pyspark.sql.window import Window as W
 
 from stratascan.llm.common import materialize, table
 
-TREES = 48
+TREES = 128
 BITS = 32
 NEAREST = 20
-#: Queries whose neighbours are found by brute force, to set the level.
+#: Queries whose neighbours are found by brute force, to set how many rows a query meets.
 PROBES = 64
-RECALL = 0.96
-#: Candidates that a query meets at least, in each shard.
-LEAST_CANDIDATES = 4 * NEAREST
-SHARD_ROWS = 8192
-QUERY_ROWS = 8192
+RECALL = 0.95
+SHARD_ROWS = 32768
+QUERY_ROWS = 32768
 SEED = 17
+#: Rows hashed at a time.
+_STEP = 2048
 
 
 class Forest:
     """Sorted hash strings of one shard, and the planes they are made with."""
 
-    def __init__(self, dim: int, seed: int = SEED) -> None:
-        self.planes = np.random.default_rng(seed).standard_normal((dim + 1, TREES * BITS)).astype(np.float32)
+    def __init__(self, dim: int, seed: int = SEED, trees: int = TREES) -> None:
+        self.trees = trees
+        self.planes = np.random.default_rng(seed).standard_normal((dim + 1, trees * BITS)).astype(np.float32)
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """(rows, trees) of unsigned 32-bit strings, first bit highest."""
-        signs = x.astype(np.float32) @ self.planes > 0
-        return np.packbits(signs.reshape(len(x), TREES, BITS), axis=2).view(">u4")[:, :, 0].astype(np.uint32)
+        out = np.empty((len(x), self.trees), np.uint32)
+        for at in range(0, len(x), _STEP):
+            part = x[at : at + _STEP].astype(np.float32)
+            signs = (part @ self.planes > 0).reshape(len(part), self.trees, BITS)
+            out[at : at + _STEP] = np.packbits(signs, axis=2).view(">u4")[:, :, 0]
+        return out
 
     def build(self, x: np.ndarray) -> None:
         """One sorted array of strings per tree, and the rows they stand for."""
-        labels = self.strings(x).T
-        self.order = np.argsort(labels, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(labels, self.order, axis=1)
-
-    def shared(self, q: np.ndarray) -> np.ndarray:
-        """Length of the longest prefix that each query (rows of strings) shares with a string of any tree."""
+        labels = self.strings(x)
+        self.order = np.empty((self.trees, len(x)), np.int32)
+        self.sorted = np.empty((self.trees, len(x)), np.uint32)
+        for t in range(self.trees):
+            self.order[t] = np.argsort(labels[:, t], kind="stable")
+            self.sorted[t] = labels[self.order[t], t]
+
+    def descend(self, q: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Length of the longest prefix that each query (rows of strings) shares with a string of any tree; ``own`` is the query's row here, or -1."""
         best = np.zeros(len(q), np.int64)
-        for t, own in enumerate(self.sorted):
-            at = np.searchsorted(own, q[:, t])
-            for near in (np.maximum(at - 1, 0), np.minimum(at, len(own) - 1)):
-                differing = (own[near] ^ q[:, t]).astype(np.float64)
-                bits = np.where(differing == 0, BITS, BITS - 1 - np.floor(np.log2(np.maximum(differing, 0.5)))).astype(np.int64)
-                best = np.maximum(best, bits)
+        n = self.sorted.shape[1]
+        for t, held in enumerate(self.sorted):
+            lo, hi = np.searchsorted(held, q[:, t], "left"), np.searchsorted(held, q[:, t], "right")
+            equal = hi - lo - (own >= 0) > 0
+            best = np.maximum(best, np.where(equal, BITS, 0))
+            for near, there in ((lo - 1, lo > 0), (hi, hi < n)):
+                best = np.maximum(best, np.where(there, shared_bits(held[np.clip(near, 0, n - 1)] ^ q[:, t]), 0))
         return best
 
-    def edges(self, q: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, q: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """(queries, trees) first and last position of the strings that share ``level`` bits with each query's."""
-        shift = (BITS - level).astype(np.uint64)[:, None]
-        low = (q.astype(np.uint64) >> shift) << shift
-        high = low + (np.uint64(1) << shift)
-        lo = np.column_stack([np.searchsorted(own, low[:, t]) for t, own in enumerate(self.sorted.astype(np.uint64))])
-        hi = np.column_stack([np.searchsorted(own, high[:, t]) for t, own in enumerate(self.sorted.astype(np.uint64))])
+        shift = np.uint32(BITS - level)
+        low = (q >> shift) << shift if level else np.zeros_like(q)
+        high = low | np.uint32((1 << (BITS - level)) - 1)
+        lo, hi = np.empty(q.shape, np.int64), np.empty(q.shape, np.int64)
+        for t, held in enumerate(self.sorted):
+            lo[:, t], hi[:, t] = np.searchsorted(held, low[:, t], "left"), np.searchsorted(held, high[:, t], "right")
         return lo, hi
 
-    def candidates(self, q: np.ndarray, most: int, least: int) -> Iterator[np.ndarray]:
-        """For each query the rows met on the way up from its longest prefix to level ``most``, and on until they are ``least``."""
-        n = self.order.shape[1]
-        level = np.minimum(self.shared(q), most)
-        lo, hi = self.edges(q, level)
+    def candidates(self, q: np.ndarray, own: np.ndarray, want: int) -> Iterator[np.ndarray]:
+        """For each query the rows met on the way up from its longest prefix until they are ``want``, its own row not counted but among them."""
+        n = self.sorted.shape[1]
+        level = self.descend(q, own)
+        want = min(want, n)
+        before: list = [None] * len(q)
+        after: list = [None] * len(q)
+        # strings in the prefixes of all trees are at least as many as rows, so until they are enough a level is taken whole
+        live = np.arange(len(q))
+        for at in range(int(level.max(initial=0)), -1, -1):
+            on = live[level[live] >= at]
+            if not len(on):
+                continue
+            lo, hi = self.edges(q[on], at)
+            enough = (hi - lo).sum(axis=1) - self.trees * (own[on] >= 0) >= want
+            for j, i in enumerate(on):
+                if enough[j]:
+                    after[i] = (at, lo[j], hi[j])
+                else:
+                    before[i] = (lo[j], hi[j])
+            live = np.setdiff1d(live, on[enough])
         for i in range(len(q)):
-            at, first, last = level[i], lo[i], hi[i]
-            while True:
-                found = np.zeros(n, bool)
-                found[np.concatenate([order[a:b] for order, a, b in zip(self.order, first, last, strict=True)])] = True
-                met = np.flatnonzero(found)
-                if at == 0 or len(met) >= min(least, n):
-                    break
+            found = np.zeros(n, bool)
+            if own[i] >= 0:
+                found[own[i]] = True
+            if before[i]:
+                for order, a, b in zip(self.order, *before[i], strict=True):
+                    found[order[a:b]] = True
+            at, first, last = after[i] or (0, np.zeros(self.trees, np.int64), np.full(self.trees, n))
+            short = want + (own[i] >= 0)
+            while not self._take(found, first, last, short) and at:
                 at -= 1
-                (first,), (last,) = self.edges(q[i : i + 1], np.array([at]))
-            yield met
+                (first,), (last,) = self.edges(q[i : i + 1], at)
+            yield np.flatnonzero(found)
+
+    def _take(self, found: np.ndarray, first: np.ndarray, last: np.ndarray, short: int) -> bool:
+        """Take in one tree after the other; whether there are enough rows then."""
+        for order, a, b in zip(self.order, first, last, strict=True):
+            found[order[a:b]] = True
+            if np.count_nonzero(found) >= short:
+                return True
+        return False
+
+
+def shared_bits(differing: np.ndarray) -> np.ndarray:
+    """Leading bits in which two strings agree, from their exclusive or."""
+    return np.where(differing == 0, BITS, BITS - 1 - np.floor(np.log2(np.maximum(differing, 0.5)))).astype(np.int64)
 
 
 def lift(x: np.ndarray, norm: float) -> np.ndarray:
@@ -128,30 +175,44 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part; v has double components."""
-    v = F.col("embedding").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    common = vectors.where(fine).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
+    """(vec_id, v) of the vectors that take part; v has double components, no negative zeros."""
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0)
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
+    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
     return rows.join(F.broadcast(common), F.size("v") == F.col("d")).drop("d")
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found for each vector whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    rows = valid(vectors)
+class Index(NamedTuple):
+    """Distinct vectors (v, ids), their number, largest norm and length, and how many of them a query meets."""
+
+    rows: DataFrame
+    n: int
+    norm: float
+    dim: int
+    meets: int
+
+
+def index_of(rows: DataFrame, queries: DataFrame, k: int = NEAREST, recall: float = RECALL) -> Index | None:
+    """The index of valid vectors, fitted for queries among them; None without any."""
     # of equal vectors the k + 1 smallest ids can be in a result, the query's own not counted
     ranked = rows.dropDuplicates(["vec_id", "v"]).withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    index = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    index = materialize(index, "ann-index")
+    index = materialize(ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-index")
     facts = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.max(F.size("v")).alias("dim")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not facts["n"]:
-        return spark.createDataFrame([], schema)
+        return None
     n, norm, dim = int(facts["n"]), float(facts["norm"]), int(facts["dim"])
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
-    most = _level(queries, index, norm, dim, k)
+    return Index(index, n, norm, dim, min(n, max(4 * k, _meets(queries, index, norm, dim, k, recall))))
+
 
+def search(vectors: DataFrame, every: int = 20, k: int = NEAREST, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest found for each vector whose id is divisible by ``every``."""
+    rows = valid(vectors)
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
+    found = index_of(rows, queries, k, recall)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index, n, norm, dim, meets = found
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
     key = F.col("ids")[0]
     left = index.select(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "ids", "v")
@@ -164,27 +225,31 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
             forest = Forest(dim)
             forest.build(lift(x, norm))
             first = np.array([i[0] for i in ids])
-            q = _matrix(asked.column("v"))
-            strings = forest.strings(aim(q))
-            for query_id, vector, met in zip(asked.column("vec_id").to_pylist(), q, forest.candidates(strings, most, LEAST_CANDIDATES), strict=True):
-                scores = exact_scores(vector, x[met])
-                best = top(first[met], scores, k + 1)
-                found = [(-scores[b], i) for b in best for i in ids[met[b]] if i != query_id]
-                out += [(query_id, i, -s) for s, i in sorted(found)[:k]]
+            held = {row.tobytes(): i for i, row in enumerate(x)}
+            asking = asked.column("vec_id").to_pylist()
+            for at in range(0, len(asking), _STEP):
+                q = _matrix(asked.column("v").slice(at, _STEP))
+                own = np.array([held.get(row.tobytes(), -1) for row in q])
+                for query_id, vector, met in zip(asking[at : at + _STEP], q, forest.candidates(forest.strings(aim(q)), own, -(-meets * len(x) // n)), strict=True):
+                    scores = exact_scores(vector, x[met])
+                    best = top(first[met], scores, k + 1)
+                    near = [(-scores[b], i) for b in best for i in ids[met[b]] if i != query_id]
+                    out += [(query_id, i, -s) for s, i in sorted(near)[:k]]
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
+    best = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranks = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranks = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _level(queries: DataFrame, index: DataFrame, norm: float, dim: int, k: int) -> int:
-    """The longest prefix length at which a sample of the queries meets enough of its true neighbours in some tree."""
+def _meets(queries: DataFrame, index: DataFrame, norm: float, dim: int, k: int, recall: float) -> int:
+    """How many rows of the index a query meets, its own not counted, before it has met ``recall`` of its true neighbours, by a sample of the queries."""
     probes = queries.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(PROBES).collect()
     if not probes:
-        return BITS
+        return 0
     q = np.array([p["v"] for p in probes], np.float64)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +265,37 @@ def _level(queries: DataFrame, index: DataFrame, norm: float, dim: int, k: int)
     rows = best.withColumn("nth", nth).where(F.col("nth") <= k + 1).collect()  # at most PROBES * (k + 1)
     rows = [r for r in rows if not np.array_equal(r["v"], q[r["probe"]])]
     if not rows:
-        return BITS
+        return 0
+    of = np.array([r["probe"] for r in rows])
     forest = Forest(dim)
-    own = forest.strings(aim(q))[[r["probe"] for r in rows]]
+    own = forest.strings(aim(q))
     theirs = forest.strings(lift(np.array([r["v"] for r in rows], np.float64), norm))
-    differing = (own ^ theirs).astype(np.float64)
-    shared = np.where(differing == 0, BITS, BITS - 1 - np.floor(np.log2(np.maximum(differing, 0.5)))).max(axis=1)
-    return next(level for level in range(BITS, -1, -1) if (shared >= level).mean() >= RECALL)
+    # the order of the ascent: the smaller the exclusive or in the best tree, the longer the prefix and the sooner the row is met
+    met = [np.sort((own[of[of == i]] ^ theirs[of == i]).min(axis=1)) for i in range(len(q))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_forest = Forest(dim)
+        for b in batches:
+            x = _matrix(b.column("v"))
+            for at in range(0, len(x), 256):
+                part = x[at : at + 256]
+                strings = own_forest.strings(lift(part, norm))
+                out = []
+                for i, edge in enumerate(met):
+                    others = ~(part == q[i]).all(axis=1)
+                    out += [(i, j, int(c)) for j, c in enumerate(np.searchsorted(np.sort((strings[others] ^ own[i]).min(axis=1)), edge, "right")) if c]
+                columns = list(zip(*out, strict=True)) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["probe", "nth", "n"])
+
+    ranks = index.select("v").mapInArrow(count, "probe int, nth int, n long").groupBy("probe", "nth").agg(F.sum("n").alias("n")).collect()  # at most PROBES * (k + 1)
+    return int(np.quantile([r["n"] for r in ranks], recall, method="higher"))
+
+
+def met_share(vectors: DataFrame, every: int = 20, k: int = NEAREST, recall: float = RECALL) -> float:
+    """Share of the distinct vectors that :func:`search` scores for a query."""
+    rows = valid(vectors)
+    found = index_of(rows, rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"]), k, recall)
+    return found.meets / found.n if found else 0.0
 
 
 def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,19 +48,47 @@ def test_few_vectors_and_none(spark):
     assert ann.search(vectors(spark, [(20, [0.0, 0.0])])).count() == 0
 
 
+def ascent(labels, own, mine, want):
+    """Rows met by a plain walk: shorter and shorter prefixes of all trees, one tree at a time from the level on where they may be enough."""
+    others = np.arange(len(labels)) != mine
+    for level in range(ann.BITS, -1, -1):
+        shift = np.uint64(ann.BITS - level)
+        shares = (labels.astype(np.uint64) >> shift) == (own.astype(np.uint64) >> shift)
+        shorter = (labels.astype(np.uint64) >> (shift - np.uint64(1))) == (own.astype(np.uint64) >> (shift - np.uint64(1))) if shift else np.zeros_like(shares)
+        for t in range(labels.shape[1]):
+            met = (shares[:, : t + 1].any(axis=1) | shorter.any(axis=1)) & others
+            if met.sum() >= want:
+                return set(np.flatnonzero(met))
+    return set(np.flatnonzero(others))
+
+
 def test_prefixes_are_searched_from_the_longest_up():
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((500, 8))
+    x = rng.standard_normal((300, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    forest = ann.Forest(8)
+    forest = ann.Forest(8, trees=12)
     forest.build(ann.lift(x, 1.0))
-    labels, q = forest.strings(ann.lift(x, 1.0)), forest.strings(ann.aim(x[:5] + 0.01))
-    for level in (3, 9):
-        for own, met in zip(q, forest.candidates(q, level, 1), strict=True):
-            shared = ((labels >> np.uint32(ann.BITS - level)) == (own >> np.uint32(ann.BITS - level))).any(axis=1)
-            assert set(met) >= set(np.flatnonzero(shared))
-    for met in forest.candidates(q, ann.BITS, 400):
-        assert len(met) >= 400
+    labels = forest.strings(ann.lift(x, 1.0))
+    q = np.concatenate([forest.strings(ann.aim(x[:5] + 0.01)), labels[7:10]])
+    own = np.array([-1] * 5 + [7, 8, 9])
+    shared = np.array([[max(32 - int(a ^ b).bit_length() for a, b in zip(row, mine, strict=True)) if i != o else -1 for i, row in enumerate(labels)] for mine, o in zip(q, own, strict=True)])
+    assert (forest.descend(q, own) == shared.max(axis=1)).all()  # a row's own string is left out of the descent
+    for want in (1, 20, 150, 300, 1000):
+        for mine, o, met in zip(q, own, forest.candidates(q, own, want), strict=True):
+            assert set(met) - {o} == ascent(labels, mine, o, min(want, 300)) and (o < 0 or o in met)
+
+
+def test_near_neighbours_need_few_rows_and_queries_cross_shards(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 24))
+    rows = [(i, list(centres[i % 60] + 0.05 * rng.standard_normal(24))) for i in range(1800)]
+    frame_of = vectors(spark, rows)
+    assert ann.met_share(frame_of) < 0.15
+    monkeypatch.setattr(ann, "SHARD_ROWS", 400)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 30)
+    got = {(r.query_id, r.vec_id) for r in ann.search(frame_of).collect()}
+    want = {(q, v[0]) for (q, _), v in nearest(rows).items()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
 def labelled(n, seed):
