@@ -39,7 +39,7 @@ NEAREST = 20
 #: Queries whose neighbours are found by brute force, to set how many rows a query meets.
 PROBES = 64
 RECALL = 0.95
-SHARD_ROWS = 32768
+SHARD_ROWS = 16384
 QUERY_ROWS = 32768
 SEED = 17
 #: Rows hashed at a time.
@@ -99,7 +99,7 @@ class Forest:
         level = self.descend(q, own)
         want = min(want, n)
         before: list = [None] * len(q)
-        after: list = [None] * len(q)
+        after: list[list] = [[] for _ in range(len(q))]
         # strings in the prefixes of all trees are at least as many as rows, so until they are enough a level is taken whole
         live = np.arange(len(q))
         for at in range(int(level.max(initial=0)), -1, -1):
@@ -107,13 +107,13 @@ class Forest:
             if not len(on):
                 continue
             lo, hi = self.edges(q[on], at)
-            enough = (hi - lo).sum(axis=1) - self.trees * (own[on] >= 0) >= want
+            strings = (hi - lo).sum(axis=1) - self.trees * (own[on] >= 0)
             for j, i in enumerate(on):
-                if enough[j]:
-                    after[i] = (at, lo[j], hi[j])
+                if strings[j] >= want:
+                    after[i].append((at, lo[j], hi[j]))
                 else:
                     before[i] = (lo[j], hi[j])
-            live = np.setdiff1d(live, on[enough])
+            live = np.setdiff1d(live, on[strings >= 4 * want])
         for i in range(len(q)):
             found = np.zeros(n, bool)
             if own[i] >= 0:
@@ -121,11 +121,13 @@ class Forest:
             if before[i]:
                 for order, a, b in zip(self.order, *before[i], strict=True):
                     found[order[a:b]] = True
-            at, first, last = after[i] or (0, np.zeros(self.trees, np.int64), np.full(self.trees, n))
             short = want + (own[i] >= 0)
-            while not self._take(found, first, last, short) and at:
+            enough = any(self._take(found, lo, hi, short) for _, lo, hi in after[i])
+            at = after[i][-1][0] if after[i] else 0
+            while not enough and at:  # the trees hold the same rows
                 at -= 1
-                (first,), (last,) = self.edges(q[i : i + 1], at)
+                (lo,), (hi,) = self.edges(q[i : i + 1], at)
+                enough = self._take(found, lo, hi, short)
             yield np.flatnonzero(found)
 
     def _take(self, found: np.ndarray, first: np.ndarray, last: np.ndarray, short: int) -> bool:
@@ -169,6 +171,13 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
+def likely(scores: np.ndarray, k: int, scale: float) -> np.ndarray:
+    """Positions that may be among the k best, given scores that rounding has changed by far less than 1e-9 of ``scale``."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * scale)
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of one query with rows, summed in the same order whatever the rows are."""
     return (x * q).sum(axis=1)
@@ -231,6 +240,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEAREST, recall: float
                 q = _matrix(asked.column("v").slice(at, _STEP))
                 own = np.array([held.get(row.tobytes(), -1) for row in q])
                 for query_id, vector, met in zip(asking[at : at + _STEP], q, forest.candidates(forest.strings(aim(q)), own, -(-meets * len(x) // n)), strict=True):
+                    met = met[likely(x[met] @ vector, k + 1, norm * np.linalg.norm(vector))]
                     scores = exact_scores(vector, x[met])
                     best = top(first[met], scores, k + 1)
                     near = [(-scores[b], i) for b in best for i in ids[met[b]] if i != query_id]
