@@ -7,16 +7,20 @@ excess going to the others by weight.
 Each source's documents stand in an order fixed by a digest of their ids; the source's words, repeated as often
 as needed, are cut into blocks of ``block_words``. The numbers of blocks are split exactly among output shards:
 a binary tree over the shards draws, at each node, how many blocks of every source go left, without
-replacement. A node's draw depends only on the seed and its place, so every task can walk from the root to its
-own shard. Shards then take disjoint runs of the permuted blocks and shuffle them locally. A document is in the block
+replacement. Sources are drawn in two steps, first for groups of ``GROUP`` of them, then within a group, so that a task
+holds one group whatever the number of sources. A node's draw depends only on the seed and its place, so every task can walk from the root
+to its own shards. Shards then take disjoint runs of the permuted blocks and shuffle them locally. A document is in the block
 where its copy begins; only what is in a dealt block is taken, and documents are written shard by shard in shuffled order.
 
-A row is a document, also if it repeats; null ids and empty texts are rows of size 0 or more like any other. An
-empty table gives an empty result. Only doc_id, source and text are read. Reruns agree, whatever the partitions.
+A row is a document, also if it repeats; null ids and empty texts are rows of size 0 or more like any other. Null ids stand by a digest of
+their text, equal digests by doc_id, then size; rows that agree in all of these are alike. Very long texts are counted whole and, as a document's copy is
+in one block, taken whole but for the one at the target. An empty table gives an empty result. Only doc_id, source and text are read, so other
+columns may have any names. Reruns agree, whatever the partitions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +36,10 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 4096
 SHARD_BLOCKS = 256
 SEED = 11
-#: Blocks grow beyond this number of them; a hypergeometric draw takes fewer than 10**9.
-MOST_BLOCKS = 500_000_000
+#: Sources whose numbers of blocks travel together.
+GROUP = 65_536
+#: Shards that one row of work walks to.
+WALK = 64
 #: Documents of one source are dealt into this many runs of their order, so that no task sorts a whole source.
 RUNS = 4096
 
@@ -67,67 +73,95 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return ranked.select("source", "source_size", "source_no", target.alias("target"))
 
 
-def shard_quotas(blocks: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first block, number of blocks) of every source in one shard, drawn on the way down the tree."""
-    blocks = blocks.copy()
-    first = np.zeros_like(blocks)
-    lo, hi, total = 0, shards, int(blocks.sum())
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        n_left = total * mid // shards - total * lo // shards
-        rng = np.random.default_rng([seed, lo, hi])
-        # one hypergeometric draw per source: how many of its blocks are among the n_left that go left
-        left = np.zeros_like(blocks)
-        rest, want = int(blocks.sum()), n_left
-        for i, b in enumerate(blocks):
-            if want and b:
-                left[i] = rng.hypergeometric(int(b), rest - int(b), want) if rest > b else want
-            rest -= int(b)
-            want -= int(left[i])
-        if shard < mid:
-            blocks, hi = left, mid
-        else:
-            first, blocks, lo = first + left, blocks - left, mid
-    return first, blocks
+def draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
+    """How many of each colour are among n balls drawn without replacement."""
+    total = int(colours.sum())
+    if total < 10**9:  # what the library draws exactly
+        return rng.multivariate_hypergeometric(colours, n, method="marginals")
+    out = np.zeros_like(colours)
+    for i, good in enumerate(colours.tolist()):
+        out[i] = draw_one(rng, good, total - good, n)
+        total, n = total - good, n - int(out[i])
+    return out
+
+
+def draw_one(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Balls of one colour among n, by inversion over 12 standard deviations around the mode, beyond which lies less than rounding."""
+    lo, hi = max(0, n - bad), min(n, good)
+    if lo == hi:
+        return lo
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 2 + int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1))))
+    lo, hi = max(lo, mode - reach), min(hi, mode + reach)
+    k = np.arange(lo, hi, dtype=np.float64)
+    log_p = np.concatenate([[0.0], np.cumsum(np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1))])
+    upto = np.cumsum(np.exp(log_p - log_p.max()))
+    return lo + int(np.searchsorted(upto, rng.random() * upto[-1], "right"))
+
+
+def walk(groups: np.ndarray, group: int, blocks: np.ndarray, shards: int, lo: int, hi: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first block, number of blocks) of the sources of one group in the shards lo to hi - 1, drawn on the way down the tree; ``groups`` has the blocks of every group."""
+    total = int(groups.sum())
+    todo = [(0, shards, groups, blocks, np.zeros_like(blocks))]
+    while todo:
+        at, to, whole, own, first = todo.pop()
+        if to - at == 1:
+            yield at, first, own
+            continue
+        mid = (at + to) // 2
+        n_left = total * mid // shards - total * at // shards
+        left_whole = draw(np.random.default_rng([seed, at, to]), whole, n_left)
+        left = draw(np.random.default_rng([seed, at, to, group]), own, int(left_whole[group]))
+        if mid < hi:
+            todo.append((mid, to, whole - left_whole, own - left, first + left))
+        if lo < mid:
+            todo.append((at, mid, left_whole, left, first))
 
 
 def deal_blocks(sources: DataFrame, shards: int, block_words: int, seed: int) -> DataFrame:
     """(source_no, block, shard): every block of every source, in exactly one shard.
 
-    The list of sources travels with the task; it has one number per source and is refused beyond a million.
+    A row of work is a group of sources and a run of shards. One number per group of sources goes to every task.
     """
-    spark = sources.sparkSession
-    rows = sources.select("source_no", F.ceil(F.round("target") / block_words).cast("long").alias("blocks")).orderBy("source_no").limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("too many sources to split among shards")
-    numbers = np.array([r["source_no"] for r in rows], np.int64)
-    blocks = np.array([r["blocks"] for r in rows], np.int64)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some = sources.select(F.col("source_no").cast("long").alias("source_no"), F.ceil(F.round("target") / block_words).cast("long").alias("blocks")).where("blocks > 0")
+    grouped = some.groupBy(F.floor(F.col("source_no") / GROUP).alias("g")).agg(F.array_sort(F.collect_list(F.struct("source_no", "blocks"))).alias("own"))
+    grouped = materialize(grouped.withColumn("total", F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["blocks"])), "mix-groups")
+    rows = grouped.select("g", "total").orderBy("g").collect()
+    place = {r["g"]: i for i, r in enumerate(rows)}
+    totals = np.array([r["total"] for r in rows], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard in b.column(0).to_pylist():
-                first, n = shard_quotas(blocks, shards, shard, seed)
-                own = np.repeat(numbers, n)
-                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(at), pa.array(np.full(len(own), shard))], ["source_no", "block", "shard"])
+            for g, at, own in zip(b.column("g").to_pylist(), b.column("at").to_pylist(), b.column("own"), strict=True):
+                numbers, blocks = (own.values.field(c).to_numpy() for c in ("source_no", "blocks"))
+                for shard, first, n in walk(totals, place[g], blocks, shards, at, min(shards, at + WALK), seed):
+                    of = np.repeat(numbers, n)
+                    block = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(block), pa.array(np.full(len(of), shard))], ["source_no", "block", "shard"])
 
-    return spark.range(shards).mapInArrow(walk, "source_no long, block long, shard long")
+    work = grouped.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"), F.lit(WALK).cast("long"))).alias("at"), "own")
+    return work.repartition(shuffle_partitions(sources.sparkSession), "g", "at").mapInArrow(run, "source_no long, block long, shard long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and copy taken: the document's columns in ``keep`` as a struct ``doc``, source_size, target, copy
-    (from 0), words taken of it, and the shard, block and place where they go; untaken documents have one row without a copy.
-    Nothing is taken of a copy whose block no shard was dealt.
+    (from 0), words taken of it, and the shard, block and place where they go; untaken documents have one row without a copy. With
+    ``keep`` documents without words have no row. Nothing is taken of a copy whose block no shard was dealt.
     """
-    u = place_in_order(F.col("doc_id"), seed)
+    u = place_in_order(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))), seed)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), u.alias("u"),
-        F.conv(F.substring(u, 1, 4), 16, 10).cast("int").alias("h"), *([F.struct(*[docs[c] for c in keep]).alias("doc")] if keep else []),
-    ).withColumn("run", (F.col("h") * RUNS / 65536).cast("int"))
+        F.conv(F.substring(u, 1, 4), 16, 10).cast("long").alias("h"), *([F.struct(*[docs[c] for c in keep]).alias("doc")] if keep else []),
+    )
+    # where a document without words stands makes no difference, so those are dealt out as they come
+    rows = rows.withColumn("run", F.when(F.col("size") > 0, F.floor(F.col("h") * RUNS / 65536)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(RUNS))).cast("int"))
+    if not keep:
+        rows = materialize(rows, "mix-sizes")
     sums = materialize(rows.groupBy("source", "run").agg(F.sum("size").alias("words")), "mix-runs")
     sources = materialize(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights), "mix-sources")
-    total = sums.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
-    block_words = max(block_words, -(-total // MOST_BLOCKS))
+    if keep:
+        rows = rows.where("size > 0")
     runs = sums.withColumn("before_run", F.sum("words").over(W.partitionBy("source").orderBy("run")) - F.col("words")).drop("words")
     runs = runs.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source")).select("r.source", "run", "before_run", "source_no", "source_size", "target")
     within = W.partitionBy("source_no", "run").orderBy("u", F.col("doc_id").asc_nulls_last(), "size")
@@ -146,7 +180,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int =
 
     n_blocks = sources.agg(F.coalesce(F.sum(F.ceil(F.round("target") / block_words)), F.lit(0)).alias("n")).first()["n"]
     blocks = deal_blocks(sources, max(1, -(-int(n_blocks) // shard_blocks)), block_words, seed)
-    rows = rows.join(blocks, ["source_no", "block"], "left")
+    # documents that are not taken have no block: numbers below 0, which no block has, keep them from meeting in one task
+    spread = -1 - F.pmod(F.xxhash64("run", "row_no"), F.lit(1 << 40))
+    rows = rows.withColumn("block", F.coalesce("block", spread)).join(blocks, ["source_no", "block"], "left")
     rows = rows.withColumn("words", F.when(F.col("shard").isNotNull(), F.col("words")))
     local = F.xxhash64("shard", "source_no", "doc_id", "run", "row_no", "copy", F.lit(seed))
     return rows.withColumn("place", F.when(F.col("shard").isNotNull(), local)).select(

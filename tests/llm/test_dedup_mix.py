@@ -118,7 +118,7 @@ def test_splitting_tree_deals_every_block_once():
         seen = [[] for _ in blocks]
         totals = []
         for shard in range(shards):
-            first, n = mixing.shard_quotas(blocks, shards, shard, 5)
+            ((_, first, n),) = mixing.walk(np.array([blocks.sum()]), 0, blocks, shards, shard, shard + 1, 5)
             totals.append(int(n.sum()))
             for s, (a, b) in enumerate(zip(first, n, strict=True)):
                 seen[s] += range(a, a + b)
@@ -126,6 +126,31 @@ def test_splitting_tree_deals_every_block_once():
         assert max(totals) - min(totals) <= 1
 
 
+def test_groups_of_sources_and_runs_of_shards_make_no_gap(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    targets = rng.integers(0, 500, 23)
+    sources = spark.createDataFrame([(i, float(t)) for i, t in enumerate(targets)], "source_no long, target double")
+    monkeypatch.setattr(mixing, "GROUP", 5)
+    monkeypatch.setattr(mixing, "WALK", 3)
+    got = mixing.deal_blocks(sources, 11, 10, 7).collect()
+    assert sorted((r.source_no, r.block) for r in got) == [(i, b) for i, t in enumerate(targets) for b in range(-(-int(t) // 10))]
+    sizes = [sum(r.shard == s for r in got) for s in range(11)]
+    assert max(sizes) - min(sizes) <= 1
+    assert mixing.deal_blocks(sources.where("false"), 1, 10, 7).count() == 0
+
+
+def test_draws_have_the_mean_and_spread_of_the_distribution():
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((30, 70, 20), (3_000_000_000, 1_000_000_000, 1_000_000), (5, 4_000_000_000, 2_000_000_000)):
+        total = good + bad
+        drawn = np.array([mixing.draw_one(rng, good, bad, n) for _ in range(400)])
+        mean, var = n * good / total, n * (good / total) * (bad / total) * (total - n) / (total - 1)
+        assert abs(drawn.mean() - mean) < 5 * (var / 400) ** 0.5 and 0.7 < drawn.var() / var < 1.4
+    assert mixing.draw_one(rng, 5, 5, 10) == 5 and mixing.draw_one(rng, 0, 9, 3) == 0
+    many = mixing.draw(rng, np.array([10**9, 0, 3 * 10**9, 7]), 2 * 10**9)
+    assert many.sum() == 2 * 10**9 and many[1] == 0 and 0 <= many[3] <= 7
+
+
 def test_mixed_documents_repeat_drop_and_cut(spark):
     texts, sources = [prose(100, i) for i in range(40)], ["a"] * 30 + ["b"] * 5 + ["c"] * 5
     docs = frame(spark, texts, sources)
@@ -145,10 +170,9 @@ def test_the_draws_decide_what_is_taken_and_where_it_goes(spark, tmp_path, monke
     pieces = [r for r in mixing.mix(docs, **options).collect() if r.words]
     blocks = {r.source_no: -(-round(r.target) // 64) for r in pieces}
     shards = -(-sum(blocks.values()) // 4)
-    drawn = {}
-    for shard in range(shards):
-        first, n = mixing.shard_quotas(np.array([blocks[s] for s in sorted(blocks)]), shards, shard, mixing.SEED)
-        drawn |= {(s, b): shard for s, a, k in zip(sorted(blocks), first, n, strict=True) for b in range(a, a + k)}
+    numbers = sorted(blocks)
+    own = np.array([blocks[s] for s in numbers])
+    drawn = {(s, b): shard for shard, first, n in mixing.walk(np.array([own.sum()]), 0, own, shards, 0, shards, mixing.SEED) for s, a, k in zip(numbers, first, n, strict=True) for b in range(a, a + k)}
     assert all(r.shard == drawn[r.source_no, r.block] for r in pieces)
     want = [r.doc_id for r in sorted(pieces, key=lambda r: (r.shard, r.place))]
     assert [r.doc_id for r in mixing.mixed_documents(docs, **options).collect()] == want
