@@ -1,7 +1,13 @@
 """Secret scans: fixed patterns plus a sliding-window Shannon entropy for strings no pattern names.
 
-Null and empty texts give no spans. A row gives one row; rows repeat if they repeat in the input; a null
-``doc_id`` stays null. Offsets count code points, ends are exclusive.
+The fixed patterns give the base spans. Candidate strings, maximal runs of at least 20 characters of base64, are looked at window by window,
+for each character class: a stretch of windows whose entropy reaches the bound of the class is a span of kind ``entropy``, also where a base span lies
+around or across it. Nothing but the allow list suppresses: a candidate that one of its entries matches whole, a stretch that one matches whole,
+and what lies in the ``path`` of an address.
+
+Null and empty texts give no spans, an empty table no rows. A row gives one row; rows repeat if they repeat in the input; a null
+``doc_id`` stays null. Texts are scanned whole, however long, in time proportional to their length. Offsets count code points, ends are exclusive;
+spans with equal starts are in the order of ``KINDS``. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,8 +41,10 @@ CLASSES = {
 #: What comes before an at sign is user-info, not a path.
 ADDRESS_PATH = r"""://[^\s/?#"'`<>,;|\\()\[\]{}]*+(?P<path>/[\w.~%+/!$*-]*+)(?![^\s/?#"'`<>,;|\\()\[\]{}]*@)"""
 
-#: A candidate that one of these matches whole is no secret, nor is what lies in the group ``path`` of one that has it.
+#: A candidate or a stretch of it that one of these matches whole is no secret, nor is what lies in the group ``path`` of one that has it.
 ALLOW = (
+    r"[^0-9]*[0-9]?[^0-9]*",  # fewer than two digits: names in mixed case
+    r"[^A-Za-z]*[A-Za-z]?[^A-Za-z]*",  # fewer than two letters: numbers and dates
     r"[A-Za-z]+",  # words
     r"[0-9]+",  # numbers
     r"[A-Za-z]+([-_/][A-Za-z]+)+/?",  # slugs, identifiers, paths of words
@@ -73,15 +81,15 @@ def entropy_runs(text: str, members: frozenset, window: int, least: float) -> li
             counts.clear()
             total, begin = 0.0, i + 1
             continue
-        c = counts.get(ch, 0)
-        total += term[c + 1] - term[c]
-        counts[ch] = c + 1
         if i - begin >= window:
             old = text[begin]
             c = counts[old]
             total += term[c - 1] - term[c]
             counts[old] = c - 1
             begin += 1
+        c = counts.get(ch, 0)
+        total += term[c + 1] - term[c]
+        counts[ch] = c + 1
         if i - begin + 1 == window and log2(window) - total / window >= least:
             if runs and runs[-1][1] >= begin:
                 runs[-1] = (runs[-1][0], i + 1)
@@ -113,14 +121,11 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...], classes: dict = CLAS
     spans = []
     whole = [p for p in allow if "path" not in p.groupindex]
     for start, s in candidates(text, [p for p in allow if "path" in p.groupindex]):
-        if s.isalpha() or any(p.fullmatch(s) for p in whole):
+        if any(p.fullmatch(s) for p in whole):
             continue
         found = []
         for members, window, least in classes.values():
-            for a, b in entropy_runs(s, members, window, least):
-                part = s[a:b]
-                if sum(c.isdigit() for c in part) >= 2 and sum(c.isalpha() for c in part) >= 2:
-                    found.append((a, b))
+            found += [(a, b) for a, b in entropy_runs(s, members, window, least) if not any(p.fullmatch(s, a, b) for p in whole)]
         end = -1
         for a, b in sorted(found):
             if a > end:
@@ -132,9 +137,8 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...], classes: dict = CLAS
 
 
 def scan(text: str, allow: tuple[re.Pattern, ...]) -> list[dict]:
-    """All spans of a text by start, then by kind as listed in KINDS; an entropy span inside a base span adds nothing."""
-    base = base_spans(text)
-    spans = base + [e for e in entropy_spans(text, allow) if not any(a <= e[0] and e[1] <= b for a, b, _ in base)]
+    """All spans of a text by start, then by kind as listed in KINDS."""
+    spans = base_spans(text) + entropy_spans(text, allow)
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return [{"kind": k, "start": a, "end": b} for a, b, k in spans]
 

@@ -4,7 +4,7 @@ import random
 import re
 
 from stratascan.llm import secrets
-from tests.llm.data import frame, write
+from tests.llm.data import frame, prose, write
 
 HEX = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"
 TEXTS = [
@@ -45,6 +45,34 @@ def test_entropy_adds_random_strings_and_suppresses_the_allowed(spark):
     assert not next(r.spans for r in got if r.doc_id == 0)
 
 
+def test_planted_random_strings_are_caught_and_prose_is_not():
+    rng = random.Random(7)
+    allow = tuple(map(re.compile, secrets.ALLOW))
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "hex": "0123456789abcdef"}
+    for name, least_caught in (("base64", 0.97), ("hex", 0.9)):
+        caught = 0
+        for _ in range(400):
+            key = "".join(rng.choice(alphabets[name]) for _ in range(rng.randrange(28, 48)))
+            text = f"{prose(30, rng.random())} {key} {prose(30, rng.random())}"
+            at = text.index(key)
+            spans = secrets.entropy_spans(text, allow)
+            caught += any(a < at + len(key) and b > at for a, b, _ in spans)
+            assert all(a >= at and b <= at + len(key) for a, b, _ in spans)
+        assert caught >= least_caught * 400, (name, caught)
+    words = ["getElementById", "some_module/path_of_words", "ThisIsAVeryLongClassNameForTests", "1234567890123456789012345", "2024-01-01_12-30-00-report", "========================", "aaaaaaaaaaaaaaaaaaaaaaaa1b2"]
+    assert all(secrets.entropy_spans(f"x {w} y", allow) == [] for w in words)
+
+
+def test_base_spans_do_not_hide_entropy_and_long_texts_are_scanned_whole(spark):
+    key = "Zq8Lw3Xc5Vb7Nm1Kj4Hg6Fd2Sa9"
+    filler = prose(300_000, 3)
+    texts = [f"password = {key}", f"{filler} {key}", f"{filler} token={key}", None, "", f"password = {key}"]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert got[0] == [("assign", 0, 11 + len(key)), ("entropy", 11, 11 + len(key))] == got[5]
+    assert got[1] == [("entropy", len(filler) + 1, len(filler) + 1 + len(key))] and [s[0] for s in got[2]] == ["assign", "entropy"]
+    assert got[3] == got[4] == [] and len(filler) > 1_000_000
+
+
 def test_incremental_entropy_equals_a_recount():
     rng = random.Random(1)
     members, window, least = secrets.CLASSES["base64"]
