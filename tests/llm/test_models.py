@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratascan.llm import ann, lm_score, quality
 from tests.llm.data import frame, prose, write
@@ -145,7 +146,7 @@ def test_odd_rows_are_scored(spark):
     assert quality.score(docs, quality.train(docs, odd)).count() == 4
 
 
-def backoff(texts):
+def backoff(texts, least=2):
     """(words, log score) of each text, from plain counts."""
     docs = [(t or "").encode().lower().split() for t in texts]
     c = Counter(tuple(d[i : i + n]) for d in docs for n in (1, 2, 3) for i in range(len(d) - n + 1))
@@ -159,7 +160,7 @@ def backoff(texts):
                 g = tuple(d[i - n + 1 : i + 1]) if i >= n - 1 else None
                 if n == 1:
                     logs += math.log(f * c[g] / total)
-                elif g and c[g] >= 2:
+                elif g and c[g] >= least:
                     logs += math.log(f * c[g] / c[g[:-1]])
                     break
                 elif g:
@@ -168,9 +169,9 @@ def backoff(texts):
     return out
 
 
-@pytest.mark.parametrize("block", [4, 8192])
+@pytest.mark.parametrize("block", [300, 24 << 20])
 def test_backoff_scores(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(lm_score, "BLOCK_ROWS", block)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
     texts = [None, "", "one", "One  two", "é É a\x1cb", *[prose(60, i, 6) for i in range(40)], prose(60, 3, 6), "one two three one two three"]
     ids = [None, *range(1, len(texts))]
     got = {r.doc_id: r for r in lm_score.op10_backoff_score(spark, write(spark, tmp_path, frame(spark, texts, ids=ids))).collect()}
@@ -184,6 +185,45 @@ def test_no_documents(spark, tmp_path):
     assert lm_score.op10_backoff_score(spark, write(spark, tmp_path, frame(spark, []))).count() == 0
 
 
+def test_any_frame_is_scored_and_rows_give_the_same(spark):
+    texts = [None, "", "one", "One  two", *[prose(60, i, 6) for i in range(30)], prose(60, 3, 6), "one two three one two three"]
+    docs = frame(spark, texts, ids=[None, *range(1, len(texts))]).repartition(3).withColumn("words", F.lit(1))
+    for least in (1, 2):
+        want = {i: (n, logs) for i, (n, logs) in enumerate(backoff(texts, least))}
+        for score in (lm_score.score_corpus, lm_score.score_rows):
+            got = score(docs, least).collect()
+            assert len(got) == len(texts) and {r.doc_id or 0: (r.n_words, pytest.approx(r.log_score, abs=1e-6)) for r in got} == want
+    assert lm_score.score_rows(frame(spark, [])).count() == 0
+
+
+def test_blocks_are_cut_by_bytes_alike_in_every_pass(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 50)
+    rows = [("f", i, b"x" * (i * 7 % 40)) for i in range(5, 40)] + [("f", i, b"y" * 200) for i in range(60, 63)] + [("g", 0, b"")]
+    seen = []
+    for size in (1, 4, 7, 100):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*p, strict=True)], ["file", "row", "text"]) for p in parts]
+        blocks, own = [], []
+        for file, lo, some, ends in lm_score.blocks_of(iter(batches)):
+            own += some.column("row").to_pylist()
+            if ends:
+                blocks.append((file, lo, tuple(own)))
+                own = []
+        assert not own
+        seen.append(blocks)
+    assert all(s == seen[0] for s in seen) and [r for _, _, own in seen[0] for r in own] == [r for _, r, _ in rows]
+    assert all(lo == own[0] for _, lo, own in seen[0]) and len(seen[0]) > 10
+
+
+def test_a_very_long_document_is_scored_whole(spark, tmp_path):
+    texts = [prose(200_000, 1), prose(200, 2), prose(200_000, 1)]
+    got = {r.doc_id: r for r in lm_score.op10_backoff_score(spark, write(spark, tmp_path, frame(spark, texts))).collect()}
+    for i, (n, logs) in enumerate(backoff(texts)):
+        assert got[i].n_words == n and got[i].log_score == pytest.approx(logs, abs=1e-2)
+
+
 def test_packed_keys_and_counts():
     rng = np.random.default_rng(2)
     for n in (1, 2, 1000):
