@@ -7,7 +7,7 @@ once, whole normalised texts are compared, and digests shared by different texts
 
 Null text counts as empty. Of equal texts the smallest doc_id stays; null ids come last, and rows with the same
 id are told apart by their locator, so one row of a group stays even if it is repeated. An empty table gives an
-empty result. Only doc_id and text are read, so other columns may have any names.
+empty result. Texts are compared whole, however long. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ _STATE = {
 ROWS_PER_SALT = 2000
 #: A digest with more than this share of all rows is told to every task; there are at most HOT_KEYS of them.
 HOT_KEYS = 1000
+#: Repeated digests that every task is told (eight bytes of each), so that only rows hit again are dealt out. Beyond, rows meet them by a shuffle.
+TOLD_DIGESTS = 2_000_000
 
 
 @contextmanager
@@ -105,11 +107,16 @@ def _with_state(rows: DataFrame, repeated: DataFrame, hot: DataFrame, how: str,
 def resolve(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, file, row, digest, keep_id, group_size, kept), after comparing whole texts wherever a digest was hit again."""
     repeated = materialize(state.where("n > 1"), "dedup-repeated")
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    sums = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("digests")).first()
+    total = sums["n"]
     hot = repeated.where(F.col("n") > max(ROWS_PER_SALT, total // HOT_KEYS)).select("digest", F.col("n").alias("hot_n"))
 
-    # by hint the same plan at every size: whole texts are dealt by digest once, and only those hit again go on
-    hits = _with_state(located(docs, digest, with_text=True), repeated.select("digest"), hot, "inner", "merge")
+    # whole texts are dealt by digest, only those hit again
+    texts = located(docs, digest, with_text=True)
+    if sums["digests"] <= TOLD_DIGESTS:
+        told = repeated.select(F.xxhash64("digest").alias("_told")).distinct()
+        texts = texts.withColumn("_told", F.xxhash64("digest")).join(F.broadcast(told), "_told", "left_semi").drop("_told")
+    hits = _with_state(texts, repeated.select("digest"), hot, "inner", "merge")
     texts = hits.groupBy("digest", "content").agg(_first().alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(texts.withColumn("content", F.sha2(F.concat(F.lit("text:"), "content"), 256)), "dedup-classes")
     split = materialize(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-split")
