@@ -22,11 +22,8 @@ class Config:
     parafac_tolerance: float = 1e-7
     parafac_seed: int = 123
     intensity_lower_percentage_cutoff: int = 0
-    rsq_best_models: float = 0.5
     align_cycles: bool = False
     sequencer: str = "novor"
-    decoy_prefix: str = "decoy_"
-    npartitions: int = 0
 
     def __post_init__(self) -> None:
         if self.parafac_init not in ("random", "svd"):

@@ -45,3 +45,9 @@ def decode_binary(text: pd.Series, bits: pd.Series, compressed: pd.Series) -> pd
         return np.frombuffer(zlib.decompress(raw) if z else raw, "<f4" if b == 32 else "<f8").astype(float)
 
     return pd.Series([one(*r) for r in zip(text, bits, compressed, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def doubles_to_base64(values: pd.Series) -> pd.Series:
+    """Arrays as little-endian 64-bit floats, uncompressed."""
+    return values.map(lambda v: None if v is None else base64.b64encode(np.asarray(v, "<f8").tobytes()).decode())

@@ -47,10 +47,12 @@ def shuffled(fragment: str, mode: str, percent: float, rng: random.Random) -> st
         places = list(range(max(0, n // 2 - 3), min(n, n // 2 + 3)))
     else:
         places = list(range(max(0, n - 5), n))
-    mixed = [chars[i] for i in places]
-    rng.shuffle(mixed)
-    for i, c in zip(places, mixed, strict=True):
-        chars[i] = c
+    order = list(places)
+    rng.shuffle(order)
+    while mode == "random" and len(places) > 1 and order == places:  # a permutation that moves no place is drawn again
+        rng.shuffle(order)
+    for i, j in zip(places, order, strict=True):
+        chars[j] = fragment[i]
     return "".join(chars)
 
 

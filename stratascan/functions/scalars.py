@@ -102,6 +102,16 @@ def chromatograms(scan: DataFrame, mz: float, level: int, rt_range: tuple[float,
     return rows.orderBy("file", "rt")
 
 
+def seeded_sample(rows: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """``size`` rows without replacement, the same ones on every run: those with the least digests of key and seed."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(size)
+
+
+def new_columns(before: DataFrame, after: DataFrame) -> list[str]:
+    """Names that ``after`` has and ``before`` has not, in order."""
+    return [c for c in after.columns if c not in before.columns]
+
+
 def aligned(frames: list[DataFrame]) -> DataFrame:
     """All rows of frames with different columns; missing ones are null."""
     out = frames[0]

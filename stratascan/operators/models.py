@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratascan.functions.scalars import label_level, label_mz
 from stratascan.operators.slices import SLICE
 
 
 def model_index(swaths: DataFrame, rt_windows: DataFrame, min_comp: int, max_comp: int) -> DataFrame:
     """(swath, rt_window, ncomp, model_id): all combinations, numbered in row-major order.
 
-    The number follows from the ranks on the three axes, so the product itself is neither sorted nor gathered.
+    The number follows from the ranks on the three axes, so the product itself is neither sorted nor gathered; the distinct swaths and windows,
+    some hundreds each, are.
     """
     s = swaths.select("swath").distinct().withColumn("_s", F.row_number().over(W.orderBy("swath")) - 1)
     w = rt_windows.select("rt_window").distinct().withColumn("_w", F.row_number().over(W.orderBy("rt_window")) - 1)
@@ -92,12 +94,14 @@ def count_peaks(width: float, profile: np.ndarray, floor: float = 0.1, snr: floa
     cwt = _transform(pad, widths)
     left, right = np.pad(cwt, ((0, 0), (1, 0)))[:, :-1], np.pad(cwt, ((0, 0), (0, 1)))[:, 1:]
     maxima = (cwt > left) & (cwt >= right) & (cwt > 0)
-    noise = max(float(np.percentile(np.abs(cwt[0]), 10)), 1e-12 * float(x.max()))
+    # noise about a place: a low percentile of the finest scale in a window of a twentieth of the profile
+    half, odd = divmod(int(np.ceil(len(pad) / 20)), 2)
+    noise = lambda c: np.percentile(cwt[0][max(c - half, 0) : min(c + half + odd, len(pad))], 10)
     least = max(1, int(np.ceil(len(widths) / 4)))
     found = set()
     for line in _ridges(maxima, widths):
         row, column = min(line)
-        if len(line) >= least and cwt[row, column] / noise >= snr and pad[max(0, column - 1) : column + 2].max() > 0:
+        if len(line) >= least and abs(cwt[row, column]) >= snr * abs(noise(column)) and pad[max(0, column - 1) : column + 2].max() > 0:
             found.add(column)
     return len(found)
 
@@ -149,18 +153,62 @@ def rsq_or_default(models: DataFrame, measures: DataFrame, default: float = 0.5)
     return models.join(measures.select(*SLICE, "ncomp", "rsq"), [*SLICE, "ncomp"], "left").withColumn("rsq", F.coalesce("rsq", F.lit(default)))
 
 
-def reconstruct_scan(factors: DataFrame, coo: DataFrame, unimodal: DataFrame, rsq: DataFrame, sample: int) -> DataFrame:
+def reconstruct_scan(factors: DataFrame, coo: DataFrame, unimodal: DataFrame, rsq: DataFrame, sample: int | DataFrame) -> DataFrame:
     """(slice, ncomp, j, k, intensity): the unimodal components of a model for one sample, scaled so that its largest cell equals
-    the measured value there times R2. ``unimodal`` has (slice, ncomp, comp), ``rsq`` (slice, ncomp, rsq)."""
+    the measured value there times R2. ``unimodal`` has (slice, ncomp, comp), ``rsq`` (slice, ncomp, rsq); ``sample`` is the sample's
+    tensor row, in all slices or as (slice, i). Without a measured value at its largest cell a model is left out."""
+    if isinstance(sample, int):
+        sample = coo.select(*SLICE).distinct().withColumn("i", F.lit(sample))
     model = [*SLICE, "ncomp"]
     chosen = factors.join(unimodal.select(*model, "comp"), [*model, "comp"])
     side = lambda m, axis, name: chosen.where(F.col("mode") == m).select(*model, "comp", F.col("idx").alias(axis), F.col("value").alias(name))
-    own = side(0, "i", "_a").where(F.col("i") == sample).drop("i")
+    own = side(0, "i", "_a").join(sample.select(*SLICE, "i"), [*SLICE, "i"], "left_semi").drop("i")
     cells = own.join(side(1, "j", "_b"), [*model, "comp"]).join(side(2, "k", "_c"), [*model, "comp"])
     fit = cells.groupBy(*model, "j", "k").agg(F.sum(F.col("_a") * F.col("_b") * F.col("_c")).alias("fit"))
     # the first largest cell in row-major order
     peak = fit.groupBy(*model).agg(F.max(F.struct("fit", (-F.col("j")).alias("nj"), (-F.col("k")).alias("nk"))).alias("m"))
     peak = peak.select(*model, F.col("m.fit").alias("top"), (-F.col("m.nj")).alias("j"), (-F.col("m.nk")).alias("k"))
-    raw = coo.where(F.col("i") == sample).select(*SLICE, "j", "k", F.col("v").alias("raw"))
+    raw = coo.join(sample.select(*SLICE, "i"), [*SLICE, "i"], "left_semi").select(*SLICE, "j", "k", F.col("v").alias("raw"))
     scale = peak.join(raw, [*SLICE, "j", "k"]).join(rsq.select(*model, "rsq"), model).select(*model, (F.col("raw") * F.col("rsq") / F.col("top")).alias("scale"))
     return fit.join(scale, model).select(*model, "j", "k", (F.col("fit") * F.col("scale")).alias("intensity"))
+
+
+def unimodal_components(counts: DataFrame) -> DataFrame:
+    """(model_id, comp) of the components of one peak; a model without any has no row."""
+    return counts.where("npeaks = 1").select("model_id", "comp")
+
+
+def sample_row(coo: DataFrame, scan_num: int) -> DataFrame:
+    """(slice, i): the tensor row of the file that is the ``scan_num``-th by name among a slice's files, from 0; a slice with fewer has none."""
+    files = coo.select(*SLICE, "file", "i").distinct()
+    nth = F.row_number().over(W.partitionBy(*SLICE).orderBy("file")) - 1
+    return files.withColumn("_nth", nth).where(F.col("_nth") == scan_num).select(*SLICE, "i")
+
+
+def reconstructed_map(factors: DataFrame, coo: DataFrame, counts: DataFrame, rsq: DataFrame, scan_num: int) -> DataFrame:
+    """(model_id, cycle, intensity, mz, level): the map of one scan file from the unimodal components of models.
+
+    ``factors`` has the factors of these models with their model_id, ``counts`` (model_id, comp, npeaks), ``rsq`` (slice, ncomp, rsq). A model without unimodal
+    components, or whose slice lacks the file, is left out. Cells get their m/z by their position on the slice's mass axis.
+    """
+    model = [*SLICE, "ncomp"]
+    named = factors.select(*model, "model_id").distinct()
+    unimodal = named.join(unimodal_components(counts), "model_id")
+    cells = reconstruct_scan(factors.drop("model_id", "rsq", "iterations"), coo, unimodal, rsq, sample_row(coo, scan_num))
+    masses = coo.select(*SLICE, "k", F.col("start").alias("mz"), "level").distinct()
+    rows = cells.join(masses, [*SLICE, "k"]).join(named, model)
+    return rows.select("model_id", F.col("j").alias("cycle"), "intensity", "mz", "level")
+
+
+def model_scans(spectra: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of a spectrum index that belong to models given as (swath_start in m/z, rt_window, ncomp)."""
+    keys = wanted.select(F.bround(F.col("swath_start") * 100).cast("int").alias("swath"), "rt_window", "ncomp")
+    return spectra.join(keys, [*SLICE, "ncomp"], "left_semi")
+
+
+def with_mz_index(mass_mode: DataFrame, axis: DataFrame) -> DataFrame:
+    """Rows (slice, idx, ..) of mass modes with mz and level from the labels (slice, idx, label) of their axis; a label of another form is an error."""
+    good = F.col("label").rlike(r"^[0-9.]+_ms[0-9]+$")
+    label = F.when(good, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("no m/z label: "), F.coalesce("label", F.lit("null")))).cast("string"))
+    rows = mass_mode.join(axis.select(*SLICE, "idx", label.alias("label")), [*SLICE, "idx"])
+    return rows.withColumn("mz", label_mz(F.col("label")).cast("float")).withColumn("level", label_level(F.col("label")).cast("tinyint")).drop("label")

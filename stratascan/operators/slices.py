@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratascan.plans.boundary import boundary
+
 SLICE = ["swath", "rt_window"]
 #: Seconds that the last cycle of a slice stays open.
 LAST_CYCLE_SEC = 0.1
@@ -23,17 +25,16 @@ def bin_cycles(points: DataFrame, last_cycle_sec: float = LAST_CYCLE_SEC) -> Dat
     """``cycle``: 0-based number of the last MS1 time at or before a point, in its slice and file; points before the first or
     too late after the last are dropped, and so are slices in which a file has no MS1 point.
 
-    One shuffle by slice and file serves all three windows: the finer keys are within it.
+    One shuffle by slice and file serves both windows: the finer keys are within it. Which slices are whole is a row per slice.
     """
-    rows = points.repartition(*SLICE, "file")
-    sample = W.partitionBy(*SLICE, "file")
+    lasts = points.groupBy(*SLICE, "file").agg(F.max(F.when(F.col("level") == 1, F.col("rt"))).alias("_last"))
+    whole = lasts.groupBy(*SLICE).agg(F.count_if(F.col("_last").isNull()).alias("_without")).where("_without = 0").select(*SLICE)
+    rows = points.join(lasts.join(whole, SLICE, "left_semi"), [*SLICE, "file"]).repartition(*SLICE, "file")
     nth = F.row_number().over(W.partitionBy(*SLICE, "file", "level", "rt").orderBy("mz"))
     rows = rows.withColumn("_first", F.when((F.col("level") == 1) & (nth == 1), 1).otherwise(0))
-    upto = sample.orderBy("rt").rangeBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("cycle", (F.sum("_first").over(upto) - 1).cast("int")).withColumn("_last", F.max(F.when(F.col("level") == 1, F.col("rt"))).over(sample))
-    whole = F.min(F.when(F.col("_last").isNull(), 0).otherwise(1)).over(W.partitionBy(*SLICE))
-    rows = rows.withColumn("_whole", whole)
-    return rows.where((F.col("cycle") >= 0) & (F.col("rt") < F.col("_last") + last_cycle_sec) & (F.col("_whole") == 1)).drop("_first", "_last", "_whole")
+    upto = W.partitionBy(*SLICE, "file").orderBy("rt").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("cycle", (F.sum("_first").over(upto) - 1).cast("int"))
+    return rows.where((F.col("cycle") >= 0) & (F.col("rt") < F.col("_last") + last_cycle_sec)).select(*points.columns, "cycle")
 
 
 def dropped_spectra(points: DataFrame, last_cycle_sec: float = LAST_CYCLE_SEC) -> DataFrame:
@@ -57,16 +58,21 @@ def greedy_starts(mz: np.ndarray, ppm: float) -> list[float]:
     return starts
 
 
-def mz_partitions(points: DataFrame, ppm: float) -> DataFrame:
+def mz_partitions(points: DataFrame, ppm: float, both_levels: bool = False) -> DataFrame:
     """(swath, rt_window, level, start). The anchor of a partition is its start, so the walk is in order; one group holds
-    only the distinct values of a slice and level."""
+    only the distinct values of a slice. With ``both_levels`` a slice without points of both levels has no partitions."""
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        starts = greedy_starts(np.sort(rows["mz"].to_numpy()), ppm)
-        return pd.DataFrame({"swath": key[0], "rt_window": key[1], "level": key[2], "start": starts})
+        out = []
+        levels = sorted(rows["level"].unique())
+        if not both_levels or len(levels) == 2:
+            for level in levels:
+                starts = greedy_starts(np.sort(rows["mz"].to_numpy()[rows["level"] == level]), ppm)
+                out.append(pd.DataFrame({"swath": key[0], "rt_window": key[1], "level": level, "start": starts}))
+        return pd.concat(out) if out else pd.DataFrame({"swath": [], "rt_window": [], "level": [], "start": []})
 
     values = points.select(*SLICE, "level", "mz").distinct()
-    return values.groupBy(*SLICE, "level").applyInPandas(walk, "swath int, rt_window int, level tinyint, start double")
+    return values.groupBy(*SLICE).applyInPandas(walk, "swath int, rt_window int, level tinyint, start double")
 
 
 def assign_partitions(points: DataFrame, partitions: DataFrame) -> DataFrame:
@@ -99,13 +105,16 @@ def to_coo(sums: DataFrame, align_cycles: bool = False) -> DataFrame:
     return sums.select(*SLICE, "file", "cycle", "level", "start", sample.cast("int").alias("i"), time.cast("int").alias("j"), mass.cast("int").alias("k"), F.col("intensity").alias("v"))
 
 
+def partition_sums(points: DataFrame, ppm: float, last_cycle_sec: float = LAST_CYCLE_SEC) -> DataFrame:
+    """Summed intensity per slice, file, cycle and m/z partition, of the slices with points of both levels. Points are binned once and written, as
+    the partitions come from their distinct values; a point without a partition is of a slice that has none."""
+    rows = boundary(bin_cycles(points, last_cycle_sec), "cycles")
+    return aggregate_partitions(assign_partitions(rows, mz_partitions(rows, ppm, both_levels=True)))
+
+
 def tensorize(points: DataFrame, ppm: float, min_points: int = MIN_POINTS, last_cycle_sec: float = LAST_CYCLE_SEC, align_cycles: bool = False) -> DataFrame:
     """Slices to sparse tensors; a slice without points of both levels has none."""
-    rows = bin_cycles(points, last_cycle_sec)
-    levels = rows.groupBy(*SLICE).agg(F.count_distinct("level").alias("n")).where("n = 2").select(*SLICE)
-    rows = rows.join(levels, SLICE, "left_semi")
-    sums = aggregate_partitions(assign_partitions(rows, mz_partitions(rows, ppm)))
-    return to_coo(frequent_partitions(sums, min_points), align_cycles)
+    return to_coo(frequent_partitions(boundary(partition_sums(points, ppm, last_cycle_sec), "sums"), min_points), align_cycles)
 
 
 def worth_decomposing(coo: DataFrame, samples: int = 2, times: int = 3, masses: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratascan.operators.slices import SLICE
+from stratascan.plans.boundary import boundary
 
 FLOOR = 1e-11
 
@@ -77,7 +78,7 @@ def start_factors(x: np.ndarray, rank: int, init: str, rng: np.random.Generator)
 
 
 def nonnegative_cp(x: np.ndarray, rank: int, max_iter: int = 2000, tol: float = 1e-7, init: str = "random", seed: int = 123) -> tuple[list[np.ndarray], list[float]]:
-    """Non-negative canonical decomposition by multiplicative updates; the factors and the relative error after each round."""
+    """Non-negative canonical decomposition by multiplicative updates; the factors and the relative error after each round, of which there are three at least."""
     rng = np.random.default_rng(seed)
     factors = start_factors(x, rank, init, rng)
     norm2 = float((x * x).sum())
@@ -93,36 +94,90 @@ def nonnegative_cp(x: np.ndarray, rank: int, max_iter: int = 2000, tol: float =
         gram_all = grams * (factors[2].T @ factors[2])
         error2 = norm2 - 2 * float((product * factors[2]).sum()) + float(gram_all.sum())
         errors.append(float(np.sqrt(max(error2, 0.0) / norm2)) if norm2 else 0.0)
-        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
+        if len(errors) > 2 and abs(errors[-2] - errors[-1]) < tol:
             break
     return factors, errors
 
 
+def own_seed(swath: int, window: int, rank: int, seed: int) -> int:
+    """Of one model, so that results do not depend on the partitions."""
+    return zlib.crc32(f"{swath}/{window}/{rank}/{seed}".encode())
+
+
 def decompose(dense: DataFrame, min_comp: int, max_comp: int, max_iter: int = 2000, tol: float = 1e-7, init: str = "random", seed: int = 123, done: DataFrame | None = None) -> DataFrame:
     """Factors of every slice for every number of components, as rows (slice, ncomp, mode, idx, comp, value, rsq, iterations).
 
-    A group is one dense slice and one number of components. Its seed comes from the slice, so results do not depend on the
-    partitions. ``done`` (slice, ncomp) names models to skip.
+    A group is one dense slice, dealt once and fitted with each number of components in turn. ``done`` (slice, ncomp) names models to skip. For
+    slices too large for a task see :func:`decompose_large`.
+    """
+
+    def fit(key: tuple, rows: pd.DataFrame, skip: pd.DataFrame) -> pd.DataFrame:
+        swath, window = (int(k) for k in key)
+        out = [pd.DataFrame({c: [] for c in _MODEL})]
+        if len(rows):
+            x = np.zeros((rows["i"].max() + 1, rows["j"].max() + 1, rows["k"].max() + 1))
+            x[rows["i"], rows["j"], rows["k"]] = rows["v"].fillna(0.0)
+            for rank in sorted(set(range(min_comp, max_comp + 1)) - set(skip["ncomp"])):
+                factors, errors = nonnegative_cp(x, rank, max_iter, tol, init, own_seed(swath, window, rank, seed))
+                for mode, factor in enumerate(factors):
+                    idx, comp = np.indices(factor.shape)
+                    part = pd.DataFrame({"mode": mode, "idx": idx.ravel(), "comp": comp.ravel(), "value": factor.ravel()})
+                    out.append(part.assign(swath=swath, rt_window=window, ncomp=rank, rsq=1 - errors[-1] ** 2, iterations=len(errors))[_MODEL])
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    if done is None:
+        done = dense.sparkSession.createDataFrame([], "swath int, rt_window int, ncomp int")
+    work = dense.select(*SLICE, "i", "j", "k", "v").groupBy(*SLICE)
+    return work.cogroup(done.select(*SLICE, "ncomp").groupBy(*SLICE)).applyInPandas(fit, "swath int, rt_window int, ncomp int, mode int, idx int, comp int, value double, rsq double, iterations int")
+
+
+_MODEL = ["swath", "rt_window", "ncomp", "mode", "idx", "comp", "value", "rsq", "iterations"]
+
+
+def decompose_large(cells: DataFrame, ncomp: int, max_iter: int = 2000, tol: float = 1e-7, seed: int = 123, start: DataFrame | None = None) -> DataFrame:
+    """What :func:`decompose` returns for one number of components, of slices of any size: the products are joins and sums over the cells, and the
+    factors are written after each round. All slices go through the same rounds; one is no longer changed once its error has settled. Cells that are
+    not there count as 0. ``start`` (slice, mode, idx, comp, value) are the factors to begin with; without it they are drawn by a hash of their place.
     """
-    todo = dense.select(*SLICE).distinct().withColumn("ncomp", F.explode(F.sequence(F.lit(min_comp), F.lit(max_comp))))
-    if done is not None:
-        todo = todo.join(done.select(*SLICE, "ncomp"), [*SLICE, "ncomp"], "left_anti")
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        swath, window, rank = (int(k) for k in key)
-        x = np.zeros((rows["i"].max() + 1, rows["j"].max() + 1, rows["k"].max() + 1))
-        x[rows["i"], rows["j"], rows["k"]] = rows["v"].fillna(0.0)
-        own = zlib.crc32(f"{swath}/{window}/{rank}/{seed}".encode())
-        factors, errors = nonnegative_cp(x, rank, max_iter, tol, init, own)
-        out = []
-        for mode, factor in enumerate(factors):
-            idx, comp = np.indices(factor.shape)
-            out.append(pd.DataFrame({"mode": mode, "idx": idx.ravel(), "comp": comp.ravel(), "value": factor.ravel()}))
-        frame = pd.concat(out).assign(swath=swath, rt_window=window, ncomp=rank, rsq=1 - errors[-1] ** 2, iterations=len(errors))
-        return frame[["swath", "rt_window", "ncomp", "mode", "idx", "comp", "value", "rsq", "iterations"]]
-
-    work = dense.select(*SLICE, "i", "j", "k", "v").join(todo, SLICE)
-    return work.groupBy(*SLICE, "ncomp").applyInPandas(fit, "swath int, rt_window int, ncomp int, mode int, idx int, comp int, value double, rsq double, iterations int")
+    key = tuple(SLICE)
+    x = cells.select(*SLICE, "i", "j", "k", "v")
+    if start is None:
+        places = [x.select(*SLICE, F.lit(m).alias("mode"), F.col(a).alias("idx")).distinct() for m, a in enumerate("ijk")]
+        rows = places[0].unionByName(places[1]).unionByName(places[2]).withColumn("comp", F.explode(F.sequence(F.lit(0), F.lit(ncomp - 1))))
+        drawn = F.pmod(F.xxhash64(*SLICE, F.lit(ncomp), F.lit(seed), "mode", "idx", "comp"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        start = rows.withColumn("value", drawn)
+    factors = boundary(start.select(*SLICE, "mode", "idx", "comp", "value"), "large-factors")
+    norms = boundary(x.groupBy(*SLICE).agg(F.sum(F.col("v") * F.col("v")).alias("norm2")), "large-norms")
+    settled = norms.select(*SLICE, F.lit(None).cast("double").alias("error"), F.lit(0).alias("iterations"), F.lit(False).alias("settled"))
+    axes = "ijk"
+    for _ in range(max_iter):
+        for mode in range(3):
+            own, others = factors.where(F.col("mode") == mode).drop("mode"), [m for m in range(3) if m != mode]
+            a, b = (factors.where(F.col("mode") == m).drop("mode") for m in others)
+            product = mttkrp(x, a, b, axes[mode], axes[others[0]], axes[others[1]], key).select(*SLICE, F.col(axes[mode]).alias("idx"), "comp", F.col("value").alias("product"))
+            grams = hadamard(gram(a, key), gram(b, key), key)
+            below = own.select(*SLICE, "idx", F.col("comp").alias("s"), "value").join(grams.withColumnRenamed("value", "_g"), [*SLICE, "s"]).groupBy(*SLICE, "idx", F.col("r").alias("comp")).agg(F.sum(F.col("value") * F.col("_g")).alias("below"))
+            new = own.join(product, [*SLICE, "idx", "comp"], "left").join(below, [*SLICE, "idx", "comp"])
+            floor = F.lit(FLOOR)
+            new = new.withColumn("value", F.col("value") * F.greatest(F.coalesce("product", F.lit(0.0)), floor) / F.greatest("below", floor))
+            new = boundary(new.select(*SLICE, "idx", "comp", "value", "product"), "large-mode")
+            still = settled.where("NOT settled").select(*SLICE)
+            kept = factors.where(F.col("mode") != mode).unionByName(own.join(still, SLICE, "left_anti").withColumn("mode", F.lit(mode)))
+            factors = kept.unionByName(new.join(still, SLICE, "left_semi").drop("product").withColumn("mode", F.lit(mode)))
+            factors = boundary(factors, "large-factors")
+        both = new.groupBy(*SLICE).agg(F.sum(F.coalesce("product", F.lit(0.0)) * F.col("value")).alias("cross"))
+        third = gram(new.drop("product"), key)
+        size = hadamard(grams, third, key).groupBy(*SLICE).agg(F.sum("value").alias("size"))
+        error = F.sqrt(F.greatest(F.col("norm2") - 2 * F.col("cross") + F.col("size"), F.lit(0.0)) / F.col("norm2"))
+        now = norms.join(both, SLICE).join(size, SLICE).select(*SLICE, F.when(F.col("norm2") > 0, error).otherwise(0.0).alias("now"))
+        rows = settled.join(now, SLICE)
+        n = F.when(F.col("settled"), F.col("iterations")).otherwise(F.col("iterations") + 1)
+        is_settled = F.col("settled") | ((n > 2) & F.coalesce(F.abs(F.col("error") - F.col("now")) < tol, F.lit(False)))
+        settled = boundary(rows.select(*SLICE, F.when(F.col("settled"), F.col("error")).otherwise(F.col("now")).alias("error"), n.alias("iterations"), is_settled.alias("settled")), "large-errors")
+        if settled.where("NOT settled").isEmpty():
+            break
+    out = factors.join(settled, SLICE).withColumn("ncomp", F.lit(ncomp)).withColumn("rsq", 1 - F.col("error") * F.col("error"))
+    return out.select(*[F.col(c).cast("int").alias(c) if c not in ("value", "rsq") else F.col(c) for c in _MODEL])
 
 
 def measures(factors: DataFrame) -> DataFrame:

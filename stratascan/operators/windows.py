@@ -40,7 +40,7 @@ def swath_key(bound: Column) -> Column:
 
 def first_match_segments(windows: DataFrame) -> DataFrame:
     """(lo, hi, start, end): disjoint stretches, each with the window that a first-match search finds there, which is the
-    one with the lowest start, then the lowest end. Windows are half-open."""
+    one with the lowest start, then the lowest end. Windows are half-open. The distinct bounds of an acquisition, some hundreds, are put in order in one task."""
     edges = windows.select("start", "end").where("start < end").distinct()
     cuts = edges.select(F.explode(F.array("start", "end")).alias("lo")).distinct()
     cuts = cuts.withColumn("hi", F.lead("lo").over(W.orderBy("lo"))).where("hi IS NOT NULL")
@@ -63,14 +63,16 @@ def interval_join(points: DataFrame, windows: DataFrame, on: str, bin_width: flo
 def tolerance_join(left: DataFrame, right: DataFrame, a: str, b: str, rtol: float = 1e-5, atol: float = 1e-8, width: float = 1.0) -> DataFrame:
     """Rows of ``left`` with the row of ``right`` whose ``b`` is the lowest with |a - b| <= atol + rtol * |b|.
 
-    ``right`` is laid over the bins that its tolerance touches; ``width`` should exceed the tolerance.
+    ``right`` is laid over the bins that its tolerance touches; ``width`` should exceed the tolerance. A bin's rows of ``right`` are one list in order, from which a
+    row of ``left`` picks the first that is near, so pairs are never rows; rows of ``right`` in one bin are bounded by its width.
     """
     tol = F.lit(atol) + F.lit(rtol) * F.abs(F.col(b))
     bins = right.withColumn("_bin", F.explode(F.sequence(F.floor((F.col(b) - tol) / width), F.floor((F.col(b) + tol) / width))))
-    pairs = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", F.floor(F.col(a) / width)).join(bins, "_bin")
-    pairs = pairs.where(F.abs(F.col(a) - F.col(b)) <= tol)
-    best = F.row_number().over(W.partitionBy("_row").orderBy(b))
-    return pairs.withColumn("_nth", best).where("_nth = 1").drop("_row", "_nth", "_bin")
+    lists = bins.groupBy("_bin").agg(F.array_sort(F.collect_list(F.struct(F.col(b).alias("_b"), F.struct(*right.columns).alias("_row")))).alias("_near"))
+    rows = left.withColumn("_bin", F.floor(F.col(a) / width)).join(lists, "_bin")
+    near = F.filter("_near", lambda r: F.abs(F.col(a) - r["_b"]) <= F.lit(atol) + F.lit(rtol) * F.abs(r["_b"]))
+    rows = rows.withColumn("_first", F.try_element_at(near, F.lit(1))).where("_first IS NOT NULL")
+    return rows.select(*left.columns, *[F.col(f"_first._row.{c}").alias(c) for c in right.columns])
 
 
 def rt_window(rt: Column, size: float, max_rt: Column | float | None = None) -> Column:

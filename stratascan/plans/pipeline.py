@@ -28,10 +28,11 @@ class Result:
     best: DataFrame
     abundances: DataFrame
     spectra: DataFrame
+    scan_map: DataFrame
 
 
-def run(scan: DataFrame, config: Config) -> Result:
-    """All steps over a scan map of any number of samples and slices."""
+def run(scan: DataFrame, config: Config, scan_num: int = 0) -> Result:
+    """All steps over a scan map of any number of samples and slices; ``scan_num`` is the file, by name from 0, whose map the best models reconstruct."""
     cut = windows.assign_slices(windows.filter_level_intensity(scan, config.min_scan_intensity), config.window_size_sec)
     coo = boundary(slices.tensorize(cut, config.mass_tol_ppm, config.min_points, config.last_cycle_sec, config.align_cycles), "coo")
     dense = slices.impute(slices.worth_decomposing(coo))
@@ -50,4 +51,7 @@ def run(scan: DataFrame, config: Config) -> Result:
     peaks = tensors.mode_of(chosen, 2).join(masses, [*SLICE, "idx"]).withColumnRenamed("value", "intensity").where("intensity > 0")
     peaks = peaks.join(spectrum_index.select("model_id", F.col("spectrum_num").alias("comp"), "scan"), ["model_id", "comp"])
     out = spectra.drop_lower_bins(peaks.select("scan", *SLICE, "level", "mz", "intensity"), ["scan"], config.intensity_lower_percentage_cutoff)
-    return Result(cut, coo, factors, tensors.measures(factors), index, spectrum_index, counts, best, abundances, out)
+    measures = tensors.measures(factors)
+    rsq = models.rsq_or_default(best.select(*SLICE, "ncomp"), measures)
+    rebuilt = models.reconstructed_map(chosen, coo, counts, rsq, scan_num)
+    return Result(cut, coo, factors, measures, index, spectrum_index, counts, best, abundances, out, rebuilt)

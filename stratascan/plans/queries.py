@@ -128,17 +128,13 @@ def q07_cycle_binning(spark, sf_dir):
 
 @query(with_(SCAN_SQL, ADJ, SLICES, CYCLES, BOTH, PARTS) + "SELECT swath, rt_window, level, round(start, 6) AS start FROM pt")
 def q08_mz_partitions(spark, sf_dir):
-    rows = slices.bin_cycles(sliced(spark, sf_dir), LAST_CYCLE_SEC)
-    levels = rows.groupBy("swath", "rt_window").agg(F.count_distinct("level").alias("n")).where("n = 2")
-    out = slices.mz_partitions(rows.join(levels, ["swath", "rt_window"], "left_semi"), PPM)
+    rows = boundary(slices.bin_cycles(sliced(spark, sf_dir), LAST_CYCLE_SEC), "cycles")
+    out = slices.mz_partitions(rows, PPM, both_levels=True)
     return out.select("swath", "rt_window", F.col("level").cast("int").alias("level"), F.round("start", 6).alias("start"))
 
 
 def _sums(spark, sf_dir):
-    rows = slices.bin_cycles(sliced(spark, sf_dir), LAST_CYCLE_SEC)
-    levels = rows.groupBy("swath", "rt_window").agg(F.count_distinct("level").alias("n")).where("n = 2")
-    rows = rows.join(levels, ["swath", "rt_window"], "left_semi")
-    return slices.aggregate_partitions(slices.assign_partitions(rows, slices.mz_partitions(rows, PPM)))
+    return slices.partition_sums(sliced(spark, sf_dir), PPM, LAST_CYCLE_SEC)
 
 
 @query(with_(SCAN_SQL, ADJ, SLICES, CYCLES, BOTH, PARTS, SUMS) + "SELECT swath, rt_window, file, cycle, level, round(start, 6) AS start, intensity FROM sums")
@@ -400,9 +396,10 @@ def q38_fragments(spark, sf_dir):
     return peptides.fragments(parts, "q").select("p_partkey", "ion", "length", F.round("mz", 5).alias("mz"))
 
 
-@query("SELECT o_orderkey, CAST(c AS INTEGER) AS charge, (c - 2) * (SELECT count(*) FROM orders) + row_number() OVER (PARTITION BY c ORDER BY o_orderkey) AS scans FROM orders, unnest([2, 3]) AS u(c)")
+@query("SELECT o_orderkey, CAST(c AS INTEGER) AS charge, CAST(o_orderkey AS VARCHAR) AS scans, CAST(o_orderkey AS VARCHAR) AS title, 10 + row_number() OVER (PARTITION BY c ORDER BY o_orderkey) - 1 AS rtinseconds, 'PEPTIDE' AS seq FROM orders, unnest([2, 3]) AS u(c)")
 def q39_charge_union(spark, sf_dir):
-    return spectra.charge_variants(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "charge", "scans")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("controllerType=0 scan="), F.col("o_orderkey").cast("string"), F.lit("_f2")).alias("title"))
+    return spectra.charge_variants(spectra.sequencer_headers(orders, ["o_orderkey"])).select("o_orderkey", "charge", "scans", "title", "rtinseconds", "seq")
 
 
 @query("SELECT s_nationkey AS nationkey, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_nationkey, c_acctbal, c_mktsegment FROM customer")

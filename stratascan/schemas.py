@@ -1,15 +1,12 @@
-"""Column types of the engine's tables. Slices are keyed by whole hundredths of m/z, never by text or floats."""
+"""Column types of the engine's text files. Slices are keyed by whole hundredths of m/z, never by text or floats."""
 
 SCAN_MAP = (
     "file string, spectrum_index int, level tinyint, rt double, mz double, intensity double, prec_mz double, "
     "prec_isolation_window_start double, prec_isolation_window_end double"
 )
-ADJUSTED_MAP = "spectrum_index int, level tinyint, rt double, mz double, intensity double, prec_mz double, swath_upper_adjusted double, swath_lower_adjusted double"
-WINDOWS = "start double, end double"
-COO = "swath int, rt_window int, i int, j int, k int, v double"
-FACTORS = "swath int, rt_window int, ncomp int, mode int, idx int, comp int, value double"
-MEASURES = "swath int, rt_window int, ncomp int, rsq double, iterations int"
-PEAK_COUNTS = "model_id bigint, comp int, npeaks int"
 NOVOR = "id string, scan string, rt string, mz string, z string, pep_mass string, err string, ppm string, score string, peptide string, aa_score string"
+DEEPNOVO = "scan string, output_seq string, output_score string"
+SPECTRUM_INDEX = "swath int, rt_window int, ncomp int, model_id long, spectrum_num int, scan long"
+MEASURES = "swath int, rt_window int, ncomp int, rsq double, iterations int"
 # The columns of the tabular alignment format, in order.
 BLAST = "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double"

@@ -10,14 +10,27 @@ from stratascan.functions.scalars import path_keys, quality_digit
 
 
 def scan_map_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Scan maps with a header, all samples in one scan; ``file`` is the name of the file without its ending."""
+    """Scan maps with a header, all samples and all parts of them in one scan; ``file`` is the folder ``file=..`` that a map's parts are in, or else the name of
+    the file without its ending."""
     schema = schemas.SCAN_MAP.removeprefix("file string, ")
-    rows = spark.read.schema(schema).option("header", True).csv(list(paths))
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(list(paths))
     return rows.withColumn("file", file_stem(F.col("_metadata.file_path")))
 
 
+def write_scan_map(scan: DataFrame, path: str) -> None:
+    """A folder ``file=..`` of CSV parts per sample; a failed write leaves no part behind."""
+    columns = [c.split()[0] for c in schemas.SCAN_MAP.split(", ")]
+    scan.select(*columns).write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+
+
 def file_stem(path):
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    folder, name = F.regexp_extract(path, r"/file=([^/]+)/[^/]*$", 1), F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    return F.when(folder != "", folder).otherwise(name)
+
+
+def first_file(paths: DataFrame) -> DataFrame:
+    """(path): the least of a table of paths, where any one would do."""
+    return paths.agg(F.min("path").alias("path"))
 
 
 def windows_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -64,22 +77,23 @@ def slice_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def psm_tables(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
     """Tab-separated identifications of many runs with ``file`` and ``quality``; unreadable files are skipped."""
-    reader = spark.read.option("sep", "\t").option("header", True).option("ignoreCorruptFiles", True)
+    reader = spark.read.option("sep", "\t").option("header", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     reader = reader.schema(schema) if schema else reader
     rows = reader.csv(list(paths))
     return rows.withColumn("file", F.col("_metadata.file_path")).withColumn("quality", quality_digit(F.col("_metadata.file_path")))
 
 
 def sequencing_results(spark: SparkSession, paths: list[str], sequencer: str) -> DataFrame:
-    """(scan, sequence, score) of either program's results, cleaned."""
+    """(scan, sequence, score) of either program's results, cleaned; files that can't be read are skipped."""
     from stratascan.functions.scalars import without_commas, without_mod, without_ptm
 
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     if sequencer == "deepnovo":
-        rows = spark.read.option("sep", "\t").option("header", True).csv(paths)
+        rows = reader.schema(schemas.DEEPNOVO).option("sep", "\t").option("header", True).csv(paths)
         sequence = without_mod(without_commas(F.col("output_seq")))
         return rows.where("output_seq IS NOT NULL").select("scan", sequence.alias("sequence"), F.col("output_score").try_cast("double").alias("score"))
     if sequencer == "novor":
-        rows = spark.read.schema(schemas.NOVOR).option("comment", "#").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(paths)
+        rows = reader.schema(schemas.NOVOR).option("comment", "#").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(paths)
         return rows.select("scan", without_ptm(F.col("peptide")).alias("sequence"), F.col("score").try_cast("double").alias("score"))
     raise ValueError(f"sequencer: {sequencer}")
 
@@ -101,12 +115,13 @@ def write_csv(rows: DataFrame, path: str, sep: str = ",", compression: str = "no
     rows.write.mode("overwrite").option("header", True).option("sep", sep).option("compression", compression).csv(path)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """By the ending of the path: csv and tsv with a header, otherwise Parquet."""
+def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """By the ending of the path: csv and tsv with a header, otherwise Parquet. Columns are those of ``schema``, so reading takes one pass."""
     ending = path.rstrip("/").rpartition(".")[2].lower()
+    reader = spark.read.schema(schema)
     if ending in ("csv", "tsv"):
-        return spark.read.option("header", True).option("sep", "\t" if ending == "tsv" else ",").option("inferSchema", True).csv(path)
-    return spark.read.parquet(path)
+        return reader.option("header", True).option("sep", "\t" if ending == "tsv" else ",").csv(path)
+    return reader.parquet(path)
 
 
 def write_index(index: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from stratascan.config import Config
 from stratascan.operators import models, slices, spectra, tensors, windows
 from stratascan.plans import queries
+from stratascan.plans.boundary import boundary, released
 
 POINT = "swath int, rt_window int, file string, spectrum_index int, level tinyint, rt double, mz double, intensity double"
 
@@ -224,9 +226,83 @@ def test_peaks_of_gaussians(centres):
     assert models.count_peaks(10.0, sum((math.pi * np.exp(-0.5 * ((t - c) / 4) ** 2) for c in centres), np.zeros(100))) == len(centres)
 
 
-def test_charge_variants_in_order(spark):
-    got = [(r.scans, r.charge, r.name) for r in spectra.charge_variants(spark.createDataFrame([("a",), ("b",)], "name string"), "name").orderBy("scans").collect()]
-    assert got == [(1, 2, "a"), (2, 2, "b"), (3, 3, "a"), (4, 3, "b")]
+def test_charge_variants_and_headers(spark):
+    rows = spark.createDataFrame([("x scan=7_a", 2), ("x scan=5_b", 1), ("scan=6", 3)], "title string, at int").repartition(3)
+    got = sorted((r.scans, r.charge, r.title, r.rtinseconds, r.seq) for r in spectra.charge_variants(spectra.sequencer_headers(rows, ["at"])).collect())
+    assert got == sorted((n, c, n, t, "PEPTIDE") for n, t in (("5", 10), ("7", 11), ("6", 12)) for c in (2, 3))
+
+
+def test_ordinals_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x", "id % 3 AS y").repartition(5)
+    assert sorted((r.x, r.n) for r in spectra.ordinals(rows, ["x"], "n").collect()) == [(i, i) for i in range(1000)]
+    assert spectra.ordinals(rows.where("false"), ["x"], "n").count() == 0
+    tied = [r.n for r in spectra.ordinals(rows.select("y"), ["y"], "n").orderBy("n").collect()]
+    assert tied == list(range(1000))
+
+
+def test_large_slices_are_decomposed_by_joins(spark):
+    """The relational loop equals the kernel from the same start, slice by slice, with rounds of their own."""
+    rng = np.random.default_rng(8)
+    tensors_of = {(1, 0): low_rank((3, 4, 5), 2, 1), (2, 1): low_rank((2, 5, 3), 2, 2)}
+    rows = [(s, w, *map(int, at), float(v)) for (s, w), x in tensors_of.items() for at, v in np.ndenumerate(x)]
+    cells = spark.createDataFrame(rows, "swath int, rt_window int, i int, j int, k int, v double")
+    start = {key: [rng.random((n, 2)) for n in x.shape] for key, x in tensors_of.items()}
+    begun = spark.createDataFrame([(s, w, m, int(i), int(r), float(v)) for (s, w), fs in start.items() for m, f in enumerate(fs) for (i, r), v in np.ndenumerate(f)], "swath int, rt_window int, mode int, idx int, comp int, value double")
+    got = tensors.decompose_large(cells, 2, max_iter=4, tol=1e-3, start=begun).collect()
+    for (s, w), x in tensors_of.items():
+        factors, errors = [f.copy() for f in start[s, w]], []
+        for _ in range(4):
+            for mode, path in enumerate(("ijk,jr,kr->ir", "ijk,ir,kr->jr", "ijk,ir,jr->kr")):
+                a, b = (factors[m] for m in range(3) if m != mode)
+                factors[mode] = factors[mode] * np.maximum(np.einsum(path, x, a, b), 1e-11) / np.maximum(factors[mode] @ ((a.T @ a) * (b.T @ b)), 1e-11)
+            errors.append(np.linalg.norm(np.einsum("ir,jr,kr->ijk", *factors) - x) / np.linalg.norm(x))
+            if len(errors) > 2 and abs(errors[-2] - errors[-1]) < 1e-3:
+                break
+        own = [r for r in got if (r.swath, r.rt_window) == (s, w)]
+        assert {r.iterations for r in own} == {len(errors)} and own[0].rsq == pytest.approx(1 - errors[-1] ** 2, abs=1e-9)
+        assert {(r.mode, r.idx, r.comp): r.value for r in own} == pytest.approx({(m, i, r): v for m, f in enumerate(factors) for (i, r), v in np.ndenumerate(f)}, rel=1e-6)
+    drawn = tensors.decompose_large(cells.where("swath = 1"), 3, max_iter=1)
+    assert drawn.count() == (3 + 4 + 5) * 3 and drawn.where("value < 0").count() == 0
+
+
+def test_peaks_of_a_noisy_profile_by_the_noise_about_them():
+    """A small peak in a quiet stretch counts, whatever the noise elsewhere is."""
+    t = np.arange(200)
+    rng = np.random.default_rng(0)
+    x = np.exp(-0.5 * ((t - 50) / 4) ** 2) + 0.35 * np.exp(-0.5 * ((t - 150) / 4) ** 2) + np.where(t < 100, 0.02 * rng.random(200), 0)
+    assert models.count_peaks(10.0, x) == 2
+
+
+def test_map_of_a_file_by_name(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, x = rng.random((2, 2)), rng.random((3, 2)), rng.random((2, 2)), rng.random((2, 3, 2))
+    rows = [(1, 0, 2, 7, mode, int(i), int(r), float(v), 0.9, 5) for mode, m in enumerate((a, b, c)) for (i, r), v in np.ndenumerate(m)]
+    factors = spark.createDataFrame(rows, "swath int, rt_window int, ncomp int, model_id int, mode int, idx int, comp int, value double, rsq double, iterations int")
+    files = {0: "zeta", 1: "alpha"}  # rows of the tensor need not be in the order of names
+    coo = spark.createDataFrame([(1, 0, files[i], int(i), int(j), int(k), float(v), 100.5 + k, 1 + k) for (i, j, k), v in np.ndenumerate(x)], "swath int, rt_window int, file string, i int, j int, k int, v double, start double, level int")
+    counts = spark.createDataFrame([(7, 0, 2), (7, 1, 1)], "model_id int, comp int, npeaks int")
+    rsq = spark.createDataFrame([(1, 0, 2, 0.8)], "swath int, rt_window int, ncomp int, rsq double")
+    fit = np.outer(b[:, 1], c[:, 1]) * a[1, 1]
+    top = np.unravel_index(fit.argmax(), fit.shape)
+    got = {(r.cycle, r.mz, r.level): r.intensity for r in models.reconstructed_map(factors, coo, counts, rsq, 0).collect()}
+    assert got == pytest.approx({(j, 100.5 + k, 1 + k): v * x[1][top] * 0.8 / fit[top] for (j, k), v in np.ndenumerate(fit)})
+    assert models.reconstructed_map(factors, coo, counts, rsq, 2).count() == 0
+    assert models.reconstructed_map(factors, coo, counts.where("npeaks = 2"), rsq, 0).count() == 0
+
+
+def test_labels_of_another_form_are_an_error(spark):
+    mode = spark.createDataFrame([(1, 0, 0, 1.5)], "swath int, rt_window int, idx int, value double")
+    axis = lambda label: spark.createDataFrame([(1, 0, 0, label)], "swath int, rt_window int, idx int, label string")
+    assert [(r.mz, r.level) for r in models.with_mz_index(mode, axis("100.5_ms2")).collect()] == [(100.5, 2)]
+    with pytest.raises(Exception, match="no m/z label"):
+        models.with_mz_index(mode, axis("100.5")).collect()
+
+
+def test_boundaries_are_released(spark, tmp_path):
+    with released(spark):
+        path = boundary(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
 
 
 def test_registered_decomposition_has_the_production_values(spark, monkeypatch):
@@ -240,7 +316,7 @@ def test_registered_decomposition_has_the_production_values(spark, monkeypatch):
     for rank in (2, 3, 20):
         rng = np.random.default_rng(zlib.crc32(f"7/1/{rank}/{config.parafac_seed}".encode()))
         factors, errors = [rng.random((n, rank)) for n in x.shape], []
-        while len(errors) < config.parafac_max_iter and (len(errors) < 2 or abs(errors[-2] - errors[-1]) >= config.parafac_tolerance):
+        while len(errors) < config.parafac_max_iter and (len(errors) < 3 or abs(errors[-2] - errors[-1]) >= config.parafac_tolerance):
             for mode in range(3):
                 a, b = (factors[m] for m in range(3) if m != mode)
                 khatri_rao = np.array([[a[p, r] * b[q, r] for r in range(rank)] for p in range(len(a)) for q in range(len(b))])

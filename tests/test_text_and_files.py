@@ -1,5 +1,6 @@
 import base64
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -35,6 +36,20 @@ def test_digest_and_decoys(spark):
         assert a == b and sorted(a[0]) == sorted("MKPARGGKLLWWWWWWK") and a[1] is None
 
 
+def test_names_and_columns(spark):
+    a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(1, 2, 3)], "x int, z int, y int")
+    assert scalars.new_columns(a, b) == ["z", "y"]
+    paths = spark.createDataFrame([("b",), ("a",)], "path string")
+    assert [r.path for r in tables.first_file(paths).collect()] == ["a"]
+    sizes = {r.x for r in scalars.seeded_sample(spark.range(50).withColumnRenamed("id", "x"), "x", 7).collect()}
+    assert len(sizes) == 7 and sizes == {r.x for r in scalars.seeded_sample(spark.range(50).withColumnRenamed("id", "x").repartition(3), "x", 7).collect()}
+    names = spark.createDataFrame([("/d/file=s1/part-0.csv",), ("/d/run.2.csv",), ("run",)], "p string")
+    assert [r.n for r in names.select(tables.file_stem(F.col("p")).alias("n")).collect()] == ["s1", "run.2", "run"]
+    import random
+
+    assert all(peptides.shuffled("ABCDEFGH", "random", 0.5, random.Random(i)) != "ABCDEFGH" for i in range(50))
+
+
 def test_fragments(spark):
     rows = spark.createDataFrame([("PEPTIDE",)], "q string")
     got = {(r.ion, r.length): r.mz for r in peptides.fragments(rows, "q").collect()}
@@ -60,7 +75,7 @@ def mzml_spectrum(index, level, minutes, mz, intensity, precursor=None, packed=F
     if precursor:
         target, lower, upper = precursor
         pre = f'<precursorList><precursor><isolationWindow><cvParam accession="MS:1000827" value="{target}"/><cvParam accession="MS:1000828" value="{lower}"/><cvParam accession="MS:1000829" value="{upper}"/></isolationWindow><selectedIonList><selectedIon><cvParam accession="MS:1000744" value="{target}"/></selectedIon></selectedIonList></precursor></precursorList>'
-    time = f'<scanList><scan><cvParam accession="MS:1000016" value="{minutes}" unitAccession="UO:0000031"/></scan></scanList>' if minutes is not None else ""
+    time = f'<scanList><scan><cvParam accession="MS:1000016" value="{minutes}" unitAccession="UO:0000031" unitName="minute"/></scan></scanList>' if minutes is not None else ""
     return f'<spectrum index="{index}"><cvParam accession="MS:1000511" value="{level}"/>{time}{pre}<binaryDataArrayList>{array("MS:1000514", mz, "<f8")}{array("MS:1000515", intensity, "<f4")}</binaryDataArrayList></spectrum>'
 
 
@@ -72,18 +87,24 @@ def test_mzml(spark, tmp_path):
     (tmp_path / "run7.mzML").write_text(MZML.format("\n".join(body)))
     got = sorted((r.file, r.spectrum_index, r.level, r.rt, r.mz, r.intensity, r.prec_mz, r.prec_isolation_window_start, r.prec_isolation_window_end) for r in scans.read_mzml(spark, str(tmp_path / "run7.mzML"), min_intensity=1.0).collect())
     assert got == [("run7", 0, 1, 90.0, 410.0, 5.0, 410.0, 400.0, 425.0), ("run7", 1, 2, 90.6, 100.0, 5.0, 412.5, 400.0, 425.0)]
-    assert scans.time_unit(spark, str(tmp_path / "run7.mzML")).first().unit == "UO:0000031"
+    assert scans.time_unit(spark, str(tmp_path / "run7.mzML")).first().unit == "minute"
+    (r,) = scans.spectrum_problems(spark, str(tmp_path / "run7.mzML")).collect()
+    assert (r.file, r.processed, r.problematic) == ("run7", 4, 1)
+    (tmp_path / "seconds.mzML").write_text(MZML.format("").replace("minute", "second"))
+    assert scans.time_unit(spark, str(tmp_path / "seconds.mzML")).count() == 0
 
 
 def test_mzxml_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(n, lv, float(m), float(i)) for n in (1, 2) for lv, m, i in ((1, 400 + n, 7), (1, 300, 3), (2, 200, 5), (2, 100, 9))], "scan long, level int, mz double, intensity double")
     path = str(tmp_path / "out.mzXML")
-    assert scans.write_mzxml(scans.mzxml_scans(rows), path) == 2
-    data = open(path, "rb").read()
+    scans.write_mzxml(scans.mzxml_scans(rows), path)
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out.mzXML").glob("part-*")))
+    ElementTree.fromstring(data)
+    assert b'scanCount="2"' in data
     at = int(data.split(b"<indexOffset>")[1].split(b"<")[0])
     assert data[at:].startswith(b"<index")
     offsets = [int(x.split(b">")[1].split(b"<")[0]) for x in data[at:].split(b"<offset")[1:]]
-    assert all(data[o:].startswith(b'<scan num="') for o in offsets)
+    assert len(offsets) == 2 and all(data[o:].startswith(b'<scan num="%d"' % n) for n, o in enumerate(offsets, 1))
     got = {r.num: (r.prec_mz, r.prec_intensity, [(p.mz, p.intensity) for p in r.peaks]) for r in scans.read_mzxml(spark, path).collect()}
     assert got == {n: (400.0 + n, 7.0, [(100.0, 9.0), (200.0, 5.0)]) for n in (1, 2)}
 
@@ -117,6 +138,11 @@ def test_result_tables(spark, tmp_path):
     (tmp_path / "map_Q3_x.tsv").write_text("scan\tscore\n1\t2\n")
     (r,) = tables.psm_tables(spark, str(tmp_path / "map_Q3_x.tsv")).collect()
     assert r.quality == "3" and r.file.endswith("map_Q3_x.tsv")
+    (tmp_path / "bad_Q1.tsv.gz").write_bytes(b"no gzip at all")
+    got = tables.psm_tables(spark, str(tmp_path / "map_Q3_x.tsv"), str(tmp_path / "bad_Q1.tsv.gz"), schema="scan long, score long").collect()
+    assert [(r.scan, r.score) for r in got] == [(1, 2)]
+    got = tables.sequencing_results(spark, [str(tmp_path / "d.tsv"), str(tmp_path / "bad_Q1.tsv.gz")], "deepnovo").collect()
+    assert [tuple(r) for r in got] == [("5", "PEP", -0.5)]
     d = tmp_path / "swath_lower_adjusted=400.50" / "rt_window=2.0"
     d.mkdir(parents=True)
     (d / "log.csv").write_text("ncomp,rsq\n2,0.5\n")
@@ -137,6 +163,8 @@ def test_config(tmp_path):
     for bad in ({"analysis_pipeline": "tpp"}, {"parafac_init": "x"}, {"parafac_min_comp": 5, "parafac_max_comp": 2}):
         with pytest.raises(ValueError):
             config.from_mapping(bad)
+    (tmp_path / "c.yaml").write_text("mass_tol_ppm: 12\nsequencer: deepnovo\n")
+    assert (config.from_yaml(str(tmp_path / "c.yaml")).mass_tol_ppm, config.from_yaml(str(tmp_path / "c.yaml")).sequencer) == (12.0, "deepnovo")
     path = str(tmp_path / "v.yaml")
     config.upsert_value(path, "max_rt", 5.0)
     assert config.upsert_value(path, "other", 1) == {"max_rt": 5.0, "other": 1}
@@ -162,4 +190,6 @@ def test_whole_run(spark):
         ratio.setdefault(r.scan, {})[r.sample_num] = r.abundance
     found = sorted(round(v[2] / v[0], 1) for v in ratio.values())
     assert found == pytest.approx([0.25, 3.0], abs=0.1)
+    rebuilt = out.scan_map.collect()
+    assert rebuilt and {r.level for r in rebuilt} == {1, 2} and min(r.intensity for r in rebuilt) >= 0 and {r.model_id for r in rebuilt} == {r.model_id for r in out.best.collect()}
     assert {r.mz for r in out.spectra.where("level = 2").collect()} <= {200.0, 250.0, 300.0, 350.0}
