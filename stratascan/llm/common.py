@@ -2,21 +2,27 @@
 
 Intermediate tables are written to the folder in ``spark.checkpoint.dir``, which every executor and the
 driver can reach, through Spark's own writers; lineage is cut there, so a lost executor costs only its tasks.
+
+A lazy result needs the tables it was made from, so they stay until they are released: those made inside :func:`owner` when the same owner
+starts anew, all others by :func:`release`.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
-_INTERMEDIATE: list[str] = []
+from stratascan.plans.boundary import shared_folder
+
+#: Intermediate tables by owner; those of no owner are under "".
+_INTERMEDIATE: dict[str, list[str]] = {}
+_OWNERS: list[str] = [""]
 
 #: Rows in one Arrow batch handed to Python; small, because a document may hold megabytes.
 BATCH_ROWS = 500
@@ -25,33 +31,39 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough that some very long documents fit in one."""
+    """Keep Arrow batches small enough that some very long documents fit in one. It is a setting of the session, which plans read when they run, so it stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table; :func:`release` deletes it."""
+    """A new path for an intermediate table of the present owner."""
     path = lasting_path(spark, name)
-    _INTERMEDIATE.append(path)
+    _INTERMEDIATE.setdefault(_OWNERS[-1], []).append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables so far. Only for callers that have written out all that was made from them."""
-    while _INTERMEDIATE:
-        drop_path(spark, _INTERMEDIATE.pop())
+def release(spark: SparkSession, name: str = "") -> None:
+    """Delete the intermediate tables of an owner. Only for callers that have written out all that was made from them."""
+    for path in _INTERMEDIATE.pop(name, []):
+        drop_path(spark, path)
+
+
+@contextmanager
+def owner(spark: SparkSession, name: str) -> Iterator[None]:
+    """Intermediate tables made inside belong to ``name``; those it made before are deleted first, tables of others stay."""
+    release(spark, name)
+    _OWNERS.append(name)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
 
 
 def lasting_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; a temporary folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-shared-"))
-        base = f"file://{_OWN_DIR[0]}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -37,7 +37,7 @@ BACKOFF = 0.4
 #: Counts below this are as none, for runs of two words and more.
 LEAST = 2
 #: Bytes of text after which a block is closed.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: The key whose count is the number of all words.
 TOTAL = np.uint64(1)
 
@@ -189,11 +189,13 @@ def pack_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "file string, lo long, docs binary")
 
 
-def look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Counts of n-grams in any order; looked up in ascending order, so that the table is read from one end to the other."""
-    order = np.argsort(asked)
+def look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Counts of n-grams in any order; looked up in ascending order, so that the table is read from one end to the other, some at a time."""
     found = np.empty(len(asked), np.float64)
-    found[order] = counts[np.searchsorted(keys, asked[order])]
+    for at in range(0, len(asked), step):
+        part = asked[at : at + step]
+        order = np.argsort(part)
+        found[at : at + step][order] = counts[np.searchsorted(keys, part[order])]
     return found
 
 

@@ -12,8 +12,9 @@ chunks, inside the tasks: of the links found there those that connect components
 sketches (the samples folded into a bitmap of parities) allow the threshold, and is confirmed on full sets.
 
 A null text has no words. A null doc_id can't be named: its row is returned with a null component, kept. Rows with the
-same doc_id are one document if their sets are equal. An empty table gives an empty result. Only doc_id and text are
-read.
+same doc_id and equal sets are one document; if their sets differ, the id belongs to the components of both, which it joins. Very long texts are read
+whole; their sets travel as one value of eight bytes a shingle. An empty table gives an empty result. Only doc_id and text are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations

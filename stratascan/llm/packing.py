@@ -6,7 +6,8 @@ tournament tree over the free capacities finds in logarithmic time. Sequences ar
 except those whose length is a power of two; a group's last, worst filled sequence is cut into such lengths.
 
 Null and empty texts are documents of one token, the end id. Null ids are dealt by row. Repeated rows are
-documents of their own. An empty table gives an empty result.
+documents of their own. Of equal lengths the smaller doc_id is placed first, then the text decides, so the order of arrival makes no difference. Very long
+texts are tokenised whole and cut into whole sequences. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from stratascan.llm.common import table, tune
 
 LENGTH = 2048
 END_ID = 1
-#: Documents in a group, on average.
-GROUP_DOCS = 3000
+#: Documents in a group, on average, and bytes of text, whichever are reached first.
+GROUP_DOCS, GROUP_BYTES = 3000, 24 << 20
 SEED = 29
 
 
@@ -93,10 +94,12 @@ def pack(lengths: list[int], capacity: int = LENGTH) -> list[tuple[int, int, int
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = SEED, byte_level: bool = False) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): one row per piece, its ids as little-endian bytes."""
     spark = tune(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_docs))
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-size["docs"] // group_docs), -(-size["bytes"] // GROUP_BYTES))
 
     def of_group(key: tuple, rows: pa.Table) -> pa.Table:
         encode = tokenize.encoder(tokenizer, byte_level).encode
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         doc_ids, ids = rows.column("doc_id").to_pylist(), []
         for b in rows.select(["text"]).to_batches(max_chunksize=200):
             ids += [np.append(x, np.uint32(end_id)).astype("<u4") for x in encode([t or "" for t in b.column(0).to_pylist()])]

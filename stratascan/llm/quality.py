@@ -7,7 +7,9 @@ is at least one half; the expected grade orders them.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, chosen by a hash of their ids; every document is scored,
 over its whole text. Grades: 0 toxic, 1 not toxic but of low quality, 2 neither. Null and empty texts have traits only.
-Null ids are scored. Without any labels every score is 0 and all documents stay. Repeated rows are scored alike.
+Null ids are scored. Without any labels every score is 0 and all documents stay. Repeated rows are scored alike. Of several labels of a document the highest grade
+counts; a label without quality and toxicity counts as low quality. A probability of exactly one half stays. Very long texts are scored whole. An empty table gives an
+empty result. Only doc_id and text are read of documents, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -126,29 +128,37 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY, st
     share = np.array([(grades > g).mean() for g in range(k - 1)]).clip(0.5 / n, 1 - 0.5 / n)
     # thresholds as the first and the logs of the gaps, which keeps them in order
     theta = -np.log(share / (1 - share))
-    raw = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
-    w = np.zeros(len(used))
-    first, second = np.zeros(len(used) + k - 1), np.zeros(len(used) + k - 1)
+    at = np.concatenate([np.zeros(len(used)), theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
+    first, second = np.zeros(len(at)), np.zeros(len(at))
     for step in range(1, steps + 1):
-        theta = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-        score = np.bincount(doc, w[col], n)
-        edge = np.concatenate([np.full((n, 1), np.inf), score[:, None] - theta[None, :], np.full((n, 1), -np.inf)], axis=1)
-        p = 1 / (1 + np.exp(-np.clip(edge, -500, 500)))
-        d = p * (1 - p)
-        at = np.arange(n)
-        likely = np.maximum(p[at, grades] - p[at, grades + 1], 1e-12)
-        up, down = d[at, grades] / likely, d[at, grades + 1] / likely  # of the lower and the upper edge of the grade
-        slope = up - down
-        g_w = -np.bincount(col, slope[doc], len(used)) + penalty * w
-        g_theta = np.array([np.sum(up[grades == g + 1]) - np.sum(down[grades == g]) for g in range(k - 1)])
-        g_raw = np.concatenate([[g_theta.sum()], [g_theta[i:].sum() * np.exp(raw[i]) for i in range(1, k - 1)]])
-        grad = np.concatenate([g_w, g_raw])
+        grad = loss(at, doc, col, grades, penalty)[1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        w, raw = w - move[: len(used)], raw - move[len(used) :]
+        at = at - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(size, np.float32)
-    weights[used] = w
-    return Model(weights, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
+    weights[used] = at[: len(used)]
+    return Model(weights, ordered(at[len(used) :]))
+
+
+def ordered(raw: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logs of the gaps."""
+    return raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
+
+
+def loss(at: np.ndarray, doc: np.ndarray, col: np.ndarray, grades: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Penalised negative log-likelihood and its gradient at weights followed by raw thresholds; cells (doc, col) are the features that documents have."""
+    n, k = len(grades), GRADES
+    w, raw = at[: len(at) - k + 1], at[len(at) - k + 1 :]
+    score = np.bincount(doc, w[col], n)
+    edge = np.concatenate([np.full((n, 1), np.inf), score[:, None] - ordered(raw)[None, :], np.full((n, 1), -np.inf)], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(edge, -500, 500)))
+    d = p * (1 - p)
+    of = np.arange(n)
+    likely = np.maximum(p[of, grades] - p[of, grades + 1], 1e-12)
+    up, down = d[of, grades] / likely, d[of, grades + 1] / likely  # of the lower and the upper edge of the grade
+    g_w = -np.bincount(col, (up - down)[doc], len(w)) + penalty * w
+    g_theta = np.array([np.sum(up[grades == g + 1]) - np.sum(down[grades == g]) for g in range(k - 1)])
+    g_raw = np.concatenate([[g_theta.sum()], [g_theta[i:].sum() * np.exp(raw[i]) for i in range(1, k - 1)]])
+    return float(-np.log(likely).sum() + penalty / 2 * (w @ w)), np.concatenate([g_w, g_raw])
 
 
 def grade(quality: Column, toxic: Column) -> Column:

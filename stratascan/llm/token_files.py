@@ -7,7 +7,8 @@ seekable format in a skippable frame: sizes and the low 32 bits of the XXH64 of
 documents decompresses the directory and their frames only, and any zstandard decoder reads the whole.
 
 Null texts count as empty; every document ends with id 0, so it has at least that token. Repeated rows are documents
-of their own. An empty table writes no file and reads back empty.
+of their own. A very long text is one frame. An empty table writes no file and reads back empty. Only doc_id and text are read, so other columns may have
+any names.
 """
 
 from __future__ import annotations

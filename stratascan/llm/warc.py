@@ -6,8 +6,8 @@ digests derived from it, so that a rerun makes the same ones. Of HTTP records wi
 the largest page_id is a response and the others are revisits; ties go by file and position.
 
 A null URL is written as ``about:blank``, a null html as an empty payload, a null page_id as none: it comes back
-null and is the smallest. Repeated rows are records of their own. An empty table gives an empty result. Only
-page_id, url and html are read.
+null and is the smallest. Repeated rows are records of their own. A very long html is one record, in a file of its own if need be. An empty table gives an
+empty result. Only page_id, url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
