@@ -66,6 +66,30 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", "t"), ("None", "u")]
 
 
+def test_whole_long_texts_decide(spark, tmp_path, monkeypatch):
+    """Texts that differ only at their far end are not equal; also when no digest is told to the tasks."""
+    long = prose(200_000, 5)
+    texts = [long + " x", long + " y", long + "  x", "short", None]
+    sf_dir = write(spark, tmp_path, frame(spark, texts))
+    for told in (0, 10):
+        monkeypatch.setattr(exact_dedup, "TOLD_DIGESTS", told)
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.op2_exact_dedup(spark, sf_dir).collect()}
+        assert got == {0: (0, 2), 1: (1, 1), 2: (0, 2), 3: (3, 1), 4: (4, 1)}
+
+
+def test_mix_of_ties_nulls_and_long_texts(spark, tmp_path):
+    """Null ids with equal and different texts, repeated ids, a text larger than many blocks: sizes add up and reruns agree."""
+    long = prose(120_000, 8)
+    texts, ids = [long, "a b c", "a b c", None, "", "d e", "d e", prose(50, 1)], [1, None, None, None, None, 7, 7, 8]
+    docs = frame(spark, texts, ["x"] * 4 + ["y"] * 4, ids)
+    sf_dir = write(spark, tmp_path, docs)
+    got = sorted(map(str, mixing.op8_source_mix(spark, sf_dir).collect()))
+    again = write(spark, tmp_path / "again", docs.repartition(7))
+    assert got == sorted(map(str, mixing.op8_source_mix(spark, again).collect())) and len(got) == 8
+    whole = {r.doc_id: r for r in mixing.op8_source_mix(spark, sf_dir).where("doc_id = 1").collect()}
+    assert whole[1].size == 120_000 and whole[1].taken <= 3 * 120_000
+
+
 def test_no_documents(spark, tmp_path):
     sf_dir = write(spark, tmp_path, frame(spark, []))
     assert exact_dedup.op2_exact_dedup(spark, sf_dir).count() == 0

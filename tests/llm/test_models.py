@@ -1,9 +1,11 @@
 import math
 import random
+import string
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from stratascan.llm import ann, lm_score, quality
@@ -136,6 +138,66 @@ def test_gradient_and_order_of_thresholds():
     assert (p.argmax(axis=1) == grades).mean() > 0.9
 
 
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(6)
+    doc, col = np.repeat(np.arange(40), 3), rng.integers(0, 9, 120)
+    grades = rng.integers(0, 3, 40)
+    at = np.concatenate([rng.normal(0, 0.7, 9), [-0.4, 0.3]])
+    _, grad = quality.loss(at, doc, col, grades, 0.5)
+    for i in range(len(at)):
+        step = np.zeros(len(at))
+        step[i] = 1e-6
+        slope = (quality.loss(at + step, doc, col, grades, 0.5)[0] - quality.loss(at - step, doc, col, grades, 0.5)[0]) / 2e-6
+        assert grad[i] == pytest.approx(slope, abs=1e-5), i
+    # the loss itself, from the probabilities of the grades
+    x = np.zeros((40, 9))
+    np.add.at(x, (doc, col), 1)
+    cut = np.array([at[9], at[9] + math.exp(at[10])])
+    above = 1 / (1 + np.exp(-((x @ at[:9])[:, None] - cut)))
+    p = np.stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]])
+    assert quality.loss(at, doc, col, grades, 0.5)[0] == pytest.approx(-np.log(p[grades, np.arange(40)]).sum() + 0.25 * (at[:9] ** 2).sum())
+
+
+def plain_features(text):
+    """Feature numbers of a text, word by word."""
+    number = lambda key: xxhash.xxh64_intdigest(key) >> (64 - quality.BITS)
+    ends = string.punctuation.encode()
+    words, out = (text or "").encode().split(), set()
+    shapes, cores = Counter(), Counter()
+    for w in words:
+        core = w.strip(ends).decode("utf-8", "replace").lower()
+        cores[number(b"w:" + core.encode())] += 1
+        out |= {number(f"{k}:{part}".encode()) for k, part in (("w", core), ("4", core[:4]), ("5", core[:5]))}
+        bare = w.rstrip(ends)
+        case = b"-" if not bare else b"09" if bare.isdigit() else b"AA" if bare.isupper() and len(bare) > 1 else b"Aa" if bare[:1].isupper() else b"aa"
+        shapes[case + w[len(bare) :][:3]] += 1
+    traits, n = ["all"], len(words)
+    if n:
+        traits += [b"s:%s:%d" % (k, max(1, 9 + math.floor(math.log2(c / n)))) for k, c in shapes.items()]
+        traits += [f"distinct:{10 * len(cores) // n}", f"top:{10 * max(cores.values()) // n}", f"length:{int(math.log2(n))}", f"mean:{min(20, len((text or '').encode()) // n)}"]
+    return out | {number(b"%d:" % i + (t if isinstance(t, bytes) else t.encode())) for t in traits for i in range(quality.TRAIT_HASHES)}
+
+
+def test_the_query_equals_a_plain_score(spark, tmp_path):
+    texts, labels = labelled(300, 9)
+    texts += [None, "", "12 AB! ... Über?", prose(150_000, 4), texts[0]]
+    write(spark, tmp_path, spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int"), "labels")
+    sf_dir = write(spark, tmp_path, frame(spark, texts))
+    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r.doc_id: r for r in quality.op9_quality_classifier(spark, sf_dir).collect()}
+    assert len(got) == len(texts) and np.count_nonzero(model.weights) > 100
+    for i, text in enumerate(texts):
+        score = sum(float(model.weights[f]) for f in plain_features(text))
+        tail = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].p_top == pytest.approx(tail[1], abs=1e-6)
+        assert got[i].expected_grade == pytest.approx(sum(tail), abs=1e-6) and got[i].kept == (got[i].p_top >= 0.5)
+
+
+def test_classifier_on_no_documents(spark, tmp_path):
+    write(spark, tmp_path, spark.createDataFrame([], "doc_id long, quality int, toxic int"), "labels")
+    assert quality.op9_quality_classifier(spark, write(spark, tmp_path, frame(spark, []))).count() == 0
+
+
 def test_odd_rows_are_scored(spark):
     docs = frame(spark, [None, "", "x", "x"], ids=[None, 1, 2, 2])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -14,7 +14,7 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
 
 
-def brute_force(ids, texts):
+def brute_force(ids, texts, threshold=85):
     """(n_shingles, component) of each document by comparing all pairs."""
     sets = [shingle_set(t) for t in texts]
     root = list(range(len(texts)))
@@ -27,7 +27,7 @@ def brute_force(ids, texts):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= threshold * len(sets[i] | sets[j]):
                 root[max(find(i), find(j), key=lambda r: ids[r])] = min(find(i), find(j), key=lambda r: ids[r])
     return {ids[i]: (len(sets[i]), ids[find(i)]) for i in range(len(texts))}
 
@@ -64,8 +64,10 @@ def test_components_equal_all_pairs(spark, tmp_path, corpus):
     assert len(got) == len(texts) and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_rounds_after_the_first_find_what_it_misses(spark, monkeypatch):
-    """With one band of one sample, buckets mix components; later rounds must still connect all that share a bucket."""
+@pytest.mark.parametrize("chunk", [2, 500])
+def test_rounds_after_the_first_find_what_it_misses(spark, monkeypatch, chunk):
+    """With one band of one sample, buckets mix components; later rounds must still connect all that share a bucket, whatever chunks it is cut into."""
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     monkeypatch.setattr(near_dedup, "most_odd_bits", lambda: near_dedup.SKETCH_BITS)
     text = prose(400, 1)
     near = [edited(text, 3, i) for i in range(6)]
@@ -90,6 +92,19 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None", "None", "None"]
 
 
+def test_one_id_with_two_texts_joins_their_components(spark):
+    a, b = prose(50, 1), prose(50, 2)
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.components(frame(spark, [a, b, a, b], ids=[9, 8, 5, 5])).collect())
+    assert {c for i, c in got if i == 5} == {5} and dict(got)[9] == 5 and dict(got)[8] == 5
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    long = prose(150_000, 6, 100_000)
+    far = " ".join(long.split()[:75_000] + prose(75_000, 7, 100_000).split())
+    got = {r.doc_id: r.component_id for r in near_dedup.components(frame(spark, [long, long + " and an end", far], ids=[3, 2, 1])).collect()}
+    assert got == {3: 2, 2: 2, 1: 1}
+
+
 def test_no_documents(spark):
     assert near_dedup.components(frame(spark, [])).count() == 0
     assert near_dedup.components(frame(spark, [None, ""])).count() == 2

@@ -137,3 +137,21 @@ def test_no_documents(spark, tmp_path):
     sf_dir = write(spark, tmp_path, frame(spark, []))
     assert packing.op1_pack_sequences(spark, sf_dir).count() == 0
     assert token_files.op4_token_files(spark, sf_dir).count() == 0
+
+
+def test_packing_does_not_depend_on_the_order_of_arrival(spark):
+    docs = frame(spark, [prose(30 + 7 * i % 400, i) for i in range(200)] + ["same text"] * 5, ids=[*range(200), *[500] * 5])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first, second = (sorted(tuple(r) for r in packing.pack_documents(d, path, group_docs=40).collect()) for d in (docs.repartition(1), docs.repartition(7).orderBy(docs["text"])))
+    assert first == second
+
+
+def test_groups_are_cut_by_bytes_and_long_texts_packed_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 100_000)
+    texts = [prose(60_000, 1), *[prose(300, i) for i in range(40)]]
+    got = packing.pack_documents(frame(spark, texts), public_tokenizers.path("word_bpe_49k.json")).collect()
+    whole = reference("word_bpe_49k.json")
+    for i in (0, 1, 40):
+        own = sorted((r.start, bytes(r.ids)) for r in got if r.doc_id == i)
+        assert b"".join(x for _, x in own) == np.array([*whole(texts[i]), 1], "<u4").tobytes()
+    assert len({r.sequence_id >> 40 for r in got}) > 3
