@@ -10,7 +10,7 @@ from stratascan.operators import models, slices, spectra, tensors, windows
 from stratascan.plans import views
 from stratascan.plans.boundary import boundary, shared_path
 from stratascan.plans.queries import (
-    ADJ, COUNTS_SQL, INDEX_SQL, SCAN_FIT_SQL, SLICES, SPEC_SQL, TO_COO, FACTORS_SQL, _counts, _factors, _index, order_spectra, query, read, sliced, tensor, with_,
+    ADJ, COUNTS_SQL, INDEX_SQL, FACTORS_SQL, SLICES, SPEC_SQL, TO_COO, _counts, _factors, _index, order_spectra, query, read, scan_fit_sql, sliced, tensor, with_,
 )
 from stratascan.plans.views import RANK, SCAN_SQL, scan_map
 from stratascan.sources import scans, tables
@@ -258,14 +258,14 @@ def q76_tensor_files(spark, sf_dir):
     return slices.worth_decomposing(tables.read_slices(spark, path)).select("swath", "rt_window", "i", "j", "k", F.round("v", 5).alias("v"))
 
 
-@query(with_(*FACTORS_SQL) + "SELECT mode, CAST(idx AS INTEGER) AS idx, CAST(comp AS INTEGER) AS comp, round(value, 8) AS value FROM (SELECT 0 AS mode, * FROM fa UNION ALL SELECT 1, * FROM fb UNION ALL SELECT 2, * FROM fc)")
+@query(with_(*FACTORS_SQL) + "SELECT mode, swath, rt_window, idx, comp, round(value, 8) AS value FROM (SELECT 0 AS mode, * FROM fa UNION ALL SELECT 1, * FROM fb UNION ALL SELECT 2, * FROM fc)")
 def q77_model_files(spark, sf_dir):
     """Factors as one table, loaded mode by mode."""
     path = shared_path(spark, "factors")
     tagged = scalars.aligned([f.withColumn("mode", F.lit(m)).withColumn("rsq", F.lit(1.0)).withColumn("iterations", F.lit(3)) for m, f in enumerate(_factors(spark, sf_dir))])
     tagged.write.parquet(path)
     loaded = [tensors.mode_of(spark.read.parquet(path), m).withColumn("mode", F.lit(m)) for m in range(3)]
-    return scalars.aligned(loaded).select("mode", "idx", F.col("comp").cast("int").alias("comp"), F.round("value", 8).alias("value"))
+    return scalars.aligned(loaded).withColumn("value", F.round("value", 8))
 
 
 # --- operators on tensors and models
@@ -306,13 +306,14 @@ def q82_model_scans(spark, sf_dir):
     return models.model_scans(models.spectrum_index(_index(spark, sf_dir), 2, 4), wanted).select(*_INDEX.split(", "))
 
 
-@query(with_(*FACTORS_SQL, SCAN_FIT_SQL) + "SELECT 7 AS model_id, j AS cycle, round(fit * scale, 5) AS intensity, 100 + k / 4 AS mz, 1 + k % 2 AS level FROM fs, sc")
+@query(with_(*FACTORS_SQL, scan_fit_sql("SELECT swath, rt_window, max(i) AS i0 FROM cells GROUP BY ALL"))
+    + "SELECT CAST(fs.swath AS BIGINT) * 10000 + fs.rt_window AS model_id, j AS cycle, round(fit * scale, 5) AS intensity, 100 + k / 4 AS mz, 1 + k % 2 AS level FROM fs JOIN sc USING (swath, rt_window)")
 def q83_reconstructed_map(spark, sf_dir):
-    """The map of the first file by name: its tensor row, unimodal components, R2 and m/z axis are looked up."""
-    slice_ = lambda df: df.withColumn("swath", F.lit(1)).withColumn("rt_window", F.lit(1))
-    tag = lambda df, mode: slice_(df).select("swath", "rt_window", F.lit(RANK).alias("ncomp"), F.lit(7).alias("model_id"), F.lit(mode).alias("mode"), "idx", F.col("comp").cast("int").alias("comp"), "value", F.lit(0.5).alias("rsq"), F.lit(3).alias("iterations"))
-    factors = scalars.aligned([tag(f, m) for m, f in enumerate(_factors(spark, sf_dir))])
-    coo = slice_(views.cells(spark, sf_dir)).withColumn("file", F.concat(F.lit("s"), F.col("i").cast("string")))
+    """The maps of every slice's first file by name, which is its last quarter: tensor row, unimodal components, R2 and m/z axis are looked up."""
+    model_id = F.col("swath").cast("long") * 10000 + F.col("rt_window")
+    tagged = [f.select("swath", "rt_window", F.lit(RANK).alias("ncomp"), model_id.alias("model_id"), F.lit(m).alias("mode"), "idx", "comp", "value", F.lit(0.5).alias("rsq"), F.lit(3).alias("iterations")) for m, f in enumerate(_factors(spark, sf_dir))]
+    factors = boundary(scalars.aligned(tagged), "factors")
+    coo = views.cells(spark, sf_dir).withColumn("file", F.concat(F.lit("s"), (9 - F.col("i")).cast("string")))
     coo = coo.withColumn("start", 100 + F.col("k") / 4).withColumn("level", 1 + F.col("k") % 2)
     counts = factors.select("model_id", "comp").distinct().withColumn("npeaks", F.when(F.col("comp") < 3, 1).otherwise(2))
     rsq = models.rsq_or_default(factors.select("swath", "rt_window", "ncomp").distinct(), tensors.measures(factors).where("false"))

@@ -12,7 +12,7 @@ from stratascan.functions import encoding, peptides, scalars
 from stratascan.operators import models, slices, spectra, tensors, windows
 from stratascan.plans import views
 from stratascan.plans.boundary import boundary
-from stratascan.plans.views import LAST_CYCLE_SEC, MIN_POINTS, NI, NJ, NK, PPM, RANK, SCAN_SQL, WINDOW_SEC, scan_map
+from stratascan.plans.views import LAST_CYCLE_SEC, MIN_POINTS, PPM, RANK, SCAN_SQL, WINDOW_SEC, scan_map
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -283,35 +283,39 @@ def q23_right_join_models(spark, sf_dir):
 
 # --- tensor algebra
 
-FACTORS_SQL = (views.CELLS_SQL, views.factor_sql("fa", NI, RANK), views.factor_sql("fb", NJ, RANK, 4), views.factor_sql("fc", NK, RANK, 8))
-FIT_SQL = "fit AS (SELECT i, j, k, v, sum(fa.value * fb.value * fc.value) AS fit FROM cells JOIN fa ON fa.idx = i JOIN fb ON fb.idx = j AND fb.comp = fa.comp JOIN fc ON fc.idx = k AND fc.comp = fa.comp GROUP BY ALL)"
+FACTORS_SQL = (views.CELLS_SQL, views.factor_sql("fa", "i"), views.factor_sql("fb", "j"), views.factor_sql("fc", "k"))
+FIT_SQL = "fit AS (SELECT cells.*, sum(fa.value * fb.value * fc.value) AS fit FROM cells JOIN fa ON fa.swath = cells.swath AND fa.rt_window = cells.rt_window AND fa.idx = i JOIN fb ON fb.swath = cells.swath AND fb.rt_window = cells.rt_window AND fb.idx = j AND fb.comp = fa.comp JOIN fc ON fc.swath = cells.swath AND fc.rt_window = cells.rt_window AND fc.idx = k AND fc.comp = fa.comp GROUP BY ALL)"
+_GRAM_SQL = "g{0} AS (SELECT x.swath, x.rt_window, x.comp AS r, y.comp AS s, sum(x.value * y.value) AS value FROM f{0} x JOIN f{0} y ON x.swath = y.swath AND x.rt_window = y.rt_window AND x.idx = y.idx GROUP BY ALL)"
 
 
 def _factors(spark, sf_dir):
-    return views.factor(spark, sf_dir, NI, RANK), views.factor(spark, sf_dir, NJ, RANK, 4), views.factor(spark, sf_dir, NK, RANK, 8)
+    return tuple(views.factor(spark, sf_dir, axis) for axis in "ijk")
 
 
-@query(with_(*FACTORS_SQL) + "SELECT i, CAST(fb.comp AS INTEGER) AS comp, round(sum(v * fb.value * fc.value), 4) AS value FROM cells JOIN fb ON fb.idx = j JOIN fc ON fc.idx = k AND fc.comp = fb.comp GROUP BY ALL")
+_SLICE = tuple(slices.SLICE)
+
+
+@query(with_(*FACTORS_SQL) + "SELECT cells.swath, cells.rt_window, i, fb.comp, round(sum(v * fb.value * fc.value), 4) AS value FROM cells JOIN fb ON fb.swath = cells.swath AND fb.rt_window = cells.rt_window AND fb.idx = j JOIN fc ON fc.swath = cells.swath AND fc.rt_window = cells.rt_window AND fc.idx = k AND fc.comp = fb.comp GROUP BY ALL")
 def q24_mttkrp(spark, sf_dir):
     _, b, c = _factors(spark, sf_dir)
-    return tensors.mttkrp(views.cells(spark, sf_dir), b, c, "i", "j", "k").withColumn("value", F.round("value", 4))
+    return tensors.mttkrp(views.cells(spark, sf_dir), b, c, "i", "j", "k", _SLICE).withColumn("value", F.round("value", 4))
 
 
-@query(with_(*FACTORS_SQL, "gb AS (SELECT x.comp AS r, y.comp AS s, sum(x.value * y.value) AS value FROM fb x JOIN fb y ON x.idx = y.idx GROUP BY ALL)", "gc AS (SELECT x.comp AS r, y.comp AS s, sum(x.value * y.value) AS value FROM fc x JOIN fc y ON x.idx = y.idx GROUP BY ALL)") + "SELECT CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, round(gb.value * gc.value, 8) AS value FROM gb JOIN gc USING (r, s)")
+@query(with_(*FACTORS_SQL, _GRAM_SQL.format("b"), _GRAM_SQL.format("c")) + "SELECT swath, rt_window, r, s, round(gb.value * gc.value, 7) AS value FROM gb JOIN gc USING (swath, rt_window, r, s)")
 def q25_gram_hadamard(spark, sf_dir):
     _, b, c = _factors(spark, sf_dir)
-    return tensors.hadamard(tensors.gram(b), tensors.gram(c)).withColumn("value", F.round("value", 8))
+    return tensors.hadamard(tensors.gram(b, _SLICE), tensors.gram(c, _SLICE), _SLICE).withColumn("value", F.round("value", 7))
 
 
-@query(with_(*FACTORS_SQL, FIT_SQL) + "SELECT i, j, k, round(fit, 8) AS fit, round(1 - sum((v - fit) * (v - fit)) OVER () / sum(v * v) OVER (), 8) AS rsq FROM fit")
+@query(with_(*FACTORS_SQL, FIT_SQL) + "SELECT swath, rt_window, i, j, k, round(fit, 8) AS fit, round(1 - sum((v - fit) * (v - fit)) OVER (PARTITION BY swath, rt_window) / sum(v * v) OVER (PARTITION BY swath, rt_window), 7) AS rsq FROM fit")
 def q26_kruskal_reconstruct(spark, sf_dir):
-    fitted = tensors.reconstruct(views.cells(spark, sf_dir), *_factors(spark, sf_dir))
-    return fitted.join(tensors.r_squared(fitted)).select("i", "j", "k", F.round("fit", 8).alias("fit"), F.round("rsq", 8).alias("rsq"))
+    fitted = tensors.reconstruct(views.cells(spark, sf_dir), *_factors(spark, sf_dir), _SLICE)
+    return fitted.join(tensors.r_squared(fitted, _SLICE), list(_SLICE)).select(*_SLICE, "i", "j", "k", F.round("fit", 8).alias("fit"), F.round("rsq", 7).alias("rsq"))
 
 
-@query(with_(views.CELLS_SQL) + "SELECT i, round(sqrt(sum(v * v)), 6) AS norm FROM cells GROUP BY i")
+@query(with_(views.CELLS_SQL) + "SELECT swath, rt_window, i, round(sqrt(sum(v * v)), 6) AS norm FROM cells GROUP BY ALL")
 def q51_frobenius(spark, sf_dir):
-    return tensors.frobenius(views.cells(spark, sf_dir), ("i",)).withColumn("norm", F.round("norm", 6))
+    return tensors.frobenius(views.cells(spark, sf_dir), (*_SLICE, "i")).withColumn("norm", F.round("norm", 6))
 
 
 # --- scalar functions
@@ -359,9 +363,9 @@ def q34_label_codec(spark, sf_dir):
     return rows.select("spectrum_index", "label", scalars.label_mz(F.col("label")).alias("mz"), scalars.label_level(F.col("label")).alias("level"))
 
 
-@query(r"SELECT doc_id, md5(replace(replace(text, ',', ''), 'mod', '')) AS cleaned, md5(regexp_replace(concat('PEP(', source, ')TI(', lang, ')DE', doc_id), '\(.+\)', '')) AS plain FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, md5(replace(replace(text, ',', ''), 'mod', '')) AS cleaned, md5(regexp_replace(concat('PEP(', source, ')TI(', lang, ')DE', doc_id), '\(.+\)', '')) AS plain FROM documents")
 def q35_seq_cleanup(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = read(spark, sf_dir, "documents")
     cleaned = scalars.without_mod(scalars.without_commas(F.col("text")))
     marked = F.concat(F.lit("PEP("), F.coalesce("source", F.lit("")), F.lit(")TI("), F.coalesce("lang", F.lit("")), F.lit(")DE"), F.col("doc_id").cast("string"))
     return docs.select("doc_id", F.md5(cleaned.cast("binary")).alias("cleaned"), F.md5(scalars.without_ptm(marked).cast("binary")).alias("plain"))
@@ -422,19 +426,21 @@ def q42_rsq_default(spark, sf_dir):
     return models.rsq_or_default(m, measured).select("swath", "rt_window", "ncomp", "rsq")
 
 
-SCAN_FIT_SQL = "fs AS (SELECT j, k, sum(fa.value * fb.value * fc.value) AS fit FROM (SELECT * FROM fa WHERE idx = 0 AND comp < 3) fa JOIN (SELECT fb.comp, idx AS j, value FROM fb) fb ON fb.comp = fa.comp JOIN (SELECT comp, idx AS k, value FROM fc) fc ON fc.comp = fa.comp GROUP BY ALL), pk AS (SELECT * FROM fs ORDER BY fit DESC, j, k LIMIT 1), sc AS (SELECT v * 0.5 / fit AS scale FROM pk JOIN cells USING (j, k) WHERE i = 0)"
+def scan_fit_sql(own: str) -> str:
+    """Scaled cells of one sample: ``own`` selects its row (swath, rt_window, i0) in each slice. Components 0 to 2 are the unimodal ones."""
+    return f"""own AS ({own}), fs AS (SELECT fa.swath, fa.rt_window, fb.idx AS j, fc.idx AS k, sum(fa.value * fb.value * fc.value) AS fit FROM fa JOIN own ON own.swath = fa.swath AND own.rt_window = fa.rt_window AND own.i0 = fa.idx
+  JOIN fb ON fb.swath = fa.swath AND fb.rt_window = fa.rt_window AND fb.comp = fa.comp JOIN fc ON fc.swath = fa.swath AND fc.rt_window = fa.rt_window AND fc.comp = fa.comp WHERE fa.comp < 3 GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY swath, rt_window ORDER BY fit DESC, j, k) AS nth FROM fs),
+sc AS (SELECT pk.swath, pk.rt_window, v * 0.5 / fit AS scale FROM pk JOIN own ON own.swath = pk.swath AND own.rt_window = pk.rt_window JOIN cells c ON c.swath = pk.swath AND c.rt_window = pk.rt_window AND c.i = own.i0 AND c.j = pk.j AND c.k = pk.k WHERE nth = 1)"""
 
 
-@query(with_(*FACTORS_SQL, SCAN_FIT_SQL) + "SELECT j, k, round(fit * scale, 5) AS intensity FROM fs, sc")
+@query(with_(*FACTORS_SQL, scan_fit_sql("SELECT DISTINCT swath, rt_window, 0 AS i0 FROM cells")) + "SELECT fs.swath, fs.rt_window, j, k, round(fit * scale, 5) AS intensity FROM fs JOIN sc USING (swath, rt_window)")
 def q43_scan_reconstruct(spark, sf_dir):
-    tag = lambda df, mode: df.select(F.lit(1).alias("swath"), F.lit(1).alias("rt_window"), F.lit(RANK).alias("ncomp"), F.lit(mode).alias("mode"), "idx", F.col("comp").cast("int").alias("comp"), "value")
-    a, b, c = _factors(spark, sf_dir)
-    factors = tag(a, 0).unionByName(tag(b, 1)).unionByName(tag(c, 2))
-    model = factors.select("swath", "rt_window", "ncomp").distinct()
-    chosen = factors.where("mode = 0 AND comp < 3").select("swath", "rt_window", "ncomp", "comp").distinct()
-    coo = views.cells(spark, sf_dir).withColumn("swath", F.lit(1)).withColumn("rt_window", F.lit(1))
-    out = models.reconstruct_scan(factors, coo, chosen, model.withColumn("rsq", F.lit(0.5)), 0)
-    return out.select("j", "k", F.round("intensity", 5).alias("intensity"))
+    factors = boundary(scalars.aligned([f.withColumn("ncomp", F.lit(RANK)).withColumn("mode", F.lit(m)) for m, f in enumerate(_factors(spark, sf_dir))]), "factors")
+    model = factors.select(*_SLICE, "ncomp").distinct()
+    chosen = factors.where("mode = 0 AND comp < 3").select(*_SLICE, "ncomp", "comp").distinct()
+    out = models.reconstruct_scan(factors, views.cells(spark, sf_dir), chosen, model.withColumn("rsq", F.lit(0.5)), 0)
+    return out.select(*_SLICE, "j", "k", F.round("intensity", 5).alias("intensity"))
 
 
 @query("SELECT min(TRY_CAST(p_size AS DOUBLE)) AS cutoff FROM part")

@@ -32,27 +32,38 @@ def scan_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("prec_isolation_window_start", start).withColumn("prec_isolation_window_end", start + 104)
 
 
-def factor(spark: SparkSession, sf_dir: str, rows: int, components: int, offset: int = 0) -> DataFrame:
-    """(idx, comp, value): the first components of the vectors, absolute values, for as many row numbers as an axis has; vectors
-    whose id leaves the same rest are added up, so all of them count."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    cells = e.select(F.pmod(F.col("vec_id") + offset, F.lit(rows)).cast("int").alias("idx"), F.posexplode(F.slice("embedding", offset + 1, components)).alias("comp", "x"))
-    return cells.groupBy("idx", "comp").agg(F.avg(F.abs(F.col("x").cast("double"))).alias("value"))
-
-
-def factor_sql(name: str, rows: int, components: int, offset: int = 0) -> str:
-    return f"""{name} AS (SELECT CAST((vec_id + {offset}) % {rows} AS INTEGER) AS idx, c AS comp, avg(abs(CAST(embedding[c + {offset} + 1] AS DOUBLE))) AS value
-  FROM embeddings, unnest(range({components})) AS u(c) GROUP BY ALL)"""
-
-
-#: Axis lengths of the tensor that line items make: supplier x month x part.
-NI, NJ, NK, RANK = 7, 12, 11, 4
+#: Components of a model.
+RANK = 4
+#: How far apart the three factors of a model lie in the table of vectors.
+SHIFT = {"i": 0, "j": 101, "k": 211}
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, j, k, v): quantities of line items by rests of supplier, order and part."""
+    """(swath, rt_window, i, j, k, v): a supplier's line items of a year are a slice, with the axes quarter, line number and discount; quantities are summed up."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy(*[F.pmod(c, F.lit(n)).cast("int").alias(a) for c, n, a in (("l_suppkey", NI, "i"), ("l_orderkey", NJ, "j"), ("l_partkey", NK, "k"))]).agg(F.sum("l_quantity").alias("v"))
+    keys = F.col("l_suppkey").alias("swath"), F.year("l_shipdate").alias("rt_window"), (F.quarter("l_shipdate") - 1).alias("i"), (F.col("l_linenumber") - 1).alias("j"), F.round(F.col("l_discount") * 100).alias("k")
+    rows = rows.select(*[k.cast("int") for k in keys], "l_quantity").toDF("swath", "rt_window", "i", "j", "k", "q")
+    return rows.groupBy("swath", "rt_window", "i", "j", "k").agg(F.sum("q").alias("v"))
+
 
+CELLS_SQL = """cells AS (SELECT CAST(l_suppkey AS INTEGER) AS swath, CAST(extract(year FROM l_shipdate) AS INTEGER) AS rt_window, CAST(extract(quarter FROM l_shipdate) - 1 AS INTEGER) AS i,
+  CAST(l_linenumber - 1 AS INTEGER) AS j, CAST(round(l_discount * 100) AS INTEGER) AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"""
 
-CELLS_SQL = f"""cells AS (SELECT CAST(l_suppkey % {NI} AS INTEGER) AS i, CAST(l_orderkey % {NJ} AS INTEGER) AS j, CAST(l_partkey % {NK} AS INTEGER) AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"""
+
+def factor(spark: SparkSession, sf_dir: str, axis: str) -> DataFrame:
+    """(swath, rt_window, idx, comp, value): a vector for every place on an axis of every slice; each component is the mean size of a quarter of it."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    width = F.floor(F.size("embedding") / RANK).cast("int")
+    comps = F.explode(F.sequence(F.lit(0), F.lit(RANK - 1)))
+    quarter = F.slice(F.col("embedding").cast("array<double>"), F.col("comp") * width + 1, width)
+    parts = e.select("vec_id", "embedding", comps.alias("comp")).select("vec_id", "comp", (F.aggregate(quarter, F.lit(0.0), lambda s, x: s + F.abs(x)) / width).alias("value"))
+    n = e.count()
+    places = cells(spark, sf_dir).select("swath", "rt_window", F.col(axis).alias("idx")).distinct()
+    places = places.withColumn("vec_id", (F.col("swath").cast("long") * 31 + F.col("rt_window") * 7 + F.col("idx") + SHIFT[axis]) % F.lit(n))
+    return places.join(parts, "vec_id").select("swath", "rt_window", "idx", "comp", "value")
+
+
+def factor_sql(name: str, axis: str) -> str:
+    w = f"len(embedding) // {RANK}"
+    return f"""{name} AS (SELECT swath, rt_window, idx, CAST(c AS INTEGER) AS comp, list_sum(list_transform(embedding[c * ({w}) + 1 : (c + 1) * ({w})], lambda x: abs(CAST(x AS DOUBLE)))) / ({w}) AS value
+  FROM (SELECT DISTINCT swath, rt_window, {axis} AS idx FROM cells) JOIN embeddings ON vec_id = (CAST(swath AS BIGINT) * 31 + rt_window * 7 + idx + {SHIFT[axis]}) % (SELECT count(*) FROM embeddings), unnest(range({RANK})) AS u(c))"""
