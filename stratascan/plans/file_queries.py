@@ -196,7 +196,7 @@ def _mzml(spark, sf_dir) -> str:
 
 
 @query(with_(SCAN_SQL, _MZML_SQL, "m AS (SELECT *, row_number() OVER (PARTITION BY file, spectrum_index ORDER BY s, e) AS nth FROM sp JOIN win ON prec_mz >= s AND prec_mz < e)")
-    + "SELECT file, spectrum_index, level, CAST(floor(rt) AS BIGINT) AS rt, round(mz, 8) AS mz, intensity, s AS start, e AS \"end\" FROM m WHERE nth = 1")
+    + "SELECT file, spectrum_index, level, CAST(floor(round_even(rt, 4)) AS BIGINT) AS rt, round(mz, 8) AS mz, intensity, s AS start, e AS \"end\" FROM m WHERE nth = 1")
 def q70_mzml_scan_map(spark, sf_dir):
     out = int_level(scans.read_mzml(spark, _mzml(spark, sf_dir), min_intensity=20.0, bin_width=100.0))
     return out.select("file", "spectrum_index", "level", F.floor("rt").alias("rt"), F.round("mz", 8).alias("mz"), "intensity", F.col("prec_isolation_window_start").alias("start"), F.col("prec_isolation_window_end").alias("end"))
