@@ -238,7 +238,7 @@ def score_corpus(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def score_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """What :func:`score_corpus` returns, with a row per n-gram from end to end: for corpora that may take about thirty times their room."""
+    """What :func:`score_corpus` returns, with a row per n-gram from end to end: for corpora that may take about fifty times their room in shuffles."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")), "score-words")
