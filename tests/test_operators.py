@@ -137,6 +137,26 @@ def test_lower_bins_are_dropped_strictly(spark):
     assert spectra.drop_lower_bins(rows, ["scan"], 0).count() == 101
 
 
+def test_precursor_from_the_window_where_no_ms1_point_is(spark):
+    rows = spark.createDataFrame([(1, 2, 200.0, 5.0, 412.5), (1, 2, 300.0, 6.0, 412.5), (2, 1, 400.0, 9.0, 437.5), (2, 1, 390.0, 9.0, 437.5), (2, 2, 100.0, 1.0, 437.5)], "scan int, level int, mz double, intensity double, centre double")
+    first, again = ({r.scan: (r.prec_mz, r.prec_intensity) for r in spectra.pseudo_precursor(d, ["scan"], "centre").collect()} for d in (rows, rows.repartition(4)))
+    assert first == again and first[2] == (390.0, 9.0)  # of equal points the lowest m/z
+    assert 412.5 <= first[1][0] < 412.6 and 300 <= first[1][1] < 301
+    assert {r.scan: r.prec_mz for r in spectra.pseudo_precursor(rows, ["scan"]).collect()} == {1: None, 2: 390.0}
+
+
+def test_histogram_counts_every_point_once(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.uniform(-5, 5)) for k in (1, 2) for _ in range(300)] + [(3, 7.0), (3, 7.0)]
+    got = {}
+    for r in spectra.histogram(spark.createDataFrame(rows, "k int, intensity double"), ["k"], bins=10).collect():
+        got[r.k, r.bin] = r.n
+    for k in (1, 2):
+        counts = np.histogram([x for key, x in rows if key == k], bins=10)[0]
+        assert [got.get((k, b), 0) for b in range(10)] == counts.tolist()
+    assert {b: n for (k, b), n in got.items() if k == 3} == {0: 2}
+
+
 def test_spectrum_index_is_dense(spark):
     index = models.model_index(spark.createDataFrame([(0,), (1,)], "swath int"), spark.createDataFrame([(0,), (1,)], "rt_window int"), 1, 2)
     got = sorted(tuple(r) for r in models.spectrum_index(index, 1, 2).select("scan", "model_id", "spectrum_num", "swath", "rt_window", "ncomp").collect())
