@@ -12,7 +12,7 @@ chunks, inside the tasks: of the links found there those that connect components
 sketches (the samples folded into a bitmap of parities) allow the threshold, and is confirmed on full sets.
 
 A null text has no words. A null doc_id can't be named: its row is returned with a null component, kept. Rows with the
-same doc_id and equal sets are one document; if their sets differ, the id belongs to the components of both, which it joins. Very long texts are read
+same doc_id and equal sets are one document; if their sets differ, an id is still one vertex, so it joins the copies of both, and one of its sets is compared with others. Very long texts are read
 whole; their sets travel as one value of eight bytes a shingle. An empty table gives an empty result. Only doc_id and text are
 read, so other columns may have any names.
 """
@@ -200,10 +200,17 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold
 
 
 def _by_bucket(rows: DataFrame, run, schema: str) -> DataFrame:
-    """Apply ``run`` (key, table) to the rows of each bucket. A bucket of many members is cut into chunks by a hash of the member, and
-    each pair of chunks is a group, so that every two members meet in one and no group is large; ``chunk`` is a member's own."""
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    """Apply ``run`` (key, table) to the rows (bucket, rep, label, n, top, n_top) of each bucket, n its members and n_top those of its most common label, top.
+
+    A bucket of many members is cut into chunks by a hash of the member, and each pair of chunks is a group, so that every two members of different labels meet in
+    one and no group is large; ``chunk`` is a member's own. The most common label has chunks of its own, which don't meet each other: one large component and a few
+    other members move each row of the component about once.
+    """
+    common = F.col("label") == F.col("top")
+    others, tops = (F.ceil(n / CHUNK).cast("int") for n in (F.col("n") - F.col("n_top"), F.col("n_top")))
+    at = F.xxhash64("rep")
+    rows = rows.withColumn("chunk", F.when(common, others + F.pmod(at, tops).cast("int")).otherwise(F.pmod(at, others).cast("int")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(common, others).otherwise(others + tops) - 1)))
     rows = rows.withColumn("lo", F.least("chunk", "_other")).withColumn("hi", F.greatest("chunk", "_other")).drop("_other")
     key = ["bucket", "lo", "hi"]
     rows = rows.repartition(shuffle_partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
@@ -239,20 +246,24 @@ def _others(i: int, label: np.ndarray, chunk: np.ndarray) -> np.ndarray:
     return other & (chunk != chunk[i]) if chunk.min() != chunk.max() else other
 
 
+_MEMBER = ["bucket", "rep", "label", "n", "top", "n_top"]
+
+
 def _links_within(live: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int, most: int) -> DataFrame:
-    """(a, b): links between members (bucket, rep, label, n) of a bucket that have different labels. Pairs are formed inside tasks only: those
+    """(a, b): links between members (bucket, rep, label, n, top, n_top) of a bucket that have different labels. Pairs are formed inside tasks only: those
     whose odd sketches are close tell which members' sets are fetched, and of the links those that connect labels are returned."""
 
     def close(group: pa.Table) -> pa.RecordBatch:
         label, chunk, some = _crossing(group)
-        bits = np.unpackbits(group.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(label), -1).view(np.uint8), axis=1)
+        bits = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(label), -1)
         keep = np.zeros(len(label), bool)
         for i in some:
-            near = _others(i, label, chunk) & ((bits != bits[i]).sum(axis=1) <= most)
+            near = _others(i, label, chunk) & (np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= most)
             if near.any():
                 keep |= near
                 keep[i] = True
-        return group.select(["bucket", "rep", "label", "n"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else _nothing(group.select(["bucket", "rep", "label", "n"]).schema)
+        out = group.select(_MEMBER)
+        return out.filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else _nothing(out.schema)
 
     def link(group: pa.Table) -> pa.RecordBatch:
         label, chunk, some = _crossing(group)
@@ -279,9 +290,9 @@ def _links_within(live: DataFrame, sketches: DataFrame, sets: DataFrame, thresho
                     a.append(int(rep[i])), b.append(int(rep[j]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    flagged = _by_bucket(live.join(sketches, "rep").select("bucket", "rep", "label", "n", "sketch"), close, "bucket long, rep long, label long, n long")
+    flagged = _by_bucket(live.join(sketches, "rep").select(*_MEMBER, "sketch"), close, "bucket long, rep long, label long, n long, top long, n_top long")
     flagged = materialize(flagged.dropDuplicates(["bucket", "rep"]), "near-flagged")
-    full = flagged.join(sets, "rep").select("bucket", "rep", "label", "n", "shingles")
+    full = flagged.join(sets, "rep").select(*_MEMBER, "shingles")
     return materialize(_by_bucket(full, link, "a long, b long").distinct(), "near-within")
 
 
@@ -315,8 +326,9 @@ def components(docs: DataFrame, links: Links = OP5) -> DataFrame:
 
     # then, in buckets that still hold several components, each component with each other
     live = members.join(labels, members.rep == labels.v, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    several = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    several = materialize(several.select("bucket", "n"), "near-several")
+    several = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = several.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    several = materialize(several.select("bucket", "n", F.col("most.label").alias("top"), F.col("most.n").alias("n_top")), "near-several")
     live = materialize(join_repeated(live, several, "bucket", ["rep"], "inner"), "near-live")
     fresh = _links_within(live, sketches, sets, threshold, most)
     if not fresh.isEmpty():
