@@ -4,7 +4,7 @@ A file holds the documents of one range of ids in ascending doc_id order (null i
 Frame 0 is the directory: the place of the file among all, the doc_ids and the numbers of tokens. Frame i + 1 is
 document i, its ids as little-endian unsigned 32-bit integers. The file ends with the seek table of the zstandard
 seekable format in a skippable frame: sizes and the low 32 bits of the XXH64 of each frame's content. A reader of some
-documents decompresses the directory and their frames only, and any zstandard decoder reads the whole.
+documents decompresses the directory and their frames only, and with an index of the files reads no others; any zstandard decoder reads the whole.
 
 Null texts count as empty; every document ends with id 0, so it has at least that token. Repeated rows are documents
 of their own. A very long text is one frame. An empty table writes no file and reads back empty. Only doc_id and text are read, so other columns may have
@@ -111,19 +111,30 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     write_blobs(rows.mapInArrow(run, "content binary"), "content", path, TAIL)
 
 
-def read_tokens(spark: SparkSession, path: str, wanted: Iterable[int] | None = None) -> DataFrame:
+def index_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(path, part, serial, tokens, first_id, last_id) of every token file, from their directories; null ids are in no range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["path", "part", "serial", "tokens", "first_id", "last_id"], [pa.string(), *[pa.int64()] * 5]
+        for b in batches:
+            rows = []
+            for name, f in zip(b.column("path").to_pylist(), map(TokenFile, b.column("content").to_pylist()), strict=True):
+                own = f.doc_ids[f.doc_ids != _NO_ID]
+                rows.append((name, f.part, f.serial, int(f.lengths.sum()), int(own.min()) if len(own) else None, int(own.max()) if len(own) else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
+
+    files = read_blobs(tune(spark), path)
+    return materialize(files.mapInArrow(run, "path string, part long, serial long, tokens long, first_id long, last_id long"), "token-index")
+
+
+def read_tokens(spark: SparkSession, path: str, wanted: Iterable[int] | None = None, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of all documents, or of the doc_ids in ``wanted``; ids as little-endian bytes.
 
-    ``start`` counts the ids of all documents before it, over all files.
+    ``start`` counts the ids of all documents before it, over all files. ``index`` is what :func:`index_tokens` returned for these files, so that a search of some
+    documents reads no other files than those whose range holds one, and decompresses their frames only.
     """
-    tune(spark)
-    files = read_blobs(spark, path).select("content")
-    only = None if wanted is None else np.array(sorted(wanted), np.int64)
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(f.part, f.serial, int(f.lengths.sum())) for f in map(TokenFile, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["part", "serial", "tokens"])
+    index = index_tokens(spark, path) if index is None else index
+    only = None if wanted is None else np.array(sorted(set(wanted)), np.int64)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "serial", "doc_id", "within", "n_tokens", "ids"]
@@ -138,12 +149,16 @@ def read_tokens(spark: SparkSession, path: str, wanted: Iterable[int] | None = N
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     # a number per file; files are summed within their range first, so the one ordered sum is over the ranges
-    sums = materialize(files.mapInArrow(totals, "part long, serial long, tokens long"), "token-files")
-    parts = sums.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    parts = index.groupBy("part").agg(F.sum("tokens").alias("tokens"))
     parts = parts.select("part", (F.sum("tokens").over(W.orderBy("part")) - F.col("tokens")).alias("before_part"))
-    starts = sums.withColumn("before", F.sum("tokens").over(W.partitionBy("part").orderBy("serial")) - F.col("tokens")).join(parts, "part")
+    starts = index.withColumn("before", F.sum("tokens").over(W.partitionBy("part").orderBy("serial")) - F.col("tokens")).join(parts, "part")
     starts = starts.select("part", "serial", (F.col("before") + F.col("before_part")).alias("before"))
-    rows = files.mapInArrow(decode, "part long, serial long, doc_id long, within long, n_tokens long, ids binary")
+    files = read_blobs(spark, path)
+    if only is not None:
+        held = index.where(F.exists(F.lit(only.tolist()), lambda i: i.between(F.col("first_id"), F.col("last_id")))) if len(only) else index.where("false")
+        found = [r["path"] for r in held.select("path").collect()]  # a document is in one file, but for repeated ids
+        files = spark.read.format("binaryFile").load(found) if found else files.where("false")
+    rows = files.select("content").mapInArrow(decode, "part long, serial long, doc_id long, within long, n_tokens long, ids binary")
     return rows.join(starts, ["part", "serial"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 

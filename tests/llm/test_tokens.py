@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import defaultdict
 
@@ -66,7 +67,14 @@ def test_readers_take_single_documents_and_notice_damage(spark, tmp_path):
     whole = reference("byte_bpe_50k.json")
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {i: [*whole(TEXTS[i]), 0] for i in (5, 9)}
 
-    data = bytes(spark.read.format("binaryFile").load(path).where("length > 0").first().content)
+    assert token_files.read_tokens(spark, path, wanted=[]).count() == 0 and token_files.read_tokens(spark, path, wanted=[10**6]).count() == 0
+    index = token_files.index_tokens(spark, path)
+    (only,) = (r.path for r in index.where("first_id <= 5 AND last_id >= 5").collect())
+    for r in index.where("NOT (first_id <= 5 AND last_id >= 5)").collect():  # files without the document are not looked at
+        os.truncate(r.path.removeprefix("file:"), 3)
+    assert only and token_files.read_tokens(spark, path, wanted=[5], index=index).count() == 1
+
+    data = bytes(spark.read.format("binaryFile").load(only).first().content)
     f = token_files.TokenFile(data)
     frames = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)  # any decoder reads the whole
     assert len(frames.read()) == int(f.entries[:, 1].sum())
