@@ -14,10 +14,22 @@ import re
 import numpy as np
 
 _UNSURE = re.compile(r"\s\s|[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _BLANK = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
 _NONE = np.empty(0, np.uint32)
 
 
+def unsure(text: str) -> bool:
+    """Whether a text has to be encoded whole. Plain searches settle most texts; where there is other white space than blanks and line ends, the pattern does."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
+        return _UNSURE.search(text) is not None or _ODD.search(text) is not None
+    if text.isascii():
+        return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return _ODD.search(text) is not None
+
+
 class _Numbered(dict):
     """Numbers keys in the order they are first asked for; ``new`` has those without ids so far."""
 
@@ -64,7 +76,7 @@ class PieceEncoder:
         """Keys of the pieces; a key's first character says what stands for it, see ``_text_of``."""
         if not self.byte_level:
             return text.replace("\n", " ").split(" ")
-        if _UNSURE.search(text):
+        if unsure(text):
             return ["\x00" + text]
         first, *rest = text.replace("\n", " \n").split(" ")
         if first:
