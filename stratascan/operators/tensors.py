@@ -13,6 +13,8 @@ from stratascan.operators.slices import SLICE
 from stratascan.plans.boundary import boundary
 
 FLOOR = 1e-11
+#: Copies of a dense slice that are fitted side by side.
+DEALS = 4
 
 
 def mttkrp(x: DataFrame, b: DataFrame, c: DataFrame, row: str, left: str, right: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -107,17 +109,17 @@ def own_seed(swath: int, window: int, rank: int, seed: int) -> int:
 def decompose(dense: DataFrame, min_comp: int, max_comp: int, max_iter: int = 2000, tol: float = 1e-7, init: str = "random", seed: int = 123, done: DataFrame | None = None) -> DataFrame:
     """Factors of every slice for every number of components, as rows (slice, ncomp, mode, idx, comp, value, rsq, iterations).
 
-    A group is one dense slice, dealt once and fitted with each number of components in turn. ``done`` (slice, ncomp) names models to skip. For
-    slices too large for a task see :func:`decompose_large`.
+    A slice is dealt ``DEALS`` times, and each copy is fitted with its share of the numbers of components in turn. The work is in the fits, not in the rows, so the number of
+    tasks is set here. ``done`` (slice, ncomp) names models to skip. For slices too large for a task see :func:`decompose_large`.
     """
 
     def fit(key: tuple, rows: pd.DataFrame, skip: pd.DataFrame) -> pd.DataFrame:
-        swath, window = (int(k) for k in key)
+        swath, window, deal = (int(k) for k in key)
         out = [pd.DataFrame({c: [] for c in _MODEL})]
         if len(rows):
             x = np.zeros((rows["i"].max() + 1, rows["j"].max() + 1, rows["k"].max() + 1))
             x[rows["i"], rows["j"], rows["k"]] = rows["v"].fillna(0.0)
-            for rank in sorted(set(range(min_comp, max_comp + 1)) - set(skip["ncomp"])):
+            for rank in sorted({r for r in range(min_comp, max_comp + 1) if r % DEALS == deal} - set(skip["ncomp"])):
                 factors, errors = nonnegative_cp(x, rank, max_iter, tol, init, own_seed(swath, window, rank, seed))
                 for mode, factor in enumerate(factors):
                     idx, comp = np.indices(factor.shape)
@@ -127,8 +129,10 @@ def decompose(dense: DataFrame, min_comp: int, max_comp: int, max_iter: int = 20
 
     if done is None:
         done = dense.sparkSession.createDataFrame([], "swath int, rt_window int, ncomp int")
-    work = dense.select(*SLICE, "i", "j", "k", "v").groupBy(*SLICE)
-    return work.cogroup(done.select(*SLICE, "ncomp").groupBy(*SLICE)).applyInPandas(fit, "swath int, rt_window int, ncomp int, mode int, idx int, comp int, value double, rsq double, iterations int")
+    key, tasks = [*SLICE, "deal"], int(dense.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deals = F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal")
+    work, skipped = (d.repartition(tasks, *key).groupBy(*key) for d in (dense.select(*SLICE, "i", "j", "k", "v", deals), done.select(*SLICE, "ncomp", deals)))
+    return work.cogroup(skipped).applyInPandas(fit, "swath int, rt_window int, ncomp int, mode int, idx int, comp int, value double, rsq double, iterations int")
 
 
 _MODEL = ["swath", "rt_window", "ncomp", "mode", "idx", "comp", "value", "rsq", "iterations"]
