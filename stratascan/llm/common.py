@@ -172,14 +172,15 @@ def chunks(rows: Iterable, size: int):
         yield part
 
 
-def join_repeated(rows: DataFrame, keyed: DataFrame, key: str, spread: list[str], how: str = "left", per_task: int = 2000, hot_keys: int = 1000) -> DataFrame:
-    """Join rows to ``keyed``, which has one row per key and in ``n`` the number of rows with it.
+def join_repeated(rows: DataFrame, keyed: DataFrame, key: str, spread: list[str], how: str = "left", per_task: int = 2000, hot_keys: int = 1000, counts: DataFrame | None = None) -> DataFrame:
+    """Join rows to ``keyed``, which has one row per key and in ``n`` the number of rows with it. With several rows per key in ``keyed``, ``counts`` has key and n.
 
     A key with more than ``1 / hot_keys`` of those rows is hot, so there are at most ``hot_keys`` of them: their names
-    are broadcast and their rows dealt by ``spread`` to as many tasks as they need. ``keyed`` must be a written table.
+    are broadcast and their rows dealt by ``spread`` to as many tasks as they need. What has ``n`` must be a written table.
     """
-    total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = keyed.where(F.col("n") > max(per_task, total // hot_keys)).select(key, F.ceil(F.col("n") / per_task).cast("int").alias("_salts"))
+    counts = keyed if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = counts.where(F.col("n") > max(per_task, total // hot_keys)).select(key, F.ceil(F.col("n") / per_task).cast("int").alias("_salts"))
     rows = rows.join(F.broadcast(hot), key, "left")
     rows = rows.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), "_salts")).cast("int")).drop("_salts")
     keyed = keyed.join(F.broadcast(hot), key, "left")
