@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratascan.llm import ann, conversations, decontaminate, exact_dedup, lm_score, mixing, near_dedup, packing, quality, secrets, token_files, warc
+from stratascan.llm import ann, conversations, decontaminate, exact_dedup, lm_score, mixing, near_dedup, packing, quality, secrets, token_files, warc, whitening
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_backoff_score": lm_score.op10_backoff_score,
+    "op11_whitening": whitening.op11_whitening,
     "op12_decontaminate": decontaminate.op12_decontaminate,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
