@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from stratascan.llm import secrets
 from tests.llm.data import frame, prose, write
@@ -89,6 +90,15 @@ def test_incremental_entropy_equals_a_recount():
         assert got == covered
 
 
+def test_long_runs_take_time_by_their_length():
+    allow, n = tuple(map(re.compile, secrets.ALLOW)), 1 << 20
+    letters = "".join(random.Random(1).choices("abcXYZ", k=n))
+    for text in ("a" * n + "12", "1" * n + "ab", letters + "12", "ab-" * (n // 3) + "12", "-" * n + "1a", "://a/" * (n // 5), "token" * (n // 5), "://" + "a" * n + "@"):
+        began = time.process_time()
+        secrets.scan(text, allow)
+        assert time.process_time() - began < 3, text[-20:]  # the square of the length took hours
+
+
 def test_no_documents_and_clashing_columns(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
     assert secrets.find_secrets(frame(spark, [None, None], ids=[None, 1])).columns == ["doc_id", "spans"]

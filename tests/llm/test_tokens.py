@@ -28,7 +28,7 @@ def reference(name):
 
 @pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_pieces_give_the_ids_of_the_whole_text(name, byte_level):
-    whole, encoder = reference(name), PieceEncoder(public_tokenizers.path(name), byte_level, limit=100)
+    whole, encoder = reference(name), PieceEncoder(public_tokenizers.path(name), byte_level, most=20_000)
     for _ in range(2):
         for text, ids in zip(TEXTS, encoder.encode([t or "" for t in TEXTS]), strict=True):
             assert ids.tolist() == whole(text), repr(text)
@@ -42,6 +42,24 @@ def test_pieces_give_the_ids_of_the_whole_text(name, byte_level):
     fuzz()
 
 
+@pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("odd", ["", "\xa0"])
+def test_what_is_remembered_stays_small(name, byte_level, odd):
+    """Distinct texts with blank lines, and distinct pieces without an end."""
+    whole, encoder = reference(name), PieceEncoder(public_tokenizers.path(name), byte_level, most=1 << 20)
+    most = 0
+    for n in range(60):
+        text = f"{odd}text {n}\n\n" + prose(400, n, 10**6).replace(" ", "  ", 50) + "\n\n" + "ab" * 5000 + str(n)
+        (ids,) = encoder.encode([text])
+        assert ids.tolist() == whole(text)
+        keys = sum(map(len, encoder.index))
+        most = max(most, keys + encoder.pool.nbytes)
+        assert encoder.held >= keys + 4 * encoder.used and encoder.held <= (1 << 20) + 400_000
+    assert most < 1_500_000
+    if odd and byte_level:
+        assert len(encoder.index) == 0
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
