@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratascan.operators.mz_walk import walked
 from stratascan.plans.boundary import boundary
 
 SLICE = ["swath", "rt_window"]
@@ -44,44 +44,18 @@ def dropped_spectra(points: DataFrame, last_cycle_sec: float = LAST_CYCLE_SEC) -
     return seen.groupBy(*SLICE, "file").agg(F.count(F.lit(1)).alias("spectra"), F.sum(F.when(F.col("in_cycle").isNull(), 1).otherwise(0)).alias("dropped"))
 
 
-def greedy_starts(mz: np.ndarray, ppm: float) -> list[float]:
-    """Starts of partitions of ascending values: a value further than the tolerance from the start opens the next one."""
-    starts: list[float] = []
-    at = 0
-    while at < len(mz):
-        start = float(mz[at])
-        starts.append(start)
-        room = start * ppm / 1e6
-        at = max(at + 1, int(np.searchsorted(mz, start + room, "right")) - 2)
-        while at < len(mz) and not mz[at] - start > room:
-            at += 1
-    return starts
+def both_levels_of(partitions: DataFrame) -> DataFrame:
+    """(swath, rt_window) of the slices with partitions of both levels."""
+    return partitions.groupBy(*SLICE).agg(F.count_distinct("level").alias("_levels")).where("_levels = 2").select(*SLICE)
 
 
 def mz_partitions(points: DataFrame, ppm: float, both_levels: bool = False) -> DataFrame:
-    """(swath, rt_window, level, start). The anchor of a partition is its start, so the walk is in order; one group holds
-    only the distinct values of a slice. With ``both_levels`` a slice without points of both levels has no partitions."""
-
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        levels = sorted(rows["level"].unique())
-        if not both_levels or len(levels) == 2:
-            for level in levels:
-                starts = greedy_starts(np.sort(rows["mz"].to_numpy()[rows["level"] == level]), ppm)
-                out.append(pd.DataFrame({"swath": key[0], "rt_window": key[1], "level": level, "start": starts}))
-        return pd.concat(out) if out else pd.DataFrame({"swath": [], "rt_window": [], "level": [], "start": []})
-
-    values = points.select(*SLICE, "level", "mz").distinct()
-    return values.groupBy(*SLICE).applyInPandas(walk, "swath int, rt_window int, level tinyint, start double")
-
-
-def assign_partitions(points: DataFrame, partitions: DataFrame) -> DataFrame:
-    """``start`` of the last partition at or before a point's m/z, of its slice and level: points and starts in one ordered pass."""
-    names = points.columns
-    marks = partitions.select(*SLICE, "level", F.col("start").alias("mz"), F.col("start").alias("_start"), F.lit(0).alias("_kind"))
-    both = points.withColumn("_start", F.lit(None).cast("double")).withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    order = W.partitionBy(*SLICE, "level").orderBy("mz", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn("start", F.last("_start", ignorenulls=True).over(order)).where("_kind = 1 AND start IS NOT NULL").select(*names, "start")
+    """(swath, rt_window, level, start). With ``both_levels`` a slice without points of both levels has no partitions."""
+    found = walked(points, ppm).select(*SLICE, "level", "start").distinct()
+    if not both_levels:
+        return found
+    found = boundary(found, "partitions")
+    return found.join(both_levels_of(found), SLICE, "left_semi")
 
 
 def aggregate_partitions(points: DataFrame, agg=F.sum) -> DataFrame:
@@ -106,15 +80,16 @@ def to_coo(sums: DataFrame, align_cycles: bool = False) -> DataFrame:
 
 
 def partition_sums(points: DataFrame, ppm: float, last_cycle_sec: float = LAST_CYCLE_SEC) -> DataFrame:
-    """Summed intensity per slice, file, cycle and m/z partition, of the slices with points of both levels. Points are binned once and written, as
-    the partitions come from their distinct values; a point without a partition is of a slice that has none."""
+    """Summed intensity per slice, file, cycle and m/z partition, of the slices with points of both levels. Points are binned once and written,
+    then get their partitions in one more shuffle."""
     rows = boundary(bin_cycles(points, last_cycle_sec), "cycles")
-    return aggregate_partitions(assign_partitions(rows, mz_partitions(rows, ppm, both_levels=True)))
+    sums = boundary(aggregate_partitions(walked(rows, ppm)), "sums")
+    return sums.join(both_levels_of(sums), SLICE, "left_semi")
 
 
 def tensorize(points: DataFrame, ppm: float, min_points: int = MIN_POINTS, last_cycle_sec: float = LAST_CYCLE_SEC, align_cycles: bool = False) -> DataFrame:
     """Slices to sparse tensors; a slice without points of both levels has none."""
-    return to_coo(frequent_partitions(boundary(partition_sums(points, ppm, last_cycle_sec), "sums"), min_points), align_cycles)
+    return to_coo(frequent_partitions(partition_sums(points, ppm, last_cycle_sec), min_points), align_cycles)
 
 
 def worth_decomposing(coo: DataFrame, samples: int = 2, times: int = 3, masses: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratascan.config import Config
-from stratascan.operators import models, slices, spectra, tensors, windows
+from stratascan.operators import models, mz_walk, slices, spectra, tensors, windows
 from stratascan.plans import queries
 from stratascan.plans.boundary import boundary, released
 
@@ -82,25 +82,63 @@ def naive_starts(values, ppm):
 
 
 def test_partitions_anchor_at_their_start():
-    assert slices.greedy_starts(np.array([100.0, 100.003, 100.0045, 100.008, 100.009]), 40.0) == [100.0, 100.0045, 100.009]
+    assert mz_walk.starts_of(np.array([100.0, 100.003, 100.0045, 100.008, 100.009]), 40.0).tolist() == [100.0, 100.0045, 100.009]
     rng = random.Random(3)
     for ppm in (0.5, 40, 20000):
         values = sorted({round(100 + rng.random() * 3, 4) for _ in range(900)})
-        assert slices.greedy_starts(np.array(values), ppm) == naive_starts(values, ppm)
+        assert mz_walk.starts_of(np.array(values), ppm).tolist() == naive_starts(values, ppm)
 
 
-def test_partitions_and_assignment(spark):
+@pytest.mark.parametrize("ppm, spread", [(500.0, 1.0), (500.0, 200.0), (20000.0, 3.0), (2.0, 1.0)])
+def test_points_get_the_start_of_their_partition(spark, ppm, spread):
+    """From one stretch over all tasks to gaps nearly everywhere."""
     rng = random.Random(4)
-    rows = [("a", rng.choice((1, 2)), 1, round(100 + rng.random(), 3), 1) for _ in range(300)]
-    p = points(spark, rows)
-    parts = slices.mz_partitions(p, 500.0)
-    got = slices.assign_partitions(p, parts).collect()
-    assert len(got) == len(rows)
+    rows = [("a", rng.choice((1, 2)), 1, round(100 + spread * rng.random(), 4), 1) for _ in range(4000)]
+    got = slices.walked(points(spark, rows), ppm).collect()
+    assert sorted(r.spectrum_index for r in got) == list(range(len(rows)))
+    assert sorted(map(tuple, slices.mz_partitions(points(spark, rows), ppm).collect())) == sorted({(r.swath, r.rt_window, r.level, r.start) for r in got})
     for level in (1, 2):
-        starts = naive_starts([r[3] for r in rows if r[1] == level], 500.0)
-        assert sorted(r.start for r in parts.where(F.col("level") == level).collect()) == starts
+        starts = naive_starts([r[3] for r in rows if r[1] == level], ppm)
+        assert sorted({r.start for r in got if r.level == level}) == starts
         for r in (r for r in got if r.level == level):
-            assert r.start == max(s for s in starts if s <= r.mz)
+            assert r.start == starts[np.searchsorted(starts, r.mz, "right") - 1]
+
+
+def test_one_stretch_over_many_tasks(spark):
+    """Values without a gap, and groups of values a little less than the tolerance apart, in ranges of different sizes."""
+    rng = random.Random(5)
+    dense = [100 + i * 1e-4 for i in range(3000)] + [100.5]
+    cells = [200 * (1 + 90e-6) ** i + rng.choice((0, 1e-3, 2e-3)) for i in range(2000)]
+    for values in (dense, cells, dense + cells):
+        p = points(spark, [("a", 1, 1, v, 1) for v in values for _ in range(1 + int(v) % 2)])
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        for n in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(r.start for r in slices.mz_partitions(p, 100.0).collect()) == naive_starts(values, 100.0)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_exits_of_a_gapless_range():
+    rng = np.random.default_rng(6)
+    for ppm in (300.0, 3000.0, 1e6):
+        v = np.unique(np.round(100 + rng.random(400), 4))
+        edges, exits = mz_walk.steps(v, ppm)
+        for start in np.append(v[0] - rng.random(100) * v[0] * ppm / 1e6, v[0] - 1e-6):
+            at = mz_walk.beyond(edges, start, ppm)
+            assert (exits[at] if at < len(exits) else start) == mz_walk.starts_of(v, ppm, start)[-1]
+
+
+def test_a_slice_of_millions_of_values(spark):
+    """Against a walk over all values at once; a task holds a range."""
+    rows = spark.range(3_000_000).select(F.lit(1).alias("swath"), F.lit(0).alias("rt_window"), F.lit(1).cast("tinyint").alias("level"), (F.lit(400.0) + F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 31)).alias("mz"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    rows = boundary(rows, "values")
+    got = slices.mz_partitions(rows, 0.5).toPandas()["start"].to_numpy()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    values = np.unique(rows.select("mz").toPandas()["mz"].to_numpy())
+    assert len(values) > 2_900_000
+    np.testing.assert_array_equal(np.sort(got), mz_walk.starts_of(values, 0.5))
 
 
 def test_frequent_partitions_stay_in_all_files(spark):
