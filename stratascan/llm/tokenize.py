@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, each distinct piece of text encoded once per task.
 
 Both vocabularies split a text before they merge, and never across the edges used here, so the ids of a text are
-those of its pieces in a row: byte-level BPE before every run of white space, word-level BPE, which drops white space, at every blank or line end. Texts
+those of its pieces in a row: byte-level BPE before every run of white space and before the last character of one, word-level BPE, which drops white space, at every blank or line end. Texts
 with characters that regular-expression libraries class differently are encoded whole and not remembered; what is remembered is bounded by its bytes.
 """
 
@@ -14,7 +14,8 @@ import numpy as np
 
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _BLANK = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
-_RUNS = re.compile(r"[ \n\t\r\x0b\x0c]*[^ \n\t\r\x0b\x0c]+|[ \n\t\r\x0b\x0c]+")
+#: A run of white space but for its last character, what follows a run together with that, white space at the end.
+_RUNS = re.compile(r"[ \n\t\r\x0b\x0c]+(?=[ \n\t\r\x0b\x0c][^ \n\t\r\x0b\x0c])|[ \n\t\r\x0b\x0c]?[^ \n\t\r\x0b\x0c]+|[ \n\t\r\x0b\x0c]+")
 _WHITE = " \n\t\r\x0b\x0c"
 _NONE = np.empty(0, np.uint32)
 #: What a piece takes besides its characters and ids: entries of the index and of the arrays.
@@ -48,7 +49,7 @@ class _Numbered(dict):
 class PieceEncoder:
     """Encodes texts; remembers pieces up to ``most`` bytes, besides those of one call, those met again longest."""
 
-    def __init__(self, path: str, byte_level: bool, most: int = 96 << 20) -> None:
+    def __init__(self, path: str, byte_level: bool, most: int = 48 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
@@ -141,8 +142,8 @@ class PieceEncoder:
                 rest.append(n)
         pool, lengths = [], []
         parts = [slice(i, i + 400) for i in range(0, len(texts), 400)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([sep.join(texts[p]) for p in parts], add_special_tokens=False), strict=True):
-            ids, leads = np.array([mark_id, *e.ids], np.uint32), np.array(lead[part])
+        for part in parts:
+            ids, leads = np.append(np.uint32(mark_id), self._alone(sep.join(texts[part]))), np.array(lead[part])
             marks = np.flatnonzero(ids == mark_id)
             if len(marks) != len(leads):
                 raise ValueError("the mark between pieces is no token of its own")
@@ -150,14 +151,18 @@ class PieceEncoder:
             keep = np.ones(len(ids), bool)
             keep[marks] = leads
             pool.append(ids[keep])
-        for e in self.tokenizer.encode_batch_fast([self._text_of(keys[n]) for n in rest], add_special_tokens=False):
-            pool.append(np.array(e.ids, np.uint32))
-            lengths.append([len(e.ids)])
+        for n in rest:
+            pool.append(self._alone(self._text_of(keys[n])))
+            lengths.append([len(pool[-1])])
         length, start, order = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), np.array(at + rest, np.int64)
         inner = np.concatenate(lengths).astype(np.int64)
         length[order], start[order] = inner, np.cumsum(inner) - inner
         return np.concatenate(pool), start, length
 
+    def _alone(self, text: str) -> np.ndarray:
+        """Ids of one text; the library's own result takes some hundred bytes a token, so it is let go at once."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         if self.held > self.most:
@@ -180,8 +185,8 @@ class PieceEncoder:
         flat = self.pool[np.repeat(self.start[every] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         edges = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
         out = [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
+        for i, text in whole.items():
+            out[i] = self._alone(text)
         return out
 
 
