@@ -21,6 +21,8 @@ class Config:
     parafac_max_comp: int = 20
     parafac_tolerance: float = 1e-7
     parafac_seed: int = 123
+    #: Cells of a dense slice beyond which it is decomposed in blocks.
+    parafac_large_cells: int = 20_000_000
     intensity_lower_percentage_cutoff: int = 0
     align_cycles: bool = False
     sequencer: str = "novor"

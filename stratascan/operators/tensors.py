@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratascan.operators.slices import SLICE
-from stratascan.plans.boundary import boundary
 
 FLOOR = 1e-11
 #: Copies of a dense slice that are fitted side by side.
@@ -51,11 +50,25 @@ def reconstruct(cells: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame, keys
 
 
 def r_squared(fitted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """1 - (|x - fit| / |x|)^2 per key."""
+    """1 - (|x - fit| / |x|)^2 per key, over the cells that are there; :func:`whole_r_squared` counts all others as 0."""
     error = F.sum((F.col("v") - F.col("fit")) * (F.col("v") - F.col("fit")))
     return fitted.groupBy(*keys).agg((1 - error / F.sum(F.col("v") * F.col("v"))).alias("rsq"))
 
 
+def whole_r_squared(x: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys.., rsq): 1 - (|x - fit| / |x|)^2 over the whole tensor, where cells that are not there are 0.
+
+    |x - fit|^2 = |x|^2 - 2 <x, fit> + the sum over the cell by cell product of the three Gram matrices, so nothing dense is built; <x, fit> comes from the product of
+    :func:`mttkrp` with the first factor.
+    """
+    product = mttkrp(x, b, c, "i", "j", "k", keys).withColumnRenamed("value", "_m")
+    cross = product.join(a.select(*keys, F.col("idx").alias("i"), "comp", "value"), [*keys, "i", "comp"]).groupBy(*keys).agg(F.sum(F.col("_m") * F.col("value")).alias("_cross"))
+    size = hadamard(hadamard(gram(a, keys), gram(b, keys), keys), gram(c, keys), keys).groupBy(*keys).agg(F.sum("value").alias("_size"))
+    norm = x.groupBy(*keys).agg(F.sum(F.col("v") * F.col("v")).alias("_norm"))
+    rows = norm.join(cross, list(keys)).join(size, list(keys)) if keys else norm.join(cross).join(size)
+    return rows.select(*keys, (1 - (F.col("_norm") - 2 * F.col("_cross") + F.col("_size")) / F.col("_norm")).alias("rsq"))
+
+
 def frobenius(x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return x.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
@@ -110,12 +123,12 @@ def decompose(dense: DataFrame, min_comp: int, max_comp: int, max_iter: int = 20
     """Factors of every slice for every number of components, as rows (slice, ncomp, mode, idx, comp, value, rsq, iterations).
 
     A slice is dealt ``DEALS`` times, and each copy is fitted with its share of the numbers of components in turn. The work is in the fits, not in the rows, so the number of
-    tasks is set here. ``done`` (slice, ncomp) names models to skip. For slices too large for a task see :func:`decompose_large`.
+    tasks is set here. ``done`` (slice, ncomp) names models to skip. For slices too large for a task see :mod:`stratascan.operators.block_cp`.
     """
 
     def fit(key: tuple, rows: pd.DataFrame, skip: pd.DataFrame) -> pd.DataFrame:
         swath, window, deal = (int(k) for k in key)
-        out = [pd.DataFrame({c: [] for c in _MODEL})]
+        out = [pd.DataFrame({c: [] for c in MODEL})]
         if len(rows):
             x = np.zeros((rows["i"].max() + 1, rows["j"].max() + 1, rows["k"].max() + 1))
             x[rows["i"], rows["j"], rows["k"]] = rows["v"].fillna(0.0)
@@ -124,7 +137,7 @@ def decompose(dense: DataFrame, min_comp: int, max_comp: int, max_iter: int = 20
                 for mode, factor in enumerate(factors):
                     idx, comp = np.indices(factor.shape)
                     part = pd.DataFrame({"mode": mode, "idx": idx.ravel(), "comp": comp.ravel(), "value": factor.ravel()})
-                    out.append(part.assign(swath=swath, rt_window=window, ncomp=rank, rsq=1 - errors[-1] ** 2, iterations=len(errors))[_MODEL])
+                    out.append(part.assign(swath=swath, rt_window=window, ncomp=rank, rsq=1 - errors[-1] ** 2, iterations=len(errors))[MODEL])
         return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
     if done is None:
@@ -135,53 +148,7 @@ def decompose(dense: DataFrame, min_comp: int, max_comp: int, max_iter: int = 20
     return work.cogroup(skipped).applyInPandas(fit, "swath int, rt_window int, ncomp int, mode int, idx int, comp int, value double, rsq double, iterations int")
 
 
-_MODEL = ["swath", "rt_window", "ncomp", "mode", "idx", "comp", "value", "rsq", "iterations"]
-
-
-def decompose_large(cells: DataFrame, ncomp: int, max_iter: int = 2000, tol: float = 1e-7, seed: int = 123, start: DataFrame | None = None) -> DataFrame:
-    """What :func:`decompose` returns for one number of components, of slices of any size: the products are joins and sums over the cells, and the
-    factors are written after each round. All slices go through the same rounds; one is no longer changed once its error has settled. Cells that are
-    not there count as 0. ``start`` (slice, mode, idx, comp, value) are the factors to begin with; without it they are drawn by a hash of their place.
-    """
-    key = tuple(SLICE)
-    x = cells.select(*SLICE, "i", "j", "k", "v")
-    if start is None:
-        places = [x.select(*SLICE, F.lit(m).alias("mode"), F.col(a).alias("idx")).distinct() for m, a in enumerate("ijk")]
-        rows = places[0].unionByName(places[1]).unionByName(places[2]).withColumn("comp", F.explode(F.sequence(F.lit(0), F.lit(ncomp - 1))))
-        drawn = F.pmod(F.xxhash64(*SLICE, F.lit(ncomp), F.lit(seed), "mode", "idx", "comp"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        start = rows.withColumn("value", drawn)
-    factors = boundary(start.select(*SLICE, "mode", "idx", "comp", "value"), "large-factors")
-    norms = boundary(x.groupBy(*SLICE).agg(F.sum(F.col("v") * F.col("v")).alias("norm2")), "large-norms")
-    settled = norms.select(*SLICE, F.lit(None).cast("double").alias("error"), F.lit(0).alias("iterations"), F.lit(False).alias("settled"))
-    axes = "ijk"
-    for _ in range(max_iter):
-        for mode in range(3):
-            own, others = factors.where(F.col("mode") == mode).drop("mode"), [m for m in range(3) if m != mode]
-            a, b = (factors.where(F.col("mode") == m).drop("mode") for m in others)
-            product = mttkrp(x, a, b, axes[mode], axes[others[0]], axes[others[1]], key).select(*SLICE, F.col(axes[mode]).alias("idx"), "comp", F.col("value").alias("product"))
-            grams = hadamard(gram(a, key), gram(b, key), key)
-            below = own.select(*SLICE, "idx", F.col("comp").alias("s"), "value").join(grams.withColumnRenamed("value", "_g"), [*SLICE, "s"]).groupBy(*SLICE, "idx", F.col("r").alias("comp")).agg(F.sum(F.col("value") * F.col("_g")).alias("below"))
-            new = own.join(product, [*SLICE, "idx", "comp"], "left").join(below, [*SLICE, "idx", "comp"])
-            floor = F.lit(FLOOR)
-            new = new.withColumn("value", F.col("value") * F.greatest(F.coalesce("product", F.lit(0.0)), floor) / F.greatest("below", floor))
-            new = boundary(new.select(*SLICE, "idx", "comp", "value", "product"), "large-mode")
-            still = settled.where("NOT settled").select(*SLICE)
-            kept = factors.where(F.col("mode") != mode).unionByName(own.join(still, SLICE, "left_anti").withColumn("mode", F.lit(mode)))
-            factors = kept.unionByName(new.join(still, SLICE, "left_semi").drop("product").withColumn("mode", F.lit(mode)))
-            factors = boundary(factors, "large-factors")
-        both = new.groupBy(*SLICE).agg(F.sum(F.coalesce("product", F.lit(0.0)) * F.col("value")).alias("cross"))
-        third = gram(new.drop("product"), key)
-        size = hadamard(grams, third, key).groupBy(*SLICE).agg(F.sum("value").alias("size"))
-        error = F.sqrt(F.greatest(F.col("norm2") - 2 * F.col("cross") + F.col("size"), F.lit(0.0)) / F.col("norm2"))
-        now = norms.join(both, SLICE).join(size, SLICE).select(*SLICE, F.when(F.col("norm2") > 0, error).otherwise(0.0).alias("now"))
-        rows = settled.join(now, SLICE)
-        n = F.when(F.col("settled"), F.col("iterations")).otherwise(F.col("iterations") + 1)
-        is_settled = F.col("settled") | ((n > 2) & F.coalesce(F.abs(F.col("error") - F.col("now")) < tol, F.lit(False)))
-        settled = boundary(rows.select(*SLICE, F.when(F.col("settled"), F.col("error")).otherwise(F.col("now")).alias("error"), n.alias("iterations"), is_settled.alias("settled")), "large-errors")
-        if settled.where("NOT settled").isEmpty():
-            break
-    out = factors.join(settled, SLICE).withColumn("ncomp", F.lit(ncomp)).withColumn("rsq", 1 - F.col("error") * F.col("error"))
-    return out.select(*[F.col(c).cast("int").alias(c) if c not in ("value", "rsq") else F.col(c) for c in _MODEL])
+MODEL = ["swath", "rt_window", "ncomp", "mode", "idx", "comp", "value", "rsq", "iterations"]
 
 
 def measures(factors: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def boundary(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the tables that ``df`` was read from, where a boundary wrote them and no later plan reads them."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for path in [p for p in _PATHS if p.rpartition("/")[2] == folder.rpartition("/")[2]]:
+            _PATHS.remove(path)
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what boundaries inside wrote. What is returned from inside must have been written elsewhere or consumed."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratascan.config import Config
 from stratascan.functions import encoding, peptides, scalars
-from stratascan.operators import models, slices, spectra, tensors, windows
+from stratascan.operators import block_cp, models, slices, spectra, tensors, windows
 from stratascan.plans import views
 from stratascan.plans.boundary import boundary
 from stratascan.plans.views import LAST_CYCLE_SEC, MIN_POINTS, PPM, RANK, SCAN_SQL, WINDOW_SEC, scan_map
@@ -168,14 +168,23 @@ def q56_tensor_wide(spark, sf_dir):
 _T = slices.TAPS
 
 
-@query(with_(*TO_COO, """gi AS (SELECT DISTINCT swath, rt_window, i FROM coo)""", """gj AS (SELECT DISTINCT swath, rt_window, j FROM coo)""", """gk AS (SELECT DISTINCT swath, rt_window, k FROM coo)""",
+_IMPUTED = (*TO_COO, """gi AS (SELECT DISTINCT swath, rt_window, i FROM coo)""", """gj AS (SELECT DISTINCT swath, rt_window, j FROM coo)""", """gk AS (SELECT DISTINCT swath, rt_window, k FROM coo)""",
     """g AS (SELECT gi.swath, gi.rt_window, gi.i, gj.j, gk.k, coo.v FROM gi JOIN gj USING (swath, rt_window) JOIN gk USING (swath, rt_window) LEFT JOIN coo ON coo.swath = gi.swath AND coo.rt_window = gi.rt_window AND coo.i = gi.i AND coo.j = gj.j AND coo.k = gk.k)""",
     f"""im AS (SELECT swath, rt_window, i, j, k, coalesce(v, coalesce(lag(v, 2) OVER l, 0) * {_T[0]!r}::DOUBLE + coalesce(lag(v) OVER l, 0) * {_T[1]!r}::DOUBLE + coalesce(lead(v) OVER l, 0) * {_T[3]!r}::DOUBLE + coalesce(lead(v, 2) OVER l, 0) * {_T[4]!r}::DOUBLE) AS v
-    FROM g WINDOW l AS (PARTITION BY swath, rt_window, i, k ORDER BY j))""") + "SELECT swath, rt_window, i, j, k, round(greatest(v, 0), 5) AS v FROM im")
+    FROM g WINDOW l AS (PARTITION BY swath, rt_window, i, k ORDER BY j))""")
+
+
+@query(with_(*_IMPUTED) + "SELECT swath, rt_window, i, j, k, round(greatest(v, 0), 5) AS v FROM im")
 def q13_impute_gaussian(spark, sf_dir):
     return slices.impute(boundary(tensor(spark, sf_dir), "coo")).select("swath", "rt_window", "i", "j", "k", F.round("v", 5).alias("v"))
 
 
+@query(with_(*_IMPUTED) + "SELECT swath, rt_window, i, j, k, round(v, 5) AS v FROM im WHERE v > 0")
+def q87_impute_sparse(spark, sf_dir):
+    """What is not 0 of q13, from the observed cells alone."""
+    return slices.impute_sparse(boundary(tensor(spark, sf_dir), "coo")).where("v > 0").select("swath", "rt_window", "i", "j", "k", F.round("v", 5).alias("v"))
+
+
 @query(with_(*TO_COO) + "SELECT swath, rt_window, i, j, k, round(v / sqrt(avg(v * v) OVER (PARTITION BY swath, rt_window, k)), 6) AS v FROM coo")
 def q27_rms_scale(spark, sf_dir):
     return slices.rms_scale(tensor(spark, sf_dir)).select("swath", "rt_window", "i", "j", "k", F.round("v", 6).alias("v"))
@@ -309,10 +318,49 @@ def q25_gram_hadamard(spark, sf_dir):
 
 @query(with_(*FACTORS_SQL, FIT_SQL) + "SELECT swath, rt_window, i, j, k, round(fit, 8) AS fit, round(1 - sum((v - fit) * (v - fit)) OVER (PARTITION BY swath, rt_window) / sum(v * v) OVER (PARTITION BY swath, rt_window), 7) AS rsq FROM fit")
 def q26_kruskal_reconstruct(spark, sf_dir):
+    """The fit of every observed cell, and R2 over the observed cells; q88 has R2 of whole tensors."""
     fitted = tensors.reconstruct(views.cells(spark, sf_dir), *_factors(spark, sf_dir), _SLICE)
     return fitted.join(tensors.r_squared(fitted, _SLICE), list(_SLICE)).select(*_SLICE, "i", "j", "k", F.round("fit", 8).alias("fit"), F.round("rsq", 7).alias("rsq"))
 
 
+_GRID = "gr AS (SELECT i.swath, i.rt_window, i.idx AS i, j.idx AS j, k.idx AS k FROM (SELECT DISTINCT swath, rt_window, idx FROM fa) i JOIN (SELECT DISTINCT swath, rt_window, idx FROM fb) j USING (swath, rt_window) JOIN (SELECT DISTINCT swath, rt_window, idx FROM fc) k USING (swath, rt_window)), full_cells AS (SELECT gr.*, coalesce(v, 0) AS v FROM gr LEFT JOIN cells USING (swath, rt_window, i, j, k))"
+
+
+@query(with_(*FACTORS_SQL, _GRID, FIT_SQL.replace("cells", "full_cells")) + "SELECT swath, rt_window, round(1 - sum((v - fit) * (v - fit)) / sum(v * v), 7) AS rsq FROM fit GROUP BY ALL")
+def q88_whole_tensor_rsq(spark, sf_dir):
+    """R2 over all cells of a slice's axes, those that are not there as 0; the SQL builds the grid, the operator doesn't."""
+    cells = boundary(views.cells(spark, sf_dir), "cells")
+    return tensors.whole_r_squared(cells, *_factors(spark, sf_dir), _SLICE).withColumn("rsq", F.round("rsq", 7))
+
+
+def rounds_sql(n: int) -> tuple[list[str], list[str]]:
+    """(CTEs, names of the last factors) of n rounds of updates from fa, fb and fc."""
+    own, parts = ["fa", "fb", "fc"], []
+    near = lambda x, y: f"{x}.swath = {y}.swath AND {x}.rt_window = {y}.rt_window"
+    for n_round in range(n):
+        for m in range(3):
+            p, q = (x for x in range(3) if x != m)
+            f, x, y, t = own[m], own[p], own[q], f"{n_round}{m}"
+            parts.append(f"p{t} AS MATERIALIZED (SELECT c.swath, c.rt_window, c.{'ijk'[m]} AS idx, x.comp, sum(v * x.value * y.value) AS product FROM cells c JOIN {x} x ON {near('c', 'x')} AND x.idx = c.{'ijk'[p]} JOIN {y} y ON {near('c', 'y')} AND y.idx = c.{'ijk'[q]} AND y.comp = x.comp GROUP BY ALL)")
+            gram = lambda z: f"(SELECT a.swath, a.rt_window, a.comp AS r, b.comp AS s, sum(a.value * b.value) AS value FROM {z} a JOIN {z} b ON {near('a', 'b')} AND a.idx = b.idx GROUP BY ALL)"
+            parts.append(f"g{t} AS MATERIALIZED (SELECT gx.swath, gx.rt_window, gx.r, gx.s, gx.value * gy.value AS value FROM {gram(x)} gx JOIN {gram(y)} gy USING (swath, rt_window, r, s))")
+            parts.append(f"b{t} AS MATERIALIZED (SELECT o.swath, o.rt_window, o.idx, g.r AS comp, sum(o.value * g.value) AS below FROM {f} o JOIN g{t} g ON {near('o', 'g')} AND g.s = o.comp GROUP BY ALL)")
+            parts.append(f"f{t} AS MATERIALIZED (SELECT o.swath, o.rt_window, o.idx, o.comp, o.value * greatest(coalesce(product, 0), {tensors.FLOOR!r}::DOUBLE) / greatest(below, {tensors.FLOOR!r}::DOUBLE) AS value FROM {f} o LEFT JOIN p{t} USING (swath, rt_window, idx, comp) JOIN b{t} USING (swath, rt_window, idx, comp))")
+            own[m] = f"f{t}"
+    return parts, own
+
+
+_ROUNDS, _LAST = rounds_sql(3)
+
+
+@query(with_(*FACTORS_SQL, *_ROUNDS) + " UNION ALL ".join(f"SELECT swath, rt_window, {m} AS mode, idx, comp, round(value, 5) AS value FROM {f}" for m, f in enumerate(_LAST)))
+def q89_decompose_rounds(spark, sf_dir):
+    """Three rounds in blocks, from given factors."""
+    start = boundary(scalars.aligned([f.withColumn("mode", F.lit(m)) for m, f in enumerate(_factors(spark, sf_dir))]), "start")
+    out = block_cp.decompose_large(boundary(views.cells(spark, sf_dir), "cells"), RANK, max_iter=3, tol=0.0, start=start)
+    return out.select("swath", "rt_window", "mode", "idx", "comp", F.round("value", 5).alias("value"))
+
+
 @query(with_(views.CELLS_SQL) + "SELECT swath, rt_window, i, round(sqrt(sum(v * v)), 6) AS norm FROM cells GROUP BY ALL")
 def q51_frobenius(spark, sf_dir):
     return tensors.frobenius(views.cells(spark, sf_dir), (*_SLICE, "i")).withColumn("norm", F.round("norm", 6))
@@ -458,7 +506,7 @@ def q45_fasta_lines(spark, sf_dir):
 
 def _dense(spark, sf_dir):
     coo = boundary(tensor(spark, sf_dir), "coo")
-    return boundary(slices.impute(slices.worth_decomposing(coo)), "dense")
+    return boundary(slices.impute_sparse(slices.worth_decomposing(coo)), "cells")
 
 
 @query()

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratascan.config import Config
-from stratascan.operators import models, mz_walk, slices, spectra, tensors, windows
-from stratascan.plans import queries
+from stratascan.operators import block_cp, models, mz_walk, slices, spectra, tensors, windows
+from stratascan.plans import pipeline, queries
 from stratascan.plans.boundary import boundary, released
 
 POINT = "swath int, rt_window int, file string, spectrum_index int, level tinyint, rt double, mz double, intensity double"
@@ -298,15 +298,17 @@ def test_ordinals_over_ranges(spark):
     assert tied == list(range(1000))
 
 
-def test_large_slices_are_decomposed_by_joins(spark):
-    """The relational loop equals the kernel from the same start, slice by slice, with rounds of their own."""
+@pytest.mark.parametrize("edge", [64, 2])
+def test_large_slices_are_decomposed_in_blocks(spark, monkeypatch, edge):
+    """The loop over blocks equals the kernel from the same start, slice by slice, with rounds of their own."""
+    monkeypatch.setattr(block_cp, "EDGE", edge)
     rng = np.random.default_rng(8)
     tensors_of = {(1, 0): low_rank((3, 4, 5), 2, 1), (2, 1): low_rank((2, 5, 3), 2, 2)}
     rows = [(s, w, *map(int, at), float(v)) for (s, w), x in tensors_of.items() for at, v in np.ndenumerate(x)]
     cells = spark.createDataFrame(rows, "swath int, rt_window int, i int, j int, k int, v double")
     start = {key: [rng.random((n, 2)) for n in x.shape] for key, x in tensors_of.items()}
     begun = spark.createDataFrame([(s, w, m, int(i), int(r), float(v)) for (s, w), fs in start.items() for m, f in enumerate(fs) for (i, r), v in np.ndenumerate(f)], "swath int, rt_window int, mode int, idx int, comp int, value double")
-    got = tensors.decompose_large(cells, 2, max_iter=4, tol=1e-3, start=begun).collect()
+    got = block_cp.decompose_large(cells, 2, max_iter=4, tol=1e-3, start=begun).collect()
     for (s, w), x in tensors_of.items():
         factors, errors = [f.copy() for f in start[s, w]], []
         for _ in range(4):
@@ -319,10 +321,51 @@ def test_large_slices_are_decomposed_by_joins(spark):
         own = [r for r in got if (r.swath, r.rt_window) == (s, w)]
         assert {r.iterations for r in own} == {len(errors)} and own[0].rsq == pytest.approx(1 - errors[-1] ** 2, abs=1e-9)
         assert {(r.mode, r.idx, r.comp): r.value for r in own} == pytest.approx({(m, i, r): v for m, f in enumerate(factors) for (i, r), v in np.ndenumerate(f)}, rel=1e-6)
-    drawn = tensors.decompose_large(cells.where("swath = 1"), 3, max_iter=1)
+    drawn = block_cp.decompose_large(cells.where("swath = 1"), 3, max_iter=1)
     assert drawn.count() == (3 + 4 + 5) * 3 and drawn.where("value < 0").count() == 0
 
 
+def test_blocks_and_tasks_fit_the_same_models(spark, monkeypatch):
+    """From the same random start, with rows of cells that are not there, and without models that are done."""
+    monkeypatch.setattr(block_cp, "EDGE", 3)
+    cells = []
+    for s, shape in ((1, (3, 7, 5)), (2, (4, 4, 8))):
+        x = low_rank(shape, 2, s)
+        cells += [(s, 0, *map(int, at), float(v)) for at, v in np.ndenumerate(x) if v > np.quantile(x, 0.3) or min(at) == 0]
+    cells = spark.createDataFrame(cells, "swath int, rt_window int, i int, j int, k int, v double")
+    small = Config(parafac_min_comp=2, parafac_max_comp=3, parafac_max_iter=6, parafac_tolerance=1e-4)
+    large = Config(parafac_min_comp=2, parafac_max_comp=3, parafac_max_iter=6, parafac_tolerance=1e-4, parafac_large_cells=110)
+    by = lambda df: {tuple(r)[:6]: (r.value, r.rsq, r.iterations) for r in df.collect()}
+    assert {r.swath: r["size"] for r in pipeline.dense_sizes(cells).collect()} == {1: 105, 2: 128}
+    want = by(pipeline.fitted(cells, small))
+    got = by(pipeline.fitted(cells, large))
+    assert len(want) == (3 + 7 + 5 + 4 + 4 + 8) * 5 and got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-7, abs=1e-9)
+    earlier = pipeline.fitted(cells.where("swath = 2"), large).withColumn("value", F.lit(7.0))
+    resumed = by(pipeline.fitted(cells, large, earlier))
+    assert resumed.keys() == want.keys() and all(v[0] == 7.0 if k[0] == 2 else v == got[k] for k, v in resumed.items())
+
+
+def test_sparse_imputation_equals_the_dense_grid(spark):
+    rng = random.Random(9)
+    rows = {(s, i, j, k): rng.choice([0.0, -1.0, rng.random(), 5.0]) for s in (1, 2) for i in range(3) for j in range(0, 24, s + 1) for k in range(4) if rng.random() < 0.2}
+    coo = spark.createDataFrame([(s, 0, f"f{i}", j, 1, 5.0 + k, i, j, k, v) for (s, i, j, k), v in rows.items()], "swath int, rt_window int, file string, cycle int, level int, start double, i int, j int, k int, v double")
+    by = lambda df: {(r.swath, r.i, r.j, r.k): r.v for r in df.collect()}
+    whole, sparse = by(slices.impute(coo)), by(slices.impute_sparse(coo))
+    assert {k: v for k, v in sparse.items() if v > 0} == pytest.approx({k: v for k, v in whole.items() if v > 0})
+    assert rows.keys() <= sparse.keys() and len(sparse) <= 5 * len(rows)
+
+
+def test_whole_r_squared_counts_cells_that_are_not_there(spark):
+    rng = np.random.default_rng(10)
+    x, factors = rng.random((3, 4, 5)) * (rng.random((3, 4, 5)) < 0.4), [rng.random((n, 2)) for n in (3, 4, 5)]
+    cells = spark.createDataFrame([(*map(int, at), float(v)) for at, v in np.ndenumerate(x) if v], "i int, j int, k int, v double")
+    tables = [spark.createDataFrame([(int(i), int(r), float(v)) for (i, r), v in np.ndenumerate(f)], "idx int, comp int, value double") for f in factors]
+    want = 1 - ((x - np.einsum("ir,jr,kr->ijk", *factors)) ** 2).sum() / (x**2).sum()
+    assert tensors.whole_r_squared(cells, *tables).first().rsq == pytest.approx(want)
+
+
 def test_peaks_of_a_noisy_profile_by_the_noise_about_them():
     """A small peak in a quiet stretch counts, whatever the noise elsewhere is."""
     t = np.arange(200)
