@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from stratascan.llm.common import materialize, shared_path
 
@@ -33,8 +35,8 @@ _STATE = {
 ROWS_PER_SALT = 2000
 #: A digest with more than this share of all rows is told to every task; there are at most HOT_KEYS of them.
 HOT_KEYS = 1000
-#: Repeated digests that every task is told (eight bytes of each), so that only rows hit again are dealt out. Beyond, rows meet them by a shuffle.
-TOLD_DIGESTS = 2_000_000
+#: Bitmaps of 4096 rows each that every task is told at a time, about half a kilobyte of each.
+TOLD_BITMAPS = 40_000
 
 
 @contextmanager
@@ -94,37 +96,65 @@ def current_state(spark: SparkSession, updates_dir: str) -> DataFrame:
     return updates.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
 
 
-def _with_state(rows: DataFrame, repeated: DataFrame, hot: DataFrame, how: str, hint: str | None = None) -> DataFrame:
-    """Join rows to the repeated digests; hot ones are dealt out over several tasks."""
+def _with_state(rows: DataFrame, repeated: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with the state of their digest where it is repeated; hot ones are dealt out over several tasks."""
     salts = F.ceil(F.col("hot_n") / ROWS_PER_SALT).cast("int")
     rows = rows.join(F.broadcast(hot), "digest", "left")
     rows = rows.withColumn("_salt", F.when(F.col("hot_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("file", "row"), salts))).drop("hot_n")
     dealt = repeated.join(F.broadcast(hot), "digest", "left")
     dealt = dealt.withColumn("_salt", F.explode(F.when(F.col("hot_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), salts - 1)))).drop("hot_n")
-    return rows.join(dealt.hint(hint) if hint else dealt, ["digest", "_salt"], how).drop("_salt")
+    return rows.join(dealt, ["digest", "_salt"], "left").drop("_salt")
+
+
+def bitmaps(chosen: DataFrame) -> DataFrame:
+    """(_file, _block, _bits, _batch) of rows (file, row): 64 words for every 4096 rows of a file that hold one; a written table. A batch has whole files, ``TOLD_BITMAPS`` bitmaps and those of
+    its last file."""
+    words = chosen.groupBy("file", F.shiftright("row", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(row & 63 as int))) AS bits"))
+    held = words.groupBy("file", F.shiftright("word", 6).alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(63)).cast("int"), "bits"))).alias("m"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    held = materialize(held.select(F.col("file").alias("_file"), "_block", bits.alias("_bits")), "dedup-bits")
+    files = held.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy("_file")) - F.col("n")  # a row per file
+    return materialize(held.join(files.select("_file", F.floor(before / TOLD_BITMAPS).cast("int").alias("_batch")), "_file"), "dedup-bitmaps")
+
+
+def pick(rows: DataFrame, chosen: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows (file, row, ..) that are among the chosen (file, row), or those that are not. Rows stay where they are read: tasks are told the bitmaps of a batch of files at a time, and
+    each batch reads its own files."""
+    bits = bitmaps(chosen)
+    batches: dict[int, list[str]] = {}
+    top = bits.agg(F.max("_batch")).first()[0] or 0
+    if top:  # names of files, as many as there are
+        for r in bits.select("_batch", "_file").distinct().collect():
+            batches.setdefault(r["_batch"], []).append(r["_file"])
+    at = (F.col("file") == F.col("_file")) & (F.shiftright("row", 12) == F.col("_block"))
+    here = F.bit_get(F.get("_bits", F.shiftright("row", 6).bitwiseAND(F.lit(63)).cast("int")), F.col("row").bitwiseAND(F.lit(63)).cast("int")) == 1
+    parts = []
+    for b in sorted(batches) or [0]:
+        own = rows.where(F.col("file").isin(batches[b])) if top else rows
+        found = own.join(F.broadcast(bits.where(F.col("_batch") == b).drop("_batch")), at, "inner" if inside else "left")
+        parts.append(found.where(here if inside else ~F.coalesce(here, F.lit(False))).select(rows.columns))
+    if top and not inside:
+        parts.append(rows.where(~F.col("file").isin([f for own in batches.values() for f in own])))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def resolve(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, file, row, digest, keep_id, group_size, kept), after comparing whole texts wherever a digest was hit again."""
     repeated = materialize(state.where("n > 1"), "dedup-repeated")
-    sums = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("digests")).first()
-    total = sums["n"]
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     hot = repeated.where(F.col("n") > max(ROWS_PER_SALT, total // HOT_KEYS)).select("digest", F.col("n").alias("hot_n"))
+    rows = materialize(_with_state(located(docs, digest), repeated, hot), "dedup-rows")
 
-    # whole texts are dealt by digest, only those hit again
-    texts = located(docs, digest, with_text=True)
-    if sums["digests"] <= TOLD_DIGESTS:
-        told = repeated.select(F.xxhash64("digest").alias("_told")).distinct()
-        texts = texts.withColumn("_told", F.xxhash64("digest")).join(F.broadcast(told), "_told", "left_semi").drop("_told")
-    hits = _with_state(texts, repeated.select("digest"), hot, "inner", "merge")
-    texts = hits.groupBy("digest", "content").agg(_first().alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(texts.withColumn("content", F.sha2(F.concat(F.lit("text:"), "content"), 256)), "dedup-classes")
+    # whole texts are compared of those hit again; only these leave the tasks that read them, equal ones of a task as one
+    texts = pick(located(docs, digest, with_text=True), rows.where("n IS NOT NULL").select("file", "row"))
+    hits = texts.groupBy("digest", "content").agg(_first().alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(hits.withColumn("content", F.sha2(F.concat(F.lit("text:"), "content"), 256)), "dedup-classes")
     split = materialize(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-split")
 
-    rows = _with_state(located(docs, digest), repeated, hot, "left")
     whole = rows.join(split, "digest", "left_anti")
     if not split.isEmpty():  # one digest, several texts: each text is a group of its own
-        clashing = located(docs, digest, with_text=True).join(split, "digest").withColumn("content", F.sha2(F.concat(F.lit("text:"), "content"), 256))
+        clashing = texts.withColumn("content", F.sha2(F.concat(F.lit("text:"), "content"), 256)).join(split, "digest")
         whole = whole.unionByName(clashing.join(classes, ["digest", "content"]).drop("content"))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
     first = F.coalesce("first", own)
@@ -155,9 +185,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = shared_path(spark, "dedup-docs")
     staged = materialize(docs, "dedup-docs", path)
-    drop = exact_dedup(spark, path).where("not kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    at = staged.select(F.struct("*").alias("_doc"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return at.join(drop, ["_file", "_row"], "left_anti").select("_doc.*")
+    drop = exact_dedup(spark, path).where("not kept").select("file", "row")
+    at = staged.select(F.struct("*").alias("_doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return pick(at, drop, inside=False).select("_doc.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,22 @@ def test_state_lasts_over_batches_and_restarts(spark, tmp_path):
     assert {(r.doc_id, r.keep_id) for r in many.collect()} == {(5, 5), (6, 2), (9, 2), (7, 7), (2, 2)}
 
 
+@pytest.mark.parametrize("told", [1, 3, 40_000])
+def test_rows_are_picked_where_they_are_read(spark, tmp_path, monkeypatch, told):
+    """Bitmaps of files with many rows, one batch or several; nothing but the chosen places is shuffled."""
+    monkeypatch.setattr(exact_dedup, "TOLD_BITMAPS", told)
+    spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).repartition(4).write.parquet(f"{tmp_path}/d")
+    docs = exact_dedup.located(spark.read.parquet(f"{tmp_path}/d"), with_text=True)
+    wanted = docs.where("doc_id % 7 = 0 AND doc_id > 20000").select("file", "row")
+    for inside in (True, False):
+        got = exact_dedup.pick(docs, wanted, inside)
+        ids = {r.doc_id for r in got.collect()}
+        assert {i for i in range(40_000) if (i % 7 == 0 and i > 20_000) == inside} == ids and got.columns == docs.columns
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert exact_dedup.pick(docs, wanted.where("false")).count() == 0 and exact_dedup.pick(docs, wanted.where("false"), False).count() == 40_000
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = frame(spark, ["t", "t", "t", "u", "u"], ids=[None, 3, 3, None, None])
     kept = exact_dedup.keep_first(docs)
@@ -67,12 +83,12 @@ def test_repeated_rows_and_null_ids(spark):
 
 
 def test_whole_long_texts_decide(spark, tmp_path, monkeypatch):
-    """Texts that differ only at their far end are not equal; also when no digest is told to the tasks."""
+    """Texts that differ only at their far end are not equal; also when bitmaps are told file by file."""
     long = prose(200_000, 5)
     texts = [long + " x", long + " y", long + "  x", "short", None]
     sf_dir = write(spark, tmp_path, frame(spark, texts))
-    for told in (0, 10):
-        monkeypatch.setattr(exact_dedup, "TOLD_DIGESTS", told)
+    for told in (1, 40_000):
+        monkeypatch.setattr(exact_dedup, "TOLD_BITMAPS", told)
         got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.op2_exact_dedup(spark, sf_dir).collect()}
         assert got == {0: (0, 2), 1: (1, 1), 2: (0, 2), 3: (3, 1), 4: (4, 1)}
 
