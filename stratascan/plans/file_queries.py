@@ -10,10 +10,11 @@ from stratascan.operators import models, slices, spectra, tensors, windows
 from stratascan.plans import views
 from stratascan.plans.boundary import boundary, shared_path
 from stratascan.plans.queries import (
-    ADJ, COUNTS_SQL, INDEX_SQL, FACTORS_SQL, SLICES, SPEC_SQL, TO_COO, _counts, _factors, _index, order_spectra, query, read, scan_fit_sql, sliced, tensor, with_,
+    ADJ, COUNTS_SQL, CYCLES, INDEX_SQL, FACTORS_SQL, SLICES, SPEC_SQL, TO_COO, _counts, _factors, _index, order_spectra, query, read, scan_fit_sql, sliced, tensor, with_,
 )
-from stratascan.plans.views import RANK, SCAN_SQL, scan_map
+from stratascan.plans.views import LAST_CYCLE_SEC, RANK, SCAN_SQL, WINDOW_SEC, scan_map
 from stratascan.sources import scans, tables
+from stratascan.streaming import cycles
 
 _OLD, _NEW = "swath_lower_adjusted", "swath_upper_adjusted"
 
@@ -78,6 +79,22 @@ def q61_swath_lookup(spark, sf_dir):
     return tables.swaths_by_lookup(spark, cut, lookup, lowest).select("file", "spectrum_index", "swath")
 
 
+@query(with_(SCAN_SQL, ADJ, SLICES, CYCLES) + "SELECT swath, rt_window, file, cycle, count(*) AS points, sum(intensity) AS intensity FROM cyc GROUP BY ALL")
+def q90_stream_cycles(spark, sf_dir):
+    """The points arrive by time in three runs of a stream, each of which takes up the open cycles of the one before."""
+    source, out, checkpoint = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
+    cut = boundary(sliced(spark, sf_dir).select("swath", "rt_window", "file", "level", "rt", "intensity"), "slices")
+    top = cut.agg(F.max("rt").alias("rt")).first()["rt"] or 0.0
+    for n in range(3):
+        own = cut.where((F.col("rt") >= top * n / 3) & ((F.col("rt") < top * (n + 1) / 3) | F.lit(n == 2)))
+        if n == 2:  # behind all windows: closes the last cycles
+            marker = spark.range(1).select(*[F.lit(None).cast(t).alias(c) if c != "rt" else F.lit(10 * top + 10 * WINDOW_SEC).alias("rt") for c, t in cut.dtypes])
+            own = own.unionByName(marker)
+        own.write.mode("append").parquet(source)
+        cycles.stream_cycles(spark.readStream.schema(cut.schema).parquet(source), out, checkpoint, WINDOW_SEC, LAST_CYCLE_SEC).awaitTermination()
+    return cycles.whole_slices(spark.read.schema(cycles.OUT).parquet(out))
+
+
 # --- results of other programs: parts are peptides
 
 
