@@ -12,7 +12,7 @@ chunks, inside the tasks: of the links found there those that connect components
 sketches (the samples folded into a bitmap of parities) allow the threshold, and is confirmed on full sets.
 
 A null text has no words. A null doc_id can't be named: its row is returned with a null component, kept. Rows with the
-same doc_id and equal sets are one document; if their sets differ, an id is still one vertex, so it joins the copies of both, and one of its sets is compared with others. Very long texts are read
+same doc_id and equal sets are one document; if their sets differ, an id is still one vertex, so it joins all that is linked with one of them. Very long texts are read
 whole; their sets travel as one value of eight bytes a shingle. An empty table gives an empty result. Only doc_id and text are
 read, so other columns may have any names.
 """
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, links: Links = OP5) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the documents whose id is in ``wanted`` (rep); the sets as bytes, a row per document."""
+    """(rep, shingles) of the documents whose id is in ``wanted`` (rep); the sets as bytes, a row per id and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -139,7 +139,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    return rows.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary").distinct()
 
 
 def linked(pairs: DataFrame, threshold: int) -> DataFrame:

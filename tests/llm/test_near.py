@@ -98,6 +98,15 @@ def test_one_id_with_two_texts_joins_their_components(spark):
     assert {c for i, c in got if i == 5} == {5} and dict(got)[9] == 5 and dict(got)[8] == 5
 
 
+def test_every_set_of_an_id_is_compared(spark):
+    """Ids with several texts, each near another document's and equal to none."""
+    bases = [prose(300, 50 + i) for i in range(6)]
+    for order in (1, -1):
+        texts = [(1, bases[0]), (1, bases[1]), (1, bases[2]), (2, bases[3]), (2, bases[4])][::order] + [(10 + i, edited(b, 2, i)) for i, b in enumerate(bases)]
+        got = {(r.doc_id, r.component_id) for r in near_dedup.components(frame(spark, [t for _, t in texts], ids=[i for i, _ in texts])).collect()}
+        assert got == {(1, 1), (10, 1), (11, 1), (12, 1), (2, 2), (13, 2), (14, 2), (15, 15)}
+
+
 def test_very_long_texts_are_compared_whole(spark):
     long = prose(150_000, 6, 100_000)
     far = " ".join(long.split()[:75_000] + prose(75_000, 7, 100_000).split())
