@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import random
-import zlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,38 +34,55 @@ def rotate_sequence(sequence: Column) -> Column:
     return F.array_join(F.transform(digest(sequence), rotated), "")
 
 
-def shuffled(fragment: str, mode: str, percent: float, rng: random.Random) -> str:
-    """Residues of a fragment in random order: some places but the last, those about the middle, or the last five."""
-    chars, n = list(fragment), len(fragment)
+#: Orders that are drawn before places are moved on by one.
+DRAWS = 8
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_drawn_order(places: Column, key: Column) -> Column:
+    drawn = F.array_sort(F.transform(places, lambda p: F.struct(F.md5(F.concat(key, p.cast("string")).cast("binary")).alias("h"), p.alias("p"))))
+    return F.transform(drawn, lambda d: d["p"])
+
+
+def shuffled(fragment: Column, key: Column, mode: str, percent: float) -> Column:
+    """Residues of a fragment in an order drawn by hashes of ``key`` and place: some places but the last, those about the middle, or the last five. With some places, an order that moves none is drawn again."""
+    n = F.length(fragment)
     if mode == "random":
-        places = rng.sample(range(n - 1), int((n - 1) * percent)) if n > 1 else []
+        some = F.floor((n - 1) * percent).cast("int")
+        picked = F.slice(_in_drawn_order(F.sequence(F.lit(0), n - 2), F.concat(key, F.lit(":pick:"))), F.lit(1), some)
+        places = F.when(n > 1, F.array_sort(picked)).otherwise(F.array().cast("array<int>"))
     elif mode == "random_center":
-        places = list(range(max(0, n // 2 - 3), min(n, n // 2 + 3)))
+        middle = F.floor(n / 2).cast("int")
+        places = F.sequence(F.greatest(middle - 3, F.lit(0)), F.least(middle + 3, n) - 1)
     else:
-        places = list(range(max(0, n - 5), n))
-    order = list(places)
-    rng.shuffle(order)
-    while mode == "random" and len(places) > 1 and order == places:  # a permutation that moves no place is drawn again
-        rng.shuffle(order)
-    for i, j in zip(places, order, strict=True):
-        chars[j] = fragment[i]
-    return "".join(chars)
+        places = F.sequence(F.greatest(n - 5, F.lit(0)), n - 1)
+    order = lambda p, a: _in_drawn_order(p, F.concat(key, F.lit(":order:"), a.cast("string"), F.lit(":")))
+
+    def chosen(p: Column) -> Column:
+        if mode != "random":
+            return order(p, F.lit(0))
+        on = F.concat(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1))
+        return F.when(F.size(p) > 1, F.coalesce(F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda a: order(p, a)), lambda o: o != p), F.lit(0)), on)).otherwise(p)
+
+    def moved(p: Column, o: Column) -> Column:
+        at = lambda q: F.array_position(o, q).cast("int")
+        source = lambda q: F.when(at(q) > 0, F.get(p, at(q) - 1)).otherwise(q)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda q: F.substr(fragment, source(q) + 1, F.lit(1))), "")
+
+    return _let(places, lambda p: _let(chosen(p), lambda o: moved(p, o)))
 
 
 def mutate_sequences(rows: DataFrame, column: str, mutation: str = "random_end", percent: float = 0.5, seed: int = 42) -> DataFrame:
     """Decoys of a column of sequences, fragment by fragment; the same sequence always gives the same decoy."""
     if mutation == "rotate":
         return rows.withColumn(column, rotate_sequence(F.col(column)))
-
-    @F.pandas_udf("string")
-    def mix(fragments: pd.Series) -> pd.Series:
-        def one(parts):
-            rng = random.Random(zlib.crc32("".join(parts).encode()) ^ seed)
-            return "".join(shuffled(p, mutation, percent, rng) for p in parts)
-
-        return fragments.map(lambda parts: None if parts is None else one(parts))
-
-    return rows.withColumn(column, mix(digest(F.col(column))))
+    key = F.concat(F.md5(F.col(column).cast("binary")), F.lit(f":{seed}:"))
+    parts = F.transform(digest(F.col(column)), lambda f, i: shuffled(f, F.concat(key, i.cast("string")), mutation, percent))
+    return rows.withColumn(column, F.array_join(parts, ""))
 
 
 def fragments(rows: DataFrame, column: str, charge: int = 1, series: tuple[str, ...] = ("b", "y")) -> DataFrame:

@@ -436,6 +436,28 @@ def q37_digest_rotate(spark, sf_dir):
     return peptides.mutate_sequences(parts, "q", "rotate").select("p_partkey", F.col("q").alias("decoy"))
 
 
+_DECOYS = f"""s AS (SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z]', '', 'g') AS raw, upper(raw) AS q FROM part),
+c AS (SELECT p_partkey, raw, i, i = 1 OR (substr(q, i - 1, 1) IN ('K', 'R') AND substr(q, i, 1) <> 'P') AS cut, substr(q, i, 1) AS r FROM s, unnest(range(1, length(q) + 1)) AS u(i)),
+g AS (SELECT p_partkey, raw, i, r, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS f FROM c),
+h0 AS (SELECT p_partkey, f, string_agg(r, '' ORDER BY i) AS x, any_value(raw) AS raw FROM g GROUP BY p_partkey, f), h AS (SELECT p_partkey, f, x, length(x) AS n, concat(md5(raw), ':42:', CAST(f - 1 AS BIGINT)) AS k FROM h0),
+pl AS (SELECT 'random' AS mode, p_partkey, f, k, p FROM (SELECT *, unnest(range(n - 1)) AS p FROM h) QUALIFY row_number() OVER (PARTITION BY p_partkey, f ORDER BY md5(concat(k, ':pick:', p)), p) <= floor((n - 1) * 0.5)
+  UNION ALL SELECT 'random_center', p_partkey, f, k, unnest(range(greatest(n // 2 - 3, 0), least(n // 2 + 3, n))) FROM h UNION ALL SELECT 'random_end', p_partkey, f, k, unnest(range(greatest(n - 5, 0), n)) FROM h),
+od AS (SELECT mode, p_partkey, f, p, a, row_number() OVER (PARTITION BY mode, p_partkey, f, a ORDER BY p) AS i, row_number() OVER (PARTITION BY mode, p_partkey, f, a ORDER BY md5(concat(k, ':order:', a, ':', p)), p) AS j, count(*) OVER (PARTITION BY mode, p_partkey, f, a) AS n FROM pl, unnest(range({peptides.DRAWS})) AS t(a)),
+av AS (SELECT mode, p_partkey, f, a, bool_or(i <> j OR mode <> 'random') AS good FROM od GROUP BY mode, p_partkey, f, a),
+ch AS (SELECT mode, p_partkey, f, min(a) FILTER (good) AS a FROM av GROUP BY ALL),
+mv AS (SELECT od.mode, od.p_partkey, od.f, p, i, CASE WHEN ch.a IS NOT NULL THEN j WHEN n = 1 THEN 1 WHEN i = 1 THEN n ELSE i - 1 END AS j FROM od JOIN ch USING (mode, p_partkey, f) WHERE od.a = coalesce(ch.a, 0)),
+so AS (SELECT t.mode, t.p_partkey, t.f, t.p AS place, f0.p AS source FROM mv t JOIN mv f0 ON f0.mode = t.mode AND f0.p_partkey = t.p_partkey AND f0.f = t.f AND f0.i = t.j),
+al AS (SELECT mode, p_partkey, f, x, unnest(range(n)) AS place FROM h, unnest(['random', 'random_center', 'random_end']) AS m(mode)),
+dk AS (SELECT mode, p_partkey, string_agg(substr(x, CAST(coalesce(source, place) + 1 AS INTEGER), 1), '' ORDER BY f, place) AS decoy FROM al LEFT JOIN so USING (mode, p_partkey, f, place) GROUP BY ALL)"""
+
+
+@query(with_(_DECOYS) + "SELECT mode, s.p_partkey, coalesce(decoy, '') AS decoy FROM s CROSS JOIN unnest(['random', 'random_center', 'random_end']) AS m(mode) LEFT JOIN dk USING (mode, p_partkey)")
+def q91_random_decoys(spark, sf_dir):
+    """Names of parts as sequences, in the three random modes."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_name", "[^A-Za-z]", "").alias("q"))
+    return scalars.aligned([peptides.mutate_sequences(parts, "q", m).select(F.lit(m).alias("mode"), "p_partkey", F.col("q").alias("decoy")) for m in ("random", "random_center", "random_end")])
+
+
 _MASS = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in peptides.RESIDUES.items())
 
 

@@ -45,9 +45,19 @@ def test_names_and_columns(spark):
     assert len(sizes) == 7 and sizes == {r.x for r in scalars.seeded_sample(spark.range(50).withColumnRenamed("id", "x").repartition(3), "x", 7).collect()}
     names = spark.createDataFrame([("/d/file=s1/part-0.csv",), ("/d/run.2.csv",), ("run",)], "p string")
     assert [r.n for r in names.select(tables.file_stem(F.col("p")).alias("n")).collect()] == ["s1", "run.2", "run"]
-    import random
 
-    assert all(peptides.shuffled("ABCDEFGH", "random", 0.5, random.Random(i)) != "ABCDEFGH" for i in range(50))
+
+def test_random_decoys_move_the_places_of_their_mode(spark):
+    texts = ["ABCDEFGHIJLMNO", "ABCDEFGH", "AB", "A", "", "GKPGRLLK"]
+    rows = spark.createDataFrame([(t,) for t in texts], "q string")
+    of = lambda mode, seed=42: [r.q for r in peptides.mutate_sequences(rows, "q", mode, seed=seed).collect()]
+    for seed in range(6):
+        some, centre, end = of("random", seed), of("random_center", seed), of("random_end", seed)
+        for got in (some, centre, end):
+            assert [sorted(g) for g in got] == [sorted(t) for t in texts]
+        assert all(g != t and g[-1] == t[-1] for g, t in zip(some[:2], texts[:2], strict=True)) and some[2:5] == texts[2:5]  # half of the places but the last
+        assert centre[0][:4] == "ABCD" and centre[0][10:] == "LMNO" and end[0][:9] == "ABCDEFGHI"
+    assert of("random", 1) != of("random", 2)
 
 
 def test_fragments(spark):
