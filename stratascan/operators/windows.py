@@ -40,12 +40,14 @@ def swath_key(bound: Column) -> Column:
 
 def first_match_segments(windows: DataFrame) -> DataFrame:
     """(lo, hi, start, end): disjoint stretches, each with the window that a first-match search finds there, which is the
-    one with the lowest start, then the lowest end. Windows are half-open. The distinct bounds of an acquisition, some hundreds, are put in order in one task."""
+    one with the lowest start, then the lowest end. Windows are half-open. The distinct windows of an acquisition, some hundreds, are one list."""
     edges = windows.select("start", "end").where("start < end").distinct()
-    cuts = edges.select(F.explode(F.array("start", "end")).alias("lo")).distinct()
-    cuts = cuts.withColumn("hi", F.lead("lo").over(W.orderBy("lo"))).where("hi IS NOT NULL")
-    covered = cuts.join(edges, (F.col("start") <= F.col("lo")) & (F.col("lo") < F.col("end")))
-    return covered.groupBy("lo", "hi").agg(F.min(F.struct("start", "end")).alias("w")).select("lo", "hi", "w.start", "w.end")
+    held = edges.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("w"))
+    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("w", lambda w: F.array(w["start"], w["end"])))))
+    rows = held.where(F.size("w") > 0).select("w", cuts.alias("c")).select("w", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 1)).alias("n"))
+    rows = rows.select("w", F.get("c", F.col("n") - 1).alias("lo"), F.get("c", F.col("n")).alias("hi"))
+    first = F.get(F.filter("w", lambda w: (w["start"] <= F.col("lo")) & (F.col("lo") < w["end"])), F.lit(0))
+    return rows.select("lo", "hi", first.alias("f")).where("f IS NOT NULL").select("lo", "hi", "f.start", "f.end")
 
 
 def interval_join(points: DataFrame, windows: DataFrame, on: str, bin_width: float) -> DataFrame:
@@ -64,8 +66,9 @@ def tolerance_join(left: DataFrame, right: DataFrame, a: str, b: str, rtol: floa
     """Rows of ``left`` with the row of ``right`` whose ``b`` is the lowest with |a - b| <= atol + rtol * |b|.
 
     ``right`` is laid over the bins that its tolerance touches; ``width`` should exceed the tolerance. A bin's rows of ``right`` are one list in order, from which a
-    row of ``left`` picks the first that is near, so pairs are never rows; rows of ``right`` in one bin are bounded by its width.
+    row of ``left`` picks the first that is near, so pairs are never rows. Of rows with one ``b`` the least goes on, so the list has the bin's distinct values.
     """
+    right = right.groupBy(b).agg(F.min(F.struct(*right.columns)).alias("_r")).select("_r.*")
     tol = F.lit(atol) + F.lit(rtol) * F.abs(F.col(b))
     bins = right.withColumn("_bin", F.explode(F.sequence(F.floor((F.col(b) - tol) / width), F.floor((F.col(b) + tol) / width))))
     lists = bins.groupBy("_bin").agg(F.array_sort(F.collect_list(F.struct(F.col(b).alias("_b"), F.struct(*right.columns).alias("_row")))).alias("_near"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from stratascan import schemas
@@ -10,7 +11,7 @@ from stratascan.operators import models, slices, spectra, tensors, windows
 from stratascan.plans import views
 from stratascan.plans.boundary import boundary, shared_path
 from stratascan.plans.queries import (
-    ADJ, COUNTS_SQL, CYCLES, INDEX_SQL, FACTORS_SQL, SLICES, SPEC_SQL, TO_COO, _counts, _factors, _index, order_spectra, query, read, scan_fit_sql, sliced, tensor, with_,
+    ADJ, COUNTS_SQL, CYCLES, INDEX_SQL, FACTORS_SQL, SLICES, SPEC_SQL, TO_COO, _counts, _factors, _index, _tensor_and_factors, order_spectra, query, read, scan_fit_sql, sliced, tensor, with_,
 )
 from stratascan.plans.views import LAST_CYCLE_SEC, RANK, SCAN_SQL, WINDOW_SEC, scan_map
 from stratascan.sources import scans, tables
@@ -230,6 +231,16 @@ def q72_mzml_problems(spark, sf_dir):
     return scans.spectrum_problems(spark, path).join(scans.time_unit(spark, path))
 
 
+@query(with_(SCAN_SQL, _MZML_SQL, "m AS (SELECT DISTINCT file, spectrum_index FROM sp JOIN win ON prec_mz >= s AND prec_mz < e)") + "SELECT count(*) AS processed, count(*) FILTER (spectrum_index % 17 = 0 OR spectrum_index % 19 = 0) AS problematic, (SELECT count(*) FROM m) AS points FROM scan")
+def q92_counts_in_passing(spark, sf_dir):
+    """Spectra processed and problematic, counted while the points are written, and the points."""
+    counts, path = Observation(), shared_path(spark, "points")
+    scans.read_mzml(spark, _mzml(spark, sf_dir), min_intensity=20.0, bin_width=100.0, counts=counts).write.parquet(path)
+    seen = counts.get
+    points = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("points"))
+    return points.select(*[F.lit(seen[c]).cast("long").alias(c) for c in ("processed", "problematic")], "points")
+
+
 # --- tables of models
 
 
@@ -327,10 +338,11 @@ def q82_model_scans(spark, sf_dir):
     + "SELECT CAST(fs.swath AS BIGINT) * 10000 + fs.rt_window AS model_id, j AS cycle, round(fit * scale, 5) AS intensity, 100 + k / 4 AS mz, 1 + k % 2 AS level FROM fs JOIN sc USING (swath, rt_window)")
 def q83_reconstructed_map(spark, sf_dir):
     """The maps of every slice's first file by name, which is its last quarter: tensor row, unimodal components, R2 and m/z axis are looked up."""
+    cells, *factors = _tensor_and_factors(spark, sf_dir)
     model_id = F.col("swath").cast("long") * 10000 + F.col("rt_window")
-    tagged = [f.select("swath", "rt_window", F.lit(RANK).alias("ncomp"), model_id.alias("model_id"), F.lit(m).alias("mode"), "idx", "comp", "value", F.lit(0.5).alias("rsq"), F.lit(3).alias("iterations")) for m, f in enumerate(_factors(spark, sf_dir))]
+    tagged = [f.select("swath", "rt_window", F.lit(RANK).alias("ncomp"), model_id.alias("model_id"), F.lit(m).alias("mode"), "idx", "comp", "value", F.lit(0.5).alias("rsq"), F.lit(3).alias("iterations")) for m, f in enumerate(factors)]
     factors = boundary(scalars.aligned(tagged), "factors")
-    coo = views.cells(spark, sf_dir).withColumn("file", F.concat(F.lit("s"), (9 - F.col("i")).cast("string")))
+    coo = cells.withColumn("file", F.concat(F.lit("s"), (9 - F.col("i")).cast("string")))
     coo = coo.withColumn("start", 100 + F.col("k") / 4).withColumn("level", 1 + F.col("k") % 2)
     counts = factors.select("model_id", "comp").distinct().withColumn("npeaks", F.when(F.col("comp") < 3, 1).otherwise(2))
     rsq = models.rsq_or_default(factors.select("swath", "rt_window", "ncomp").distinct(), tensors.measures(factors).where("false"))

@@ -155,6 +155,7 @@ def q11_tensor_coo(spark, sf_dir):
 
 @query(with_(*TO_COO) + "SELECT swath, rt_window, i, j, " + ", ".join(f"sum(CASE WHEN k = {k} THEN v END) AS k{k}" for k in range(4)) + " FROM coo GROUP BY ALL")
 def q12_tensor_pivot(spark, sf_dir):
+    """Columns for a caller's list of m/z ordinals, here those its SQL names; q56 has all."""
     out = slices.pivot_slice(tensor(spark, sf_dir), [0, 1, 2, 3])
     return out.select("swath", "rt_window", "i", "j", *[F.col(str(k)).alias(f"k{k}") for k in range(4)])
 
@@ -297,8 +298,14 @@ FIT_SQL = "fit AS (SELECT cells.*, sum(fa.value * fb.value * fc.value) AS fit FR
 _GRAM_SQL = "g{0} AS (SELECT x.swath, x.rt_window, x.comp AS r, y.comp AS s, sum(x.value * y.value) AS value FROM f{0} x JOIN f{0} y ON x.swath = y.swath AND x.rt_window = y.rt_window AND x.idx = y.idx GROUP BY ALL)"
 
 
-def _factors(spark, sf_dir):
-    return tuple(views.factor(spark, sf_dir, axis) for axis in "ijk")
+def _factors(spark, sf_dir, cells=None):
+    cells = boundary(views.cells(spark, sf_dir), "cells") if cells is None else cells
+    return tuple(views.factor(spark, sf_dir, axis, cells) for axis in "ijk")
+
+
+def _tensor_and_factors(spark, sf_dir):
+    cells = boundary(views.cells(spark, sf_dir), "cells")
+    return cells, *_factors(spark, sf_dir, cells)
 
 
 _SLICE = tuple(slices.SLICE)
@@ -306,8 +313,8 @@ _SLICE = tuple(slices.SLICE)
 
 @query(with_(*FACTORS_SQL) + "SELECT cells.swath, cells.rt_window, i, fb.comp, round(sum(v * fb.value * fc.value), 4) AS value FROM cells JOIN fb ON fb.swath = cells.swath AND fb.rt_window = cells.rt_window AND fb.idx = j JOIN fc ON fc.swath = cells.swath AND fc.rt_window = cells.rt_window AND fc.idx = k AND fc.comp = fb.comp GROUP BY ALL")
 def q24_mttkrp(spark, sf_dir):
-    _, b, c = _factors(spark, sf_dir)
-    return tensors.mttkrp(views.cells(spark, sf_dir), b, c, "i", "j", "k", _SLICE).withColumn("value", F.round("value", 4))
+    cells, _, b, c = _tensor_and_factors(spark, sf_dir)
+    return tensors.mttkrp(cells, b, c, "i", "j", "k", _SLICE).withColumn("value", F.round("value", 4))
 
 
 @query(with_(*FACTORS_SQL, _GRAM_SQL.format("b"), _GRAM_SQL.format("c")) + "SELECT swath, rt_window, r, s, round(gb.value * gc.value, 7) AS value FROM gb JOIN gc USING (swath, rt_window, r, s)")
@@ -319,7 +326,7 @@ def q25_gram_hadamard(spark, sf_dir):
 @query(with_(*FACTORS_SQL, FIT_SQL) + "SELECT swath, rt_window, i, j, k, round(fit, 8) AS fit, round(1 - sum((v - fit) * (v - fit)) OVER (PARTITION BY swath, rt_window) / sum(v * v) OVER (PARTITION BY swath, rt_window), 7) AS rsq FROM fit")
 def q26_kruskal_reconstruct(spark, sf_dir):
     """The fit of every observed cell, and R2 over the observed cells; q88 has R2 of whole tensors."""
-    fitted = tensors.reconstruct(views.cells(spark, sf_dir), *_factors(spark, sf_dir), _SLICE)
+    fitted = boundary(tensors.reconstruct(*_tensor_and_factors(spark, sf_dir), _SLICE), "fitted")
     return fitted.join(tensors.r_squared(fitted, _SLICE), list(_SLICE)).select(*_SLICE, "i", "j", "k", F.round("fit", 8).alias("fit"), F.round("rsq", 7).alias("rsq"))
 
 
@@ -329,8 +336,7 @@ _GRID = "gr AS (SELECT i.swath, i.rt_window, i.idx AS i, j.idx AS j, k.idx AS k
 @query(with_(*FACTORS_SQL, _GRID, FIT_SQL.replace("cells", "full_cells")) + "SELECT swath, rt_window, round(1 - sum((v - fit) * (v - fit)) / sum(v * v), 7) AS rsq FROM fit GROUP BY ALL")
 def q88_whole_tensor_rsq(spark, sf_dir):
     """R2 over all cells of a slice's axes, those that are not there as 0; the SQL builds the grid, the operator doesn't."""
-    cells = boundary(views.cells(spark, sf_dir), "cells")
-    return tensors.whole_r_squared(cells, *_factors(spark, sf_dir), _SLICE).withColumn("rsq", F.round("rsq", 7))
+    return tensors.whole_r_squared(*_tensor_and_factors(spark, sf_dir), _SLICE).withColumn("rsq", F.round("rsq", 7))
 
 
 def rounds_sql(n: int) -> tuple[list[str], list[str]]:
@@ -356,8 +362,9 @@ _ROUNDS, _LAST = rounds_sql(3)
 @query(with_(*FACTORS_SQL, *_ROUNDS) + " UNION ALL ".join(f"SELECT swath, rt_window, {m} AS mode, idx, comp, round(value, 5) AS value FROM {f}" for m, f in enumerate(_LAST)))
 def q89_decompose_rounds(spark, sf_dir):
     """Three rounds in blocks, from given factors."""
-    start = boundary(scalars.aligned([f.withColumn("mode", F.lit(m)) for m, f in enumerate(_factors(spark, sf_dir))]), "start")
-    out = block_cp.decompose_large(boundary(views.cells(spark, sf_dir), "cells"), RANK, max_iter=3, tol=0.0, start=start)
+    cells, *factors = _tensor_and_factors(spark, sf_dir)
+    start = boundary(scalars.aligned([f.withColumn("mode", F.lit(m)) for m, f in enumerate(factors)]), "start")
+    out = block_cp.decompose_large(cells, RANK, max_iter=3, tol=0.0, start=start)
     return out.select("swath", "rt_window", "mode", "idx", "comp", F.round("value", 5).alias("value"))
 
 
@@ -506,10 +513,11 @@ sc AS (SELECT pk.swath, pk.rt_window, v * 0.5 / fit AS scale FROM pk JOIN own ON
 
 @query(with_(*FACTORS_SQL, scan_fit_sql("SELECT DISTINCT swath, rt_window, 0 AS i0 FROM cells")) + "SELECT fs.swath, fs.rt_window, j, k, round(fit * scale, 5) AS intensity FROM fs JOIN sc USING (swath, rt_window)")
 def q43_scan_reconstruct(spark, sf_dir):
-    factors = boundary(scalars.aligned([f.withColumn("ncomp", F.lit(RANK)).withColumn("mode", F.lit(m)) for m, f in enumerate(_factors(spark, sf_dir))]), "factors")
+    cells, *factors = _tensor_and_factors(spark, sf_dir)
+    factors = boundary(scalars.aligned([f.withColumn("ncomp", F.lit(RANK)).withColumn("mode", F.lit(m)) for m, f in enumerate(factors)]), "factors")
     model = factors.select(*_SLICE, "ncomp").distinct()
     chosen = factors.where("mode = 0 AND comp < 3").select(*_SLICE, "ncomp", "comp").distinct()
-    out = models.reconstruct_scan(factors, views.cells(spark, sf_dir), chosen, model.withColumn("rsq", F.lit(0.5)), 0)
+    out = models.reconstruct_scan(factors, cells, chosen, model.withColumn("rsq", F.lit(0.5)), 0)
     return out.select(*_SLICE, "j", "k", F.round("intensity", 5).alias("intensity"))
 
 

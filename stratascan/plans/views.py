@@ -50,15 +50,15 @@ CELLS_SQL = """cells AS (SELECT CAST(l_suppkey AS INTEGER) AS swath, CAST(extrac
   CAST(l_linenumber - 1 AS INTEGER) AS j, CAST(round(l_discount * 100) AS INTEGER) AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"""
 
 
-def factor(spark: SparkSession, sf_dir: str, axis: str) -> DataFrame:
-    """(swath, rt_window, idx, comp, value): a vector for every place on an axis of every slice; each component is the mean size of a quarter of it."""
+def factor(spark: SparkSession, sf_dir: str, axis: str, places_of: DataFrame) -> DataFrame:
+    """(swath, rt_window, idx, comp, value): a vector for every place on an axis of every slice of cells ``places_of``; each component is the mean size of a quarter of it."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     width = F.floor(F.size("embedding") / RANK).cast("int")
     comps = F.explode(F.sequence(F.lit(0), F.lit(RANK - 1)))
     quarter = F.slice(F.col("embedding").cast("array<double>"), F.col("comp") * width + 1, width)
     parts = e.select("vec_id", "embedding", comps.alias("comp")).select("vec_id", "comp", (F.aggregate(quarter, F.lit(0.0), lambda s, x: s + F.abs(x)) / width).alias("value"))
     n = e.count()
-    places = cells(spark, sf_dir).select("swath", "rt_window", F.col(axis).alias("idx")).distinct()
+    places = places_of.select("swath", "rt_window", F.col(axis).alias("idx")).distinct()
     places = places.withColumn("vec_id", (F.col("swath").cast("long") * 31 + F.col("rt_window") * 7 + F.col("idx") + SHIFT[axis]) % F.lit(n))
     return places.join(parts, "vec_id").select("swath", "rt_window", "idx", "comp", "value")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -62,16 +62,25 @@ def read_mzml_spectra(spark: SparkSession, path: str) -> DataFrame:
 
     Spectra without a scan time, MS2 spectra without a precursor, spectra without an m/z array and those of other levels are left out.
     """
+    return _decoded(_whole(_raw_spectra(spark, path)))
+
+
+def _whole(spectra: DataFrame) -> DataFrame:
+    return spectra.where("rt IS NOT NULL AND m IS NOT NULL AND level IN (1, 2) AND (level = 1 OR prec_mz IS NOT NULL)")
+
+
+def _decoded(spectra: DataFrame) -> DataFrame:
     decoded = lambda a: decode_binary(a["binary"], F.when(_has(a["cvParam"], BITS_32), 32).otherwise(64), _has(a["cvParam"], ZLIB))
-    rows = _raw_spectra(spark, path).where("rt IS NOT NULL AND m IS NOT NULL AND level IN (1, 2) AND (level = 1 OR prec_mz IS NOT NULL)")
-    return rows.withColumn("mz", decoded(F.col("m"))).withColumn("intensity", decoded(F.col("i"))).drop("m", "i")
+    return spectra.withColumn("mz", decoded(F.col("m"))).withColumn("intensity", decoded(F.col("i"))).drop("m", "i")
 
 
 def spectrum_problems(spark: SparkSession, path: str) -> DataFrame:
     """(file, processed, problematic): spectra, and what they lack of level, scan time and m/z array; the array of one without a time is not looked for."""
-    no_time = F.col("rt").isNull()
-    lacks = F.col("level").isNull().cast("int") + F.when(no_time, 1).otherwise(F.col("m").isNull().cast("int"))
-    return _raw_spectra(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("processed"), F.sum(lacks).alias("problematic"))
+    return _raw_spectra(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("processed"), F.sum(_lacks()).alias("problematic"))
+
+
+def _lacks() -> Column:
+    return F.col("level").isNull().cast("int") + F.when(F.col("rt").isNull(), 1).otherwise(F.col("m").isNull().cast("int"))
 
 
 def mzml_windows(spectra: DataFrame) -> DataFrame:
@@ -80,10 +89,18 @@ def mzml_windows(spectra: DataFrame) -> DataFrame:
     return rows.select((F.col("target") - F.col("lower_offset")).alias("start"), (F.col("target") + F.col("upper_offset")).alias("end")).distinct()
 
 
-def read_mzml(spark: SparkSession, path: str, windows: DataFrame | None = None, min_intensity: float = 0.0, bin_width: float = 25.0) -> DataFrame:
-    """The scan map of mzML files: a row per peak with its isolation window. Weak MS2 peaks and peaks outside all windows are left out."""
-    spectra = read_mzml_spectra(spark, path)
-    windows = mzml_windows(spectra) if windows is None else windows
+def read_mzml(spark: SparkSession, path: str, windows: DataFrame | None = None, min_intensity: float = 0.0, bin_width: float = 25.0, counts: Observation | None = None) -> DataFrame:
+    """The scan map of mzML files: a row per peak with its isolation window. Weak MS2 peaks and peaks outside all windows are left out.
+
+    Files are parsed once: their spectra are written, still encoded, as windows and points are both taken from them. ``counts`` gets the numbers of processed and problematic spectra of all
+    files in passing.
+    """
+    raw = _raw_spectra(spark, path)
+    if counts is not None:
+        raw = raw.observe(counts, F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum(_lacks()), F.lit(0)).alias("problematic"))
+    raw = boundary(_whole(raw), "spectra")
+    windows = mzml_windows(raw) if windows is None else windows
+    spectra = _decoded(raw)
     points = spectra.select("file", "spectrum_index", "level", F.bround("rt", 4).alias("rt"), "prec_mz", F.inline(F.arrays_zip("mz", "intensity")))
     points = points.withColumn("mz", F.bround("mz", 10)).withColumn("intensity", F.bround("intensity", 8))
     points = points.where(~((F.col("level") == 2) & (F.col("intensity") < min_intensity)))
