@@ -51,59 +51,89 @@ def _wavelet(points: int, a: float) -> np.ndarray:
     return 2 / (np.sqrt(3 * a) * np.pi**0.25) * (1 - u) * np.exp(-u / 2)
 
 
-def _transform(profile: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    rows = []
-    for a in widths:
-        kernel = _wavelet(min(10 * int(a), len(profile)), float(a))
-        rows.append(np.convolve(profile, kernel[::-1], mode="same"))
-    return np.array(rows)
-
-
-def _ridges(maxima: np.ndarray, widths: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Lines of maxima over scales, from the widest down; a line ends after gaps in more than one scale."""
-    lines: list[list[tuple[int, int]]] = []
-    live: list[tuple[list[tuple[int, int]], int]] = []
-    for row in range(len(widths) - 1, -1, -1):
-        columns, taken, following = np.flatnonzero(maxima[row]).tolist(), set(), []
-        for line, gap in live:
-            reach = max(1, int(widths[row]) // 4 + 1)
-            near = sorted((abs(c - line[-1][1]), c) for c in columns if c not in taken and abs(c - line[-1][1]) <= reach)
-            if near:
-                taken.add(near[0][1])
-                line.append((row, near[0][1]))
-                following.append((line, 0))
-            elif gap < 1:
-                following.append((line, gap + 1))
-        for c in columns:
-            if c not in taken:
-                line = [(row, c)]
-                lines.append(line)
-                following.append((line, 0))
-        live = following
-    return lines
-
-
-def count_peaks(width: float, profile: np.ndarray, floor: float = 0.1, snr: float = 1.0) -> int:
-    """Peaks of a profile, by ridge lines of its wavelet transform (Du, Kibbe and Lin, 2006); values up to a tenth of the maximum count as zero."""
-    x = np.asarray(profile, float)
-    if not len(x) or not np.isfinite(x).all() or x.max() <= 0:
-        return 0
-    x = np.where(x <= floor * x.max(), 0.0, x)
-    pad = np.pad(x, 1)
+def _transform(profiles: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """(profiles, scales, places): convolutions with the wavelet of each scale, all profiles at once, tap by tap."""
+    n, size = profiles.shape
+    out = np.zeros((n, len(widths), size))
+    for row, a in enumerate(widths):
+        kernel = _wavelet(min(10 * int(a), size), float(a))
+        before = len(kernel) - 1 - (len(kernel) - 1) // 2
+        wide = np.pad(profiles, ((0, 0), (before, len(kernel) - 1 - before)))
+        for tap, weight in enumerate(kernel):
+            out[:, row] += wide[:, tap : tap + size] * weight
+    return out
+
+
+class _Ridges:
+    """Lines of maxima over scales, from the widest down, of many profiles at once. A line takes the nearest maximum within reach that no older line took, and ends after gaps in more than one scale.
+    Lines of a profile are numbered in the order they begin."""
+
+    def __init__(self, profiles: int) -> None:
+        self.count = np.zeros(profiles, int)
+        self.row, self.column, self.length, self.gap = (np.zeros((profiles, 0), int) for _ in range(4))
+
+    def scale(self, row: int, maxima: np.ndarray, reach: int) -> None:
+        free, size = maxima.copy(), maxima.shape[1]
+        for line in range(self.row.shape[1]):
+            live = np.flatnonzero((line < self.count) & (self.gap[:, line] <= 1))
+            last, taken = self.column[live, line], np.full(len(live), -1)
+            for d in range(reach + 1):
+                for at in (last - d, last + d) if d else (last,):
+                    ok = (taken < 0) & (at >= 0) & (at < size)
+                    ok[ok] = free[live[ok], at[ok]]
+                    taken[ok] = at[ok]
+            has = taken >= 0
+            on = live[has]
+            free[on, taken[has]] = False
+            self.row[on, line], self.column[on, line], self.gap[on, line] = row, taken[has], 0
+            self.length[on, line] += 1
+            self.gap[live[~has], line] += 1
+        of, column = np.nonzero(free)  # the rest begin lines, in order of place
+        new = free.sum(axis=1)
+        line = self.count[of] + np.arange(len(of)) - np.repeat(np.cumsum(new) - new, new)
+        self.count += new
+        grow = max(0, int(self.count.max(initial=0)) - self.row.shape[1])
+        self.row, self.column, self.length, self.gap = (np.pad(x, ((0, 0), (0, grow))) for x in (self.row, self.column, self.length, self.gap))
+        self.row[of, line], self.column[of, line], self.length[of, line] = row, column, 1
+
+
+def count_peaks_of(width: float, profiles: np.ndarray, floor: float = 0.1, snr: float = 1.0) -> np.ndarray:
+    """Peaks of profiles of equal length, by ridge lines of their wavelet transforms (Du, Kibbe and Lin, 2006); values up to a tenth of a profile's maximum count as zero."""
+    x = np.asarray(profiles, float)
+    out = np.zeros(len(x), int)
+    fine = np.flatnonzero(np.isfinite(x).all(axis=1) & (x.max(axis=1, initial=-np.inf) > 0))
+    if not len(fine):
+        return out
+    x = x[fine]
+    pad = np.pad(np.where(x <= floor * x.max(axis=1, keepdims=True), 0.0, x), ((0, 0), (1, 1)))
     widths = widths_up_to(width)
     cwt = _transform(pad, widths)
-    left, right = np.pad(cwt, ((0, 0), (1, 0)))[:, :-1], np.pad(cwt, ((0, 0), (0, 1)))[:, 1:]
+    left, right = np.pad(cwt, ((0, 0), (0, 0), (1, 0)))[:, :, :-1], np.pad(cwt, ((0, 0), (0, 0), (0, 1)))[:, :, 1:]
     maxima = (cwt > left) & (cwt >= right) & (cwt > 0)
+    ridges = _Ridges(len(x))
+    for row in range(len(widths) - 1, -1, -1):
+        ridges.scale(row, maxima[:, row], max(1, int(widths[row]) // 4 + 1))
     # noise about a place: a low percentile of the finest scale in a window of a twentieth of the profile
-    half, odd = divmod(int(np.ceil(len(pad) / 20)), 2)
-    noise = lambda c: np.percentile(cwt[0][max(c - half, 0) : min(c + half + odd, len(pad))], 10)
-    least = max(1, int(np.ceil(len(widths) / 4)))
-    found = set()
-    for line in _ridges(maxima, widths):
-        row, column = min(line)
-        if len(line) >= least and abs(cwt[row, column]) >= snr * abs(noise(column)) and pad[max(0, column - 1) : column + 2].max() > 0:
-            found.add(column)
-    return len(found)
+    size = pad.shape[1]
+    half, odd = divmod(int(np.ceil(size / 20)), 2)
+    noise = np.stack([np.percentile(cwt[:, 0, max(c - half, 0) : min(c + half + odd, size)], 10, axis=1) for c in range(size)], axis=1)
+    about = np.maximum(pad, np.maximum(np.pad(pad, ((0, 0), (1, 0)))[:, :-1], np.pad(pad, ((0, 0), (0, 1)))[:, 1:]))
+    of, line = np.nonzero(ridges.length >= max(1, int(np.ceil(len(widths) / 4))))
+    row, column = ridges.row[of, line], ridges.column[of, line]
+    good = (np.abs(cwt[of, row, column]) >= snr * np.abs(noise[of, column])) & (about[of, column] > 0)
+    found = np.zeros(pad.shape, bool)
+    found[of[good], column[good]] = True
+    out[fine] = found.sum(axis=1)
+    return out
+
+
+def count_peaks(width: float, profile: np.ndarray, floor: float = 0.1, snr: float = 1.0) -> int:
+    """Peaks of one profile; see :func:`count_peaks_of`."""
+    return int(count_peaks_of(width, np.asarray(profile, float)[None, :], floor, snr)[0])
+
+
+#: Values of profiles that are looked at together.
+PROFILE_VALUES = 200_000
 
 
 def peak_counts(time_mode: DataFrame, fwhm_sec: float, window_sec: float, keys: list[str]) -> DataFrame:
@@ -111,7 +141,13 @@ def peak_counts(time_mode: DataFrame, fwhm_sec: float, window_sec: float, keys:
 
     @F.pandas_udf("int")
     def counted(profiles: pd.Series) -> pd.Series:
-        return profiles.map(lambda p: count_peaks(len(p) * fwhm_sec / window_sec, np.asarray(p)))
+        sizes, out = profiles.map(len), pd.Series(0, profiles.index)
+        for size, own in profiles.groupby(sizes):
+            step = max(1, PROFILE_VALUES // max(1, size))
+            for at in range(0, len(own) if size else 0, step):
+                part = own.iloc[at : at + step]
+                out[part.index] = count_peaks_of(size * fwhm_sec / window_sec, np.stack(part.to_list()))
+        return out
 
     lines = time_mode.groupBy(*keys, "comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"]).alias("profile"))
     return lines.select(*keys, "comp", counted("profile").alias("npeaks"))

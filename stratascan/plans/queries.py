@@ -555,6 +555,15 @@ def q47_peak_count(spark, sf_dir):
     return models.peak_counts(line, 4.0, 64.0, ["vec_id"])
 
 
+@query("SELECT p_partkey AS part, 0 AS comp, CAST(p_size % 5 AS INTEGER) AS npeaks FROM part")
+def q93_isolated_peaks(spark, sf_dir):
+    """Profiles of as many triangles of different heights as a part's size says, apart from each other."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(79))).alias("idx"))
+    value = sum(F.when(F.col("n") > k, F.greatest(F.lit(0), 5 - F.abs(F.col("idx") - 10 - 16 * k)) * (1 + k % 3)).otherwise(0) for k in range(4))
+    lines = rows.select(F.col("p_partkey").alias("part"), F.lit(0).alias("comp"), "idx", value.cast("double").alias("value"))
+    return models.peak_counts(lines, 4.0, 80.0, ["part"])
+
+
 @query()
 def q48_peaks_base64(spark, sf_dir):
     """Every order's spectrum as encoded peaks."""

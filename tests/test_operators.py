@@ -366,6 +366,52 @@ def test_whole_r_squared_counts_cells_that_are_not_there(spark):
     assert tensors.whole_r_squared(cells, *tables).first().rsq == pytest.approx(want)
 
 
+def plain_peaks(width, profile, floor=0.1):
+    """Peaks of one profile, scale by scale and line by line."""
+    x = np.asarray(profile, float)
+    if not len(x) or not np.isfinite(x).all() or x.max() <= 0:
+        return 0
+    pad = np.pad(np.where(x <= floor * x.max(), 0.0, x), 1)
+    widths = models.widths_up_to(width)
+    cwt = np.array([np.convolve(pad, models._wavelet(min(10 * int(a), len(pad)), float(a))[::-1], mode="same") for a in widths])
+    near = lambda r, c: cwt[r, c] if 0 <= c < len(pad) else 0.0
+    lines = []
+    for row in range(len(widths) - 1, -1, -1):
+        columns = [c for c in range(len(pad)) if cwt[row, c] > near(row, c - 1) and cwt[row, c] >= near(row, c + 1) and cwt[row, c] > 0]
+        for line in (x for x in lines if x["gap"] <= 1):
+            reach = max(1, int(widths[row]) // 4 + 1)
+            own = min(((abs(c - line["at"][1]), c) for c in columns if abs(c - line["at"][1]) <= reach), default=None)
+            if own:
+                columns.remove(own[1])
+                line.update(at=(row, own[1]), gap=0, n=line["n"] + 1)
+            else:
+                line["gap"] += 1
+        lines += [{"at": (row, c), "gap": 0, "n": 1} for c in columns]
+    half, odd = divmod(int(np.ceil(len(pad) / 20)), 2)
+    found = set()
+    for line in lines:
+        row, c = line["at"]
+        noise = np.percentile(cwt[0][max(c - half, 0) : min(c + half + odd, len(pad))], 10)
+        if line["n"] >= max(1, int(np.ceil(len(widths) / 4))) and abs(cwt[row, c]) >= abs(noise) and pad[max(0, c - 1) : c + 2].max() > 0:
+            found.add(c)
+    return len(found)
+
+
+def test_peaks_of_many_profiles_at_once():
+    rng = np.random.default_rng(12)
+    total = 0
+    for size, width in ((1, 1.0), (2, 3.0), (7, 1.4), (30, 3.0), (64, 4.0), (64, 9.5), (150, 12.0)):
+        t = np.arange(size)
+        rows = [sum((rng.random() * np.exp(-(((t - rng.random() * size) / (1 + 3 * rng.random())) ** 2)) for _ in range(rng.integers(1, 6))), 0.05 * rng.random(size) * (n % 3)) for n in range(60)]
+        rows = np.array([*rows, np.zeros(size), np.full(size, np.nan), -np.ones(size), rng.random(size)])
+        got = models.count_peaks_of(width, rows)
+        want = [plain_peaks(width, r) for r in rows]
+        assert got.tolist() == want
+        assert [models.count_peaks(width, r) for r in rows[:5]] == want[:5]
+        total += sum(want)
+    assert total > 500
+
+
 def test_peaks_of_a_noisy_profile_by_the_noise_about_them():
     """A small peak in a quiet stretch counts, whatever the noise elsewhere is."""
     t = np.arange(200)
