@@ -203,6 +203,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return rows.select(*[cut.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
+def dealt(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, taken, shards) of every document: where the draws put each copy that the mix takes, as (shard, block, place, copy, words) in order."""
+    pieces = mix(docs, **options)
+    piece = F.when(F.col("shard").isNotNull() & (F.col("words") > 0), F.struct("shard", "block", "place", "copy", "words"))
+    out = pieces.groupBy("source_no", "run", "row_no").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.array_sort(F.collect_list(piece)).alias("shards"))
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    return out.select("doc_id", "source", "size", taken.alias("taken"), "shards")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, repeats counted."""
     pieces = mix(table(spark, sf_dir, "documents"))

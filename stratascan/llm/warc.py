@@ -35,8 +35,8 @@ FIELDS = {
 #: A gzip member without content; ends every archive file.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 
-#: Compressed bytes after which a file is closed, and records after which it is closed too.
-FILE_BYTES, FILE_RECORDS = 4 << 20, 5000
+#: Compressed bytes, bytes of content and records after any of which a file is closed; readers hold a file's content.
+FILE_BYTES, FILE_CONTENT, FILE_RECORDS = 4 << 20, 32 << 20, 5000
 #: Archives in a task that converts them.
 TASK_FILES = 12
 LEVEL = 1
@@ -124,7 +124,7 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, serial, parts, size, records = TaskContext.get().partitionId(), 0, [], 0, 0
+        part, serial, parts, size, content, records = TaskContext.get().partitionId(), 0, [], 0, 0, 0
         out = lambda x: pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary())], ["content"])
         for b in batches:
             for page_id, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -137,10 +137,11 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n{mark}\r\n".encode()
                 parts.append(member(arc_record(version, name, size, url, date, head + html)))
                 size += len(parts[-1])
+                content += len(head) + len(html)
                 records += 1
-                if size >= FILE_BYTES or records >= FILE_RECORDS:
+                if size >= FILE_BYTES or content >= FILE_CONTENT or records >= FILE_RECORDS:
                     yield out(parts)
-                    parts, serial, records = [], serial + 1, 0
+                    parts, serial, content, records = [], serial + 1, 0, 0
         if parts:
             yield out(parts)
 

@@ -231,3 +231,28 @@ def test_the_cut_document_keeps_its_white_space(spark):
     got = mixing.mixed_documents(frame(spark, texts, ["a"] * 30 + ["b"] * 5 + ["c"] * 5)).collect()
     cut = [r for r in got if r.text != texts[r.doc_id]]
     assert cut and all(texts[r.doc_id].startswith(r.text) and texts[r.doc_id][len(r.text)] in " \t\n" for r in cut)
+
+
+def test_where_the_draws_put_documents(spark):
+    """Against a plain walk down the tree; another seed deals other blocks, and as many words."""
+    texts = [prose(20 + i % 50, i) for i in range(300)]
+    docs = frame(spark, texts, ["abcd"[i % 4] for i in range(300)])
+    options = {"block_words": 64, "shard_blocks": 4}
+    by_seed = {}
+    for seed in (11, 12):
+        rows = mixing.dealt(docs, seed=seed, **options).collect()
+        pieces = [(r.source, p.block, p.shard, p.place, p.words) for r in rows for p in r.shards]
+        by_seed[seed] = {(r.doc_id, p.copy): p.shard for r in rows for p in r.shards}
+        sources = mixing.targets(spark.createDataFrame([(s, sum(r["size"] for r in rows if r.source == s)) for s in "abcd"], "source string, source_size long"))
+        blocks = {r.source: -(-round(r.target) // 64) for r in sources.orderBy("source").collect()}
+        own = np.array([blocks[s] for s in "abcd"])
+        shards = max(1, -(-int(own.sum()) // 4))
+        want = {}
+        for shard, first, n in mixing.walk(np.array([own.sum()]), 0, own, shards, 0, shards, seed):
+            for s, a, k in zip("abcd", first, n, strict=True):
+                want |= {(s, int(b)): shard for b in range(a, a + k)}
+        assert len(want) == own.sum() and max(np.bincount(list(want.values()))) <= 4
+        assert all(want[s, b] == shard for s, b, shard, _, _ in pieces)
+        assert abs(sum(p[4] for p in pieces) - sum(r["size"] for r in rows)) <= 4
+        assert len({(p[2], p[3]) for p in pieces}) == len(pieces)
+    assert len(set(by_seed[11].values())) > 10 and by_seed[11] != by_seed[12]

@@ -60,6 +60,14 @@ def test_members_of_any_size_are_read():
         warc.gunzip(data[:-3])
 
 
+def test_archives_are_closed_by_what_they_hold_unpacked(spark, monkeypatch):
+    """Pages that pack a thousand to one: no archive holds more than the bound and a page."""
+    monkeypatch.setattr(warc, "FILE_CONTENT", 3_000_000)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * 1_000_000, "f", 1) for i in range(20)], PAGE).coalesce(1)
+    sizes = [len(warc.gunzip(bytes(r.content))) for r in warc.pages_to_arc(pages).collect()]
+    assert sum(sizes) > 20_000_000 and max(sizes) < 4_100_000 and len(sizes) == 7
+
+
 def test_damage_is_noticed():
     record = warc.warc_record("response", "<x>", "2020-01-01T00:00:00Z", "text/plain", b"abc", {})
     assert [b for _, b in warc.parse_warc(record)] == [b"abc"]
