@@ -12,7 +12,7 @@ and so is how many rows the ascent meets before each of them; the number kept is
 have neighbours that are hardly nearer than other rows, so that a large part of the rows is scored; where neighbours are near it is a few.
 
 The index is cut into shards of ``SHARD_ROWS`` rows with a forest each. A query asks every shard for its part of the number and the best of
-all shards are its result, so no task holds more than a shard and a block of ``QUERY_ROWS`` queries. A block of queries meets each shard once.
+all shards are its result. A shard's rows come to its task first, and its forest is built once; then all queries pass by, some at a time, so no task holds more than a shard.
 
 Equal vectors are one row of the index, with their smallest ids, as many as a result can hold. Vectors that are null, zero or hold null or
 non-finite components take no part, nor do null ids or vectors of another length than the most common one. A repeated id with the same
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stratascan.llm.common import materialize, table
+from stratascan.llm.common import materialize, shuffle_partitions, table
 
 TREES = 128
 BITS = 32
@@ -40,7 +40,6 @@ NEAREST = 20
 PROBES = 64
 RECALL = 0.95
 SHARD_ROWS = 16384
-QUERY_ROWS = 32768
 SEED = 17
 #: Rows hashed at a time.
 _STEP = 2048
@@ -192,6 +191,40 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(common), F.size("v") == F.col("d")).drop("d")
 
 
+class Shard:
+    """Rows of a shard as they come, and their forest from the first question on."""
+
+    def __init__(self, dim: int, norm: float) -> None:
+        self.dim, self.norm, self.parts, self.ids, self.forest = dim, norm, [], [], None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.parts.append(_matrix(rows.column("v")))
+        self.ids += rows.column("ids").to_pylist()
+
+    @property
+    def size(self) -> int:
+        return len(self.ids)
+
+    def nearest(self, asking: list[int], q: np.ndarray, k: int, want: int) -> list[tuple[int, int, float]]:
+        """(query, vec_id, score) of the best found for each query, scored on the original vectors."""
+        if not self.ids:
+            return []
+        if self.forest is None:
+            self.x, self.parts = np.concatenate(self.parts), []
+            self.forest = Forest(self.dim)
+            self.forest.build(lift(self.x, self.norm))
+            self.first = np.array([i[0] for i in self.ids])
+            self.place = {row.tobytes(): i for i, row in enumerate(self.x)}
+        out = []
+        own = np.array([self.place.get(row.tobytes(), -1) for row in q])
+        for query_id, vector, met in zip(asking, q, self.forest.candidates(self.forest.strings(aim(q)), own, want), strict=True):
+            met = met[likely(self.x[met] @ vector, k + 1, self.norm * np.linalg.norm(vector))]
+            scores = exact_scores(vector, self.x[met])
+            near = [(-scores[b], i) for b in top(self.first[met], scores, k + 1) for i in self.ids[met[b]] if i != query_id]
+            out += [(query_id, i, -s) for s, i in sorted(near)[:k]]
+        return out
+
+
 class Index(NamedTuple):
     """Distinct vectors (v, ids), their number, largest norm and length, and how many of them a query meets."""
 
@@ -222,33 +255,40 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEAREST, recall: float
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, n, norm, dim, meets = found
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
-    key = F.col("ids")[0]
-    left = index.select(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "ids", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("part"), "vec_id", "v")
-
-    def run(some: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if some.num_rows and asked.num_rows:
-            x, ids = _matrix(some.column("v")), some.column("ids").to_pylist()
-            forest = Forest(dim)
-            forest.build(lift(x, norm))
-            first = np.array([i[0] for i in ids])
-            held = {row.tobytes(): i for i, row in enumerate(x)}
-            asking = asked.column("vec_id").to_pylist()
-            for at in range(0, len(asking), _STEP):
-                q = _matrix(asked.column("v").slice(at, _STEP))
-                own = np.array([held.get(row.tobytes(), -1) for row in q])
-                for query_id, vector, met in zip(asking[at : at + _STEP], q, forest.candidates(forest.strings(aim(q)), own, -(-meets * len(x) // n)), strict=True):
-                    met = met[likely(x[met] @ vector, k + 1, norm * np.linalg.norm(vector))]
-                    scores = exact_scores(vector, x[met])
-                    best = top(first[met], scores, k + 1)
-                    near = [(-scores[b], i) for b in best for i in ids[met[b]] if i != query_id]
-                    out += [(query_id, i, -s) for s, i in sorted(near)[:k]]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-    best = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
+    shards = max(1, -(-n // SHARD_ROWS))
+    left = index.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).alias("shard"), F.lit(0).alias("asks"), "ids", "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("asks"), F.array("vec_id").alias("ids"), "v")
+
+    def answers(shard: Shard, asked: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(asked)
+        found = shard.nearest([i[0] for i in part.column("ids").to_pylist()], _matrix(part.column("v")), k, -(-meets * shard.size // n))
+        columns = list(zip(*found, strict=True)) if found else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own, asked = None, None, []
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in ("shard", "asks")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), b.num_rows]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if own != keys[0, i]:
+                    if asked:
+                        yield answers(shard, asked)
+                    shard, own, asked = Shard(dim, norm), keys[0, i], []
+                if keys[1, i] == 0:
+                    shard.add(b.slice(i, j - i))
+                else:
+                    asked.append(b.slice(i, j - i))
+                    if sum(map(len, asked)) >= _STEP:
+                        yield answers(shard, asked)
+                        asked = []
+        if asked:
+            yield answers(shard, asked)
+
+    rows = left.unionByName(right).repartition(max(shards, shuffle_partitions(vectors.sparkSession)), "shard").sortWithinPartitions("shard", "asks")
+    best = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranks = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

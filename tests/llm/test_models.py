@@ -89,7 +89,7 @@ def test_near_neighbours_need_few_rows_and_queries_cross_shards(spark, monkeypat
     frame_of = vectors(spark, rows)
     assert ann.met_share(frame_of) < 0.15
     monkeypatch.setattr(ann, "SHARD_ROWS", 400)
-    monkeypatch.setattr(ann, "QUERY_ROWS", 30)
+    monkeypatch.setattr(ann, "_STEP", 30)
     got = {(r.query_id, r.vec_id) for r in ann.search(frame_of).collect()}
     want = {(q, v[0]) for (q, _), v in nearest(rows).items()}
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
