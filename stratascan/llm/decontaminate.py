@@ -236,3 +236,16 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(l[i : i + n - 1], ' ') AS win FROM (SELECT item_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM (SELECT *, least(10, len(l)) AS n FROM b) WHERE n > 0)),
+dw AS (SELECT doc_id, i, n, array_to_string(l[i : i + n - 1], ' ') AS win FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM iw) WHERE len(l) >= n)),
+h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN iw USING (n, win)),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -25,4 +25,5 @@ SQL = {
     "op7_arc_to_warc": warc.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op10_backoff_score": lm_score.OP10_SQL,
+    "op12_decontaminate": decontaminate.OP12_SQL,
 }
