@@ -29,7 +29,7 @@ _FACTOR = "swath int, rt_window int, mode int, b int, f array<double>, g array<d
 def blocks_of(cells: DataFrame) -> DataFrame:
     """(slice, bi, bj, bk, i, j, k, v): a block's cells as arrays, places from the block's beginning; a cell comes once."""
     within = [F.pmod(a, F.lit(EDGE)).cast("int").alias(a) for a in AXES]
-    rows = cells.select(*SLICE, *[F.floor(F.col(a) / EDGE).cast("int").alias(f"b{a}") for a in AXES], F.struct(*within, F.col("v").cast("double").alias("v")).alias("c"))
+    rows = cells.select(*SLICE, *[F.floor(F.col(a) / EDGE).cast("int").alias(f"b{a}") for a in AXES], F.struct(*within, F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v")).alias("c"))
     held = rows.groupBy(*SLICE, "bi", "bj", "bk").agg(F.collect_list("c").alias("c"))
     return boundary(held.select(*SLICE, "bi", "bj", "bk", *[F.col("c")[x].alias(x) for x in (*AXES, "v")]), "block-cells")
 
@@ -39,7 +39,7 @@ def _factor_rows(rows: list[tuple]) -> pa.RecordBatch:
     ints = [pa.array([int(r[c]) for r in rows], pa.int32()) for c in range(4)]
     longs = pa.list_(pa.float64())
     f, g = [r[4].ravel() for r in rows], [(r[4].T @ r[4]).ravel() for r in rows]
-    return pa.RecordBatch.from_arrays([*ints, pa.array(f, longs), pa.array(g, longs), pa.array([float(r[5]) for r in rows])], ["swath", "rt_window", "mode", "b", "f", "g", "cross"])
+    return pa.RecordBatch.from_arrays([*ints, pa.array(f, longs), pa.array(g, longs), pa.array([float(r[5]) for r in rows], pa.float64())], ["swath", "rt_window", "mode", "b", "f", "g", "cross"])
 
 
 def drawn(cells: DataFrame, ncomp: int, seed: int) -> DataFrame:
@@ -60,7 +60,7 @@ def drawn(cells: DataFrame, ncomp: int, seed: int) -> DataFrame:
 
 
 def from_table(start: DataFrame, ncomp: int) -> DataFrame:
-    """Factors (slice, mode, idx, comp, value) as blocks; values that are not there are 0."""
+    """Factors (slice, mode, idx, comp, value) as blocks; values that are not there, or null, are 0 and stay 0."""
     rows = start.groupBy(*SLICE, "mode", F.floor(F.col("idx") / EDGE).cast("int").alias("b")).agg(F.collect_list(F.struct("idx", "comp", "value")).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def from_table(start: DataFrame, ncomp: int) -> DataFrame:
             for r in batch.to_pylist():
                 x = np.zeros((max(c["idx"] for c in r["c"]) % EDGE + 1, ncomp))
                 for c in r["c"]:
-                    x[c["idx"] % EDGE, c["comp"]] = c["value"]
+                    x[c["idx"] % EDGE, c["comp"]] = 0.0 if c["value"] is None else c["value"]
                 yield _factor_rows([(r["swath"], r["rt_window"], r["mode"], r["b"], x, 0.0)])
 
     return rows.mapInArrow(run, _FACTOR)
@@ -82,6 +82,11 @@ def products(blocks: DataFrame, factors: DataFrame, mode: int, ncomp: int) -> Da
         sent = sent.join(factors.where(F.col("mode") == m).select(*SLICE, F.col("b").alias(f"b{AXES[m]}"), F.col("f").alias(side)), [*SLICE, f"b{AXES[m]}"])
     rows = blocks.join(sent, [*SLICE, "bi", "bj", "bk"]).select(*SLICE, F.col(f"b{AXES[mode]}").alias("b"), F.col(AXES[mode]).alias("own"), F.col(AXES[p]).alias("p"), F.col(AXES[q]).alias("q"), "v", "fp", "fq")
 
+    def at_places(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of a block of factors; one that ends before a place has 0 there."""
+        f = f.reshape(-1, ncomp)
+        return np.where((at < len(f))[:, None], f[np.minimum(at, len(f) - 1)], 0.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, int], np.ndarray] = {}
 
@@ -93,7 +98,7 @@ def products(blocks: DataFrame, factors: DataFrame, mode: int, ncomp: int) -> Da
             keys = list(zip(*(batch.column(c).to_pylist() for c in (*SLICE, "b")), strict=True))
             for n, key in enumerate(keys):
                 own, at_p, at_q, v, fp, fq = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in ("own", "p", "q", "v", "fp", "fq"))
-                terms = v[:, None] * fp.reshape(-1, ncomp)[at_p] * fq.reshape(-1, ncomp)[at_q]
+                terms = v[:, None] * at_places(fp, at_p) * at_places(fq, at_q)
                 total = held.setdefault(key, np.zeros((EDGE, ncomp)))
                 for r in range(ncomp):
                     total[:, r] += np.bincount(own, terms[:, r], EDGE)
@@ -148,7 +153,7 @@ def errors_of(factors: DataFrame, norms: DataFrame) -> DataFrame:
 def decompose_large(cells: DataFrame, ncomp: int, max_iter: int = 2000, tol: float = 1e-7, seed: int = 123, start: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
     """What :func:`stratascan.operators.tensors.decompose` returns for one number of components, of slices of any size and from the same random start. Slices go through the same
     rounds; one whose error has settled takes no part in those that follow. Cells that are not there count as 0. ``start`` (slice, mode, idx, comp, value) are other factors to
-    begin with; ``done`` (slice, ncomp) names models to skip.
+    begin with, whose rows are the rows of the result; a null among them counts as 0 and stays null. ``done`` (slice, ncomp) names models to skip.
     """
     spark = cells.sparkSession
     if done is not None:
@@ -183,4 +188,8 @@ def decompose_large(cells: DataFrame, ncomp: int, max_iter: int = 2000, tol: flo
     values = rows.select(*SLICE, "mode", "b", "rsq", "iterations", F.posexplode("f").alias("at", "value"))
     idx, comp = F.col("b") * EDGE + F.floor(F.col("at") / ncomp), F.pmod("at", F.lit(ncomp))
     values = values.select(*SLICE, F.lit(ncomp).alias("ncomp"), "mode", idx.cast("int").alias("idx"), comp.cast("int").alias("comp"), "value", "rsq", "iterations")
-    return values.select(*MODEL)
+    if start is None:
+        return values.select(*MODEL)
+    place = [*SLICE, "mode", "idx", "comp"]  # a block also holds the places between those of the start
+    held = values.join(start.select(*place, F.col("value").isNotNull().alias("_held")), place)
+    return held.withColumn("value", F.when(F.col("_held"), F.col("value"))).select(*MODEL)

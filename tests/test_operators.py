@@ -325,6 +325,28 @@ def test_large_slices_are_decomposed_in_blocks(spark, monkeypatch, edge):
     assert drawn.count() == (3 + 4 + 5) * 3 and drawn.where("value < 0").count() == 0
 
 
+@pytest.mark.parametrize("edge", [2, 64])
+def test_blocks_return_the_places_of_their_start(spark, monkeypatch, edge):
+    """Places that the start lacks, between others and after them, have no rows and count as 0, as nulls do."""
+    monkeypatch.setattr(block_cp, "EDGE", edge)
+    rng = np.random.default_rng(11)
+    x, places = rng.random((3, 5, 6)), [[0, 1, 2], [0, 3], [1, 2, 4]]
+    factors = [np.zeros((n, 2)) for n in x.shape]
+    for f, own in zip(factors, places, strict=True):
+        f[own] = rng.random((len(own), 2)) + 0.1
+    factors[2][4, 1] = x[1, 3, 2] = 0.0  # null in the tables
+    value = lambda v: float(v) if v else None
+    cells = spark.createDataFrame([(1, 0, *map(int, at), value(v)) for at, v in np.ndenumerate(x)], "swath int, rt_window int, i int, j int, k int, v double")
+    rows = [(1, 0, m, i, r, value(factors[m][i, r])) for m, own in enumerate(places) for i in own for r in range(2)]
+    begun = spark.createDataFrame(rows, "swath int, rt_window int, mode int, idx int, comp int, value double")
+    got = {(r.mode, r.idx, r.comp): r.value for r in block_cp.decompose_large(cells, 2, max_iter=1, start=begun).collect()}
+    for mode, path in enumerate(("ijk,jr,kr->ir", "ijk,ir,kr->jr", "ijk,ir,jr->kr")):
+        a, b = (factors[m] for m in range(3) if m != mode)
+        factors[mode] = factors[mode] * np.maximum(np.einsum(path, x, a, b), 1e-11) / np.maximum(factors[mode] @ ((a.T @ a) * (b.T @ b)), 1e-11)
+    assert got.pop((2, 4, 1)) is None
+    assert got == pytest.approx({(m, i, r): factors[m][i, r] for m, own in enumerate(places) for i in own for r in range(2) if (m, i, r) != (2, 4, 1)}, rel=1e-9)
+
+
 def test_blocks_and_tasks_fit_the_same_models(spark, monkeypatch):
     """From the same random start, with rows of cells that are not there, and without models that are done."""
     monkeypatch.setattr(block_cp, "EDGE", 3)
