@@ -123,19 +123,23 @@ def updated(blocks: DataFrame, factors: DataFrame, mode: int, ncomp: int) -> Dat
     whole = grams(factors.where(F.col("mode") != mode))
     other = {m: whole.where(F.col("mode") == m).select(*SLICE, F.col("gram").alias(f"gram{m}")) for m in (p, q)}
     own = factors.where(F.col("mode") == mode).join(other[p], SLICE).join(other[q], SLICE).select(*SLICE, "b", "f", F.zip_with(f"gram{p}", f"gram{q}", lambda x, y: x * y).alias("gram"))
-    summed = products(blocks, factors, mode, ncomp)
-
-    def run(own: pa.Table, sums: pa.Table) -> pa.Table:
-        rows = []
-        for r in own.to_pylist():
-            f, gram = np.array(r["f"]).reshape(-1, ncomp), np.array(r["gram"]).reshape(ncomp, ncomp)
-            m = sum((np.array(x).reshape(EDGE, ncomp)[: len(f)] for x in sums.column("m").to_pylist()), np.zeros_like(f))
-            f = f * (np.maximum(m, FLOOR) / np.maximum(f @ gram, FLOOR))
-            rows.append((r["swath"], r["rt_window"], mode, r["b"], f, (m * f).sum()))
-        return pa.Table.from_batches([_factor_rows(rows)])
-
     key = [*SLICE, "b"]
-    new = own.groupBy(*key).cogroup(summed.groupBy(*key)).applyInArrow(run, _FACTOR)
+    zero = F.array_repeat(F.lit(0.0), EDGE * ncomp)
+    total = F.aggregate(F.collect_list("m"), zero, lambda s, m: F.zip_with(s, m, lambda x, y: x + y))
+    rows = own.join(products(blocks, factors, mode, ncomp).groupBy(*key).agg(total.alias("m")), key, "left").select(*key, "f", "gram", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, (swath, window, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in key), strict=True)):
+                f, gram = (batch.column(c)[n].values.to_numpy(zero_copy_only=False).reshape(-1, ncomp) for c in ("f", "gram"))
+                m = batch.column("m")[n].values  # none where the block has no cells
+                m = np.zeros_like(f) if m is None else m.to_numpy(zero_copy_only=False).reshape(EDGE, ncomp)[: len(f)]
+                f = f * (np.maximum(m, FLOOR) / np.maximum(f @ gram, FLOOR))
+                out.append((swath, window, mode, b, f, (m * f).sum()))
+            yield _factor_rows(out)
+
+    new = rows.mapInArrow(run, _FACTOR)
     return factors.where(F.col("mode") != mode).unionByName(new)
 
 
