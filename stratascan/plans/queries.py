@@ -326,8 +326,11 @@ def q25_gram_hadamard(spark, sf_dir):
 @query(with_(*FACTORS_SQL, FIT_SQL) + "SELECT swath, rt_window, i, j, k, round(fit, 8) AS fit, round(1 - sum((v - fit) * (v - fit)) OVER (PARTITION BY swath, rt_window) / sum(v * v) OVER (PARTITION BY swath, rt_window), 7) AS rsq FROM fit")
 def q26_kruskal_reconstruct(spark, sf_dir):
     """The fit of every observed cell, and R2 over the observed cells; q88 has R2 of whole tensors."""
-    fitted = boundary(tensors.reconstruct(*_tensor_and_factors(spark, sf_dir), _SLICE), "fitted")
-    return fitted.join(tensors.r_squared(fitted, _SLICE), list(_SLICE)).select(*_SLICE, "i", "j", "k", F.round("fit", 8).alias("fit"), F.round("rsq", 7).alias("rsq"))
+    blocks = boundary(tensors.in_blocks(views.cells(spark, sf_dir, by_slice=True), _SLICE), "blocks")
+    factors = [views.factor_vectors(spark, sf_dir, axis, tensors.places(blocks, axis, _SLICE)) for axis in "ijk"]
+    fitted = boundary(tensors.fitted_blocks(blocks, *factors, _SLICE), "fitted")
+    rsq = tensors.r_squared(tensors.out_of_blocks(fitted, _SLICE), _SLICE)
+    return tensors.out_of_blocks(fitted.join(rsq, list(_SLICE)), (*_SLICE, "rsq")).select(*_SLICE, "i", "j", "k", F.round("fit", 8).alias("fit"), F.round("rsq", 7).alias("rsq"))
 
 
 _GRID = "gr AS (SELECT i.swath, i.rt_window, i.idx AS i, j.idx AS j, k.idx AS k FROM (SELECT DISTINCT swath, rt_window, idx FROM fa) i JOIN (SELECT DISTINCT swath, rt_window, idx FROM fb) j USING (swath, rt_window) JOIN (SELECT DISTINCT swath, rt_window, idx FROM fc) k USING (swath, rt_window)), full_cells AS (SELECT gr.*, coalesce(v, 0) AS v FROM gr LEFT JOIN cells USING (swath, rt_window, i, j, k))"

@@ -38,11 +38,13 @@ RANK = 4
 SHIFT = {"i": 0, "j": 101, "k": 211}
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(swath, rt_window, i, j, k, v): a supplier's line items of a year are a slice, with the axes quarter, line number and discount; quantities are summed up."""
+def cells(spark: SparkSession, sf_dir: str, by_slice: bool = False) -> DataFrame:
+    """(swath, rt_window, i, j, k, v): a supplier's line items of a year are a slice, with the axes quarter, line number and discount; quantities are summed up. With ``by_slice`` line
+    items are dealt by their slice, so that a later step by slice doesn't move the cells again."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     keys = F.col("l_suppkey").alias("swath"), F.year("l_shipdate").alias("rt_window"), (F.quarter("l_shipdate") - 1).alias("i"), (F.col("l_linenumber") - 1).alias("j"), F.round(F.col("l_discount") * 100).alias("k")
     rows = rows.select(*[k.cast("int") for k in keys], "l_quantity").toDF("swath", "rt_window", "i", "j", "k", "q")
+    rows = rows.repartition("swath", "rt_window") if by_slice else rows
     return rows.groupBy("swath", "rt_window", "i", "j", "k").agg(F.sum("q").alias("v"))
 
 
@@ -51,16 +53,23 @@ CELLS_SQL = """cells AS (SELECT CAST(l_suppkey AS INTEGER) AS swath, CAST(extrac
 
 
 def factor(spark: SparkSession, sf_dir: str, axis: str, places_of: DataFrame) -> DataFrame:
-    """(swath, rt_window, idx, comp, value): a vector for every place on an axis of every slice of cells ``places_of``; each component is the mean size of a quarter of it."""
+    """(swath, rt_window, idx, comp, value): the components of :func:`factor_vectors`, a row each."""
+    rows = factor_vectors(spark, sf_dir, axis, places_of)
+    return rows.select("swath", "rt_window", "idx", F.posexplode("vector.value").alias("comp", "value"))
+
+
+def factor_vectors(spark: SparkSession, sf_dir: str, axis: str, places_of: DataFrame) -> DataFrame:
+    """(swath, rt_window, idx, vector): a vector for every place on an axis of every slice of cells ``places_of``; each component is the mean size of a quarter of it."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     width = F.floor(F.size("embedding") / RANK).cast("int")
-    comps = F.explode(F.sequence(F.lit(0), F.lit(RANK - 1)))
-    quarter = F.slice(F.col("embedding").cast("array<double>"), F.col("comp") * width + 1, width)
-    parts = e.select("vec_id", "embedding", comps.alias("comp")).select("vec_id", "comp", (F.aggregate(quarter, F.lit(0.0), lambda s, x: s + F.abs(x)) / width).alias("value"))
+    comps = F.sequence(F.lit(0), F.lit(RANK - 1))
+    quarter = lambda comp: F.slice(F.col("embedding").cast("array<double>"), comp * width + 1, width)
+    values = F.transform(comps, lambda comp: F.aggregate(quarter(comp), F.lit(0.0), lambda s, x: s + F.abs(x)) / width)
+    parts = e.select("vec_id", F.struct(comps.alias("comp"), values.alias("value")).alias("vector"))
     n = e.count()
     places = places_of.select("swath", "rt_window", F.col(axis).alias("idx")).distinct()
     places = places.withColumn("vec_id", (F.col("swath").cast("long") * 31 + F.col("rt_window") * 7 + F.col("idx") + SHIFT[axis]) % F.lit(n))
-    return places.join(parts, "vec_id").select("swath", "rt_window", "idx", "comp", "value")
+    return places.join(parts, "vec_id").select("swath", "rt_window", "idx", "vector")
 
 
 def factor_sql(name: str, axis: str) -> str:

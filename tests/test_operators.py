@@ -292,6 +292,38 @@ def test_relational_algebra_equals_numpy(spark):
     assert tensors.r_squared(fitted).first().rsq == pytest.approx(1 - ((x - fit) ** 2).sum() / (x**2).sum())
 
 
+def shuffled_records(spark):
+    """Records that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_reconstruction_moves_cells_once(spark):
+    """Cells go through shuffles packed in blocks, not once for each component and axis."""
+    rng = np.random.default_rng(8)
+    a, b, c = rng.random((3, 8)), rng.random((90, 8)), rng.random((70, 8))
+    cells = [(i, j, k, float(i + j + k)) for i in range(3) for j in range(90) for k in range(70) if (i + j + k) % 4]
+    factors = [boundary(tensors.vectors(frame_of(spark, m)), "vectors") for m in (a, b, c)]
+    blocks = boundary(tensors.in_blocks(spark.createDataFrame(cells, "i int, j int, k int, v double")), "blocks")
+    before = shuffled_records(spark)
+    fitted = tensors.out_of_blocks(boundary(tensors.fitted_blocks(blocks, *factors), "fitted"))
+    assert shuffled_records(spark) - before < len(cells) / 4
+    fit = np.einsum("ir,jr,kr->ijk", a, b, c)
+    assert {(r.i, r.j, r.k, r.v): r.fit for r in fitted.collect()} == pytest.approx({x: fit[x[:3]] for x in cells})
+
+
+def test_reconstruction_of_incomplete_factors(spark):
+    """As joins by component: those that all three places have count, null is left out of the sum, and a cell without a common one falls away."""
+    f = lambda rows: spark.createDataFrame(rows, "idx int, comp int, value double")
+    a = f([(0, 0, 2.0), (0, 1, 3.0), (1, 2, 5.0), (2, 0, None), (3, 0, 1.0)])
+    b, c = f([(0, 1, 5.0), (0, 0, 7.0)]), f([(0, 0, 1.0), (0, 1, None), (70, 1, 11.0)])
+    cells = spark.createDataFrame([(i, 0, k, None if k else 1.0) for i in range(5) for k in (0, 70)] + [(3, 0, 0, 1.0), (None, 0, 0, 1.0), (3, 9, 0, 1.0)], "i int, j int, k int, v double")
+    got = sorted(((r.i, r.k, r.fit) for r in tensors.reconstruct(cells, a, b, c).collect()), key=str)
+    assert got == [(0, 0, 14.0), (0, 70, 165.0), (2, 0, None), (3, 0, 7.0), (3, 0, 7.0)]
+
+
 def test_reconstructed_scan_meets_the_measured_maximum(spark):
     rng = np.random.default_rng(6)
     a, b, c, x = rng.random((2, 2)), rng.random((4, 2)), rng.random((5, 2)), rng.random((2, 4, 5))
